@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from braidwork.llm import bpe, mixing
+from braidwork.llm import bpe, langid, minhash, mixing
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
+    "op4_minhash": minhash.op4_minhash,
     "op9_mix": mixing.op9_mix,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_minhash": minhash.ORACLE,
     "op9_mix": mixing.ORACLE,
 }
