@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from braidwork.llm import bpe, langid, minhash, mixing
+from braidwork.llm import bpe, langid, lines, minhash, mixing
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op4_minhash": minhash.op4_minhash,
+    "op8_lines": lines.op8_lines,
     "op9_mix": mixing.op9_mix,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op4_minhash": minhash.ORACLE,
+    "op8_lines": lines.ORACLE,
     "op9_mix": mixing.ORACLE,
 }

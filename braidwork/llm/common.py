@@ -26,14 +26,30 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(words, lambda w: w != "")), F.lit(0)).cast("long")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the folder that all executors share, so that lost executors cost no recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is named (tests on one machine) is
-    a folder of our own set.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: the session's ``spark.checkpoint.dir``, or a local one where none is named (tests on one machine)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """End the lineage in the shared folder, so that lost executors cost no recomputation from the start."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
+    """Bound what Arrow hands to a Python worker at once, by rows and, where Spark can, by bytes."""
+    conf = spark.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
