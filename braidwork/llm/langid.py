@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import crc, read
+from braidwork.llm.common import crc, read, small_batches
 
 #: Rows of each language from which the pieces' probabilities are learned, and distinct words of all of them.
 SAMPLE_DOCS, SAMPLE_WORDS = 800, 200_000
@@ -164,6 +164,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int
 def predict(docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None) -> DataFrame:
     """``docs`` with lang_pred and score; only ``learn_from`` gives languages."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
     counts = sample(learn_from, id_col, text_col, lang_col)
     langs, p = learn(counts, path)
     if not langs:
