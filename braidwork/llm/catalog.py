@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from braidwork.llm import bpe, langid, lines, minhash, mixing
+from braidwork.llm import bpe, langid, lines, minhash, mixing, pii, quality
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_pii": pii.op2_pii,
+    "op3_quality": quality.op3_quality,
     "op4_minhash": minhash.op4_minhash,
     "op8_lines": lines.op8_lines,
     "op9_mix": mixing.op9_mix,
