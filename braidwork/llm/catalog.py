@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from braidwork.llm import bpe, langid, lines, minhash, mixing, pii, quality
+from braidwork.llm import bpe, langid, lines, minhash, mixing, pii, quality, topk
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_pii": pii.op2_pii,
     "op3_quality": quality.op3_quality,
     "op4_minhash": minhash.op4_minhash,
+    "op5_topk": topk.op5_topk,
     "op8_lines": lines.op8_lines,
     "op9_mix": mixing.op9_mix,
     "op10_bpe": bpe.op10_bpe,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_minhash": minhash.ORACLE,
+    "op5_topk": topk.ORACLE,
     "op8_lines": lines.ORACLE,
     "op9_mix": mixing.ORACLE,
 }
