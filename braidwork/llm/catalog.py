@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.llm import bpe, langid, lines, minhash, mixing, pii, quality, topk
+from braidwork.llm import bpe, hnsw, langid, lines, minhash, mixing, pii, quality, topk
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_minhash": minhash.op4_minhash,
     "op5_topk": topk.op5_topk,
+    "op6_hnsw": hnsw.op6_hnsw,
     "op8_lines": lines.op8_lines,
     "op9_mix": mixing.op9_mix,
     "op10_bpe": bpe.op10_bpe,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_minhash": minhash.ORACLE,
     "op5_topk": topk.ORACLE,
+    "op6_hnsw": hnsw.ORACLE,
     "op8_lines": lines.ORACLE,
     "op9_mix": mixing.ORACLE,
 }
