@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.llm import bpe, hnsw, langid, lines, minhash, mixing, pii, quality, topk
+from braidwork.llm import bpe, hnsw, langid, licences, lines, minhash, mixing, pii, quality, topk
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_minhash": minhash.op4_minhash,
     "op5_topk": topk.op5_topk,
     "op6_hnsw": hnsw.op6_hnsw,
+    "op7_licences": licences.op7_licences,
     "op8_lines": lines.op8_lines,
     "op9_mix": mixing.op9_mix,
     "op10_bpe": bpe.op10_bpe,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect, insort
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +54,12 @@ def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) ->
     conf = spark.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+
+
+def free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Put [a, b) among sorted, disjoint spans if it overlaps none of them."""
+    i = bisect(taken, (a, b))
+    if i and taken[i - 1][1] > a or i < len(taken) and taken[i][0] < b:
+        return False
+    insort(taken, (a, b))
+    return True
