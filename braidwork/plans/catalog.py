@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from braidwork.plans import graph_queries
+
+QUERIES = {**graph_queries.QUERIES}
+ORACLES = {**graph_queries.ORACLES}
