@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.plans import graph_queries
+from braidwork.plans import graph_queries, vector_queries
 
-QUERIES = {**graph_queries.QUERIES}
-ORACLES = {**graph_queries.ORACLES}
+QUERIES = {**graph_queries.QUERIES, **vector_queries.QUERIES}
+ORACLES = {**graph_queries.ORACLES, **vector_queries.ORACLES}
