@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.plans import graph_queries, vector_queries
+from braidwork.plans import graph_queries, log_queries, vector_queries
 
-QUERIES = {**graph_queries.QUERIES, **vector_queries.QUERIES}
-ORACLES = {**graph_queries.ORACLES, **vector_queries.ORACLES}
+QUERIES = {**graph_queries.QUERIES, **vector_queries.QUERIES, **log_queries.QUERIES}
+ORACLES = {**graph_queries.ORACLES, **vector_queries.ORACLES, **log_queries.ORACLES}
