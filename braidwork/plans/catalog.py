@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from braidwork.plans import graph_queries, log_queries, vector_queries
+from braidwork.plans import design_queries, graph_queries, log_queries, sequence_queries, vector_queries
 
-QUERIES = {**graph_queries.QUERIES, **vector_queries.QUERIES, **log_queries.QUERIES}
-ORACLES = {**graph_queries.ORACLES, **vector_queries.ORACLES, **log_queries.ORACLES}
+PARTS = (graph_queries, vector_queries, log_queries, sequence_queries, design_queries)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
