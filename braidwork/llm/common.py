@@ -42,6 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``cut``, then read in partitions of about so many rows, so that small tables don't shuffle from many tasks."""
+    out = cut(df)
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

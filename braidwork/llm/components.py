@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import cut
+from braidwork.llm.common import settled
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,15 +16,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     distributed; the driver sees only whether a round changed anything.
     """
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    ends = cut(ends.union(ends.select("v", "u")).distinct())
-    labels = cut(ends.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("label")))
+    ends = settled(ends.union(ends.select("v", "u")).distinct())
+    labels = settled(ends.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("label")))
     while True:
         near = ends.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
         met = labels.join(near.withColumnRenamed("u", "id"), "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         lowest = met.groupBy("old").agg(F.min("label").alias("low"))
         moved = met.join(lowest, "old").select("id", "old", F.col("low").alias("label"))
         jump = moved.select(F.col("id").alias("at"), F.col("label").alias("next"))
-        labels = cut(moved.join(jump, moved["label"] == jump["at"], "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
+        labels = settled(moved.join(jump, moved["label"] == jump["at"], "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
         if labels.filter("label <> old").isEmpty():
             return labels.select("id", F.col("label").alias("component"))
         labels = labels.select("id", "label")

@@ -9,10 +9,11 @@ agree by chance, and are confirmed on the full sets.
 No bucket of a band is expanded into all its pairs:
 
 1. documents of equal sets are one class, with the smallest id;
-2. in every band each class meets one hub, chosen by a hash that differs by band; of its hubs, the class is
-   first confirmed against the likeliest, and links join into components;
+2. in every band each class meets one hub, the class of the bucket that shares most bands with others, as
+   the original of many altered copies does; confirmed links join into components;
 3. what is left is exact: in each band's bucket that still holds several components, classes outside the
-   bucket's largest component meet all others of other components.
+   bucket's largest component meet all others of other components, as pairs where there are few, else in
+   blocks of bounded size.
 
 A pair of similarity 0.8 shares none of the 32 bands with a probability of 5e-8.
 
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import cut, read, small_batches
+from braidwork.llm.common import read, settled, small_batches
 from braidwork.llm.components import components
 
 BUCKETS, BITS, MANTISSA, ROWS = 128, 7, 10, 4
@@ -39,6 +40,10 @@ BANDS = BUCKETS // ROWS
 BROADCAST_IDS = 200_000
 #: Standard errors below the threshold at which the estimate drops a pair, for sets that fill the buckets.
 MARGIN, FULL = 6.0, 512
+#: Pairs of a bucket up to which they are compared one by one; classes in a block of outer and of all classes.
+FEW, X_BLOCK, Y_BLOCK = 64, 128, 512
+#: Rows of a partition of sketches.
+SKETCHES = 20_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -159,12 +164,12 @@ def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough, written out."""
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    sets = _picked(texts, ids).dropDuplicates(["id"]).withColumn("set", _sets(k)("text")).drop("text")
+    ids = settled(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sets = _picked(texts, ids).withColumn("set", _sets(k)("text")).drop("text")
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"), F.size("set").alias("n_a"))
     b = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"), F.size("set").alias("n_b"))
     met = _overlap(pairs.select("a", "b").join(a, "a").join(b, "b"))
-    return cut(met.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
+    return settled(met.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b").distinct())
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -176,20 +181,66 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return met.filter(rough | (F.col("like") >= j - MARGIN * (j * (1 - j) / BUCKETS) ** 0.5)).select("a", "b", "like")
 
 
-def _rest(spots: DataFrame, groups: DataFrame, fits) -> DataFrame:
-    """Pairs of different components in the buckets that still hold several.
+def _rest(spots: DataFrame, groups: DataFrame, fits) -> tuple[DataFrame, DataFrame]:
+    """What has to be compared in the buckets that still hold several components.
 
     Classes outside a bucket's largest component meet all its others; pairs inside a component need no look.
+    Buckets of at most ``FEW`` such pairs give the pairs; of the others come ``main, id, component, outer``
+    rows: each main component's members and the outer classes that share a bucket with it.
     """
     spots = spots.select("band", "key", "rep", "n").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
     spots = spots.withColumn("component", F.coalesce("component", "rep"))
     parts = spots.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("band", "key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    spots = cut(spots.join(mixed.select("band", "key", "main"), ["band", "key"]))
-    x, y = spots.filter("component <> main").alias("x"), spots.alias("y")
+    mixed = parts.groupBy("band", "key").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = mixed.select("band", "key", F.col("most.component").alias("main"), ((F.col("m") - F.col("most.c")) * F.col("m") <= FEW).alias("few"))
+    spots = settled(spots.join(mixed, ["band", "key"]))
+    x, y = spots.filter("few and component <> main").alias("x"), spots.filter("few").alias("y")
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
     met = x.join(y, same & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n")))
-    return met.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+    pairs = met.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+    outer = spots.filter("not few and component <> main").select("main", F.col("rep").alias("id"), "component").distinct()
+    mains = outer.select("main").distinct()
+    members = groups.withColumn("main", F.col("component")).join(mains, "main", "left_semi").select("main", "id", "component")
+    alone = mains.join(groups.select(F.col("id").alias("main")), "main", "left_anti").select("main", F.col("main").alias("id"), F.col("main").alias("component"))
+    rows = members.union(alone).withColumn("outer", F.lit(False)).union(outer.withColumn("outer", F.lit(True)))
+    return pairs, rows
+
+
+def _in_blocks(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of outer classes to the members and outer classes of their main components, by full sets.
+
+    A main component's outer classes and all its classes are dealt into blocks of bounded size, and each task
+    compares one block with another. Of the links of a class to one component a single one is given.
+    """
+    rows = settled(rows)
+    inner = rows.groupBy("main").agg(F.ceil(F.count("*") / Y_BLOCK).alias("ys"), F.ceil(F.sum(F.col("outer").cast("int")) / X_BLOCK).alias("xs"))
+    sets = _picked(texts, rows.select("id").distinct()).withColumn("set", _sets(k)("text")).drop("text")
+    dealt = rows.join(inner, "main").withColumn("h", F.xxhash64("id"))
+    x = dealt.filter("outer").withColumn("x", F.pmod("h", "xs")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1))).withColumn("left", F.lit(True))
+    y = dealt.withColumn("y", F.pmod("h", "ys")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1))).withColumn("left", F.lit(False))
+    pick = ["main", "x", "y", "left", "id", "component"]
+    blocks = x.select(*pick).union(y.select(*pick)).join(sets, "id")
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        left, right = block[block["left"]], block[~block["left"]]
+        own = [np.asarray(s) for s in right["set"]]
+        sizes = np.array([len(s) for s in own])
+        flat, at = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, at = flat[order], at[order]
+        ids, parts, out = right["id"].to_numpy(), right["component"].to_numpy(), []
+        for i, part, s in zip(left["id"], left["component"], left["set"], strict=True):
+            s = np.asarray(s)
+            lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+            n = hi - lo
+            both = np.bincount(at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(own))
+            close = np.flatnonzero((100 * both >= percent * (len(s) + sizes - both)) & (parts != part))
+            _, first = np.unique(parts[close], return_index=True)
+            out += [(max(i, j), min(i, j)) for j in ids[close[first]]]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    return settled(blocks.groupBy("main", "x", "y").applyInPandas(compare, f"a {id_type}, b {id_type}").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -200,28 +251,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = cut(docs.withColumn("s", _sketch(k)("text")).select("id", "s.*"))
+    sketched = settled(docs.withColumn("s", _sketch(k)("text")).select("id", "s.*"), SKETCHES)
     same = ["n", "s1", "s2"]
-    classes = cut(sketched.filter("n > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
+    classes = settled(sketched.filter("n > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), SKETCHES)
     # sets of J >= percent that differ hold at least percent / (100 - percent) shingles
     wide = classes.filter(F.col("n") * (100 - percent) >= percent).select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    hubs = (
-        wide.groupBy("band", "key")
-        .agg(F.min(F.struct(F.xxhash64("rep", "band").alias("h"), F.col("rep"), F.col("n"))).alias("hub"), F.count("*").alias("members"))
-        .filter("members > 1")
-    )
-    spots = cut(wide.join(hubs.select("band", "key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("n_hub")), ["band", "key"]))
+    spots = settled(wide.join(wide.groupBy("band", "key").agg(F.count("*").alias("members")).filter("members > 1"), ["band", "key"]))
+    central = spots.groupBy("rep").agg(F.sum("members").alias("weight"))
+    hubs = spots.join(central, "rep").groupBy("band", "key").agg(F.max(F.struct("weight", F.xxhash64("rep").alias("h"), "rep", "n")).alias("hub"))
+    met = spots.join(hubs.select("band", "key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("n_hub")), ["band", "key"])
     fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    met = spots.filter((F.col("rep") != F.col("hub")) & fits("n", "n_hub")).select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
-    likely = _likely(met, classes, percent)
-    best = cut(likely.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b")))
-    links = _confirm(best, docs, k, percent)
+    met = met.filter((F.col("rep") != F.col("hub")) & fits("n", "n_hub")).select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    likely = settled(_likely(met, classes, percent).select("a", "b"))
+    links = _confirm(likely, docs, k, percent)
     groups = components(links)
-    rest = _rest(spots, groups, fits).join(best, ["a", "b"], "left_anti")
-    rest = cut(_likely(rest, classes, percent).select("a", "b"))
-    if not rest.isEmpty():
-        links = links.union(_confirm(rest, docs, k, percent))
-        groups = components(links)
+    pairs, rows = _rest(spots, groups, fits)
+    pairs = settled(_likely(pairs.join(likely, ["a", "b"], "left_anti"), classes, percent).select("a", "b"))
+    more = _confirm(pairs, docs, k, percent).union(_in_blocks(rows, docs, k, percent))
+    if not more.isEmpty():
+        groups = components(links.union(more))
     of_class = classes.select(*same, "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("id", *same).join(of_class, same, "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col("id") == F.col("component_id"))
