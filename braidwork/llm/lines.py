@@ -19,10 +19,11 @@ treated alike; columns named like the results are replaced.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import cut, n_words, read
+from braidwork.llm.common import cut, n_words, read, small_batches
 
 MIN_WORDS = 50
 
@@ -69,7 +70,7 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``id, tag, i, m`` of each window of lines that is a later copy; docs: id, text."""
+    """``id, tag, p`` of each line that lies in a later copy of a run; docs: id, text."""
     lines = cut(line_table(docs))
     own = stretches(lines, min_words)
     wins = cut(windows(own, min_words))
@@ -92,10 +93,11 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             pairs = cut(ranks.withColumn("next", F.coalesce(ahead, F.lit(-1))))
             named = cut(_in_order(pairs.select("rank", "next").distinct().withColumnsRenamed({"rank": "r"}), ["r", "next"]))
             ranks = pairs.withColumnRenamed("rank", "r").join(named, ["r", "next"]).select("id", "tag", "s", "i", "rank")
-    out = wins.limit(0)
+    later = wins.limit(0)
     for x in found:
-        out = out.union(x)
-    return out
+        later = later.union(x)
+    gone = later.select("id", "tag", F.explode(F.sequence("i", F.col("i") + F.col("m") - 1)).alias("i")).distinct()
+    return gone.join(own.select("id", "tag", "i", "p"), ["id", "tag", "i"]).select("id", "tag", "p")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -103,26 +105,30 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``emptied`` marks texts that had words and have none left.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    dropped = copies(own, min_words).select("id", "tag", F.explode(F.sequence("i", F.col("i") + F.col("m") - 1)).alias("i")).distinct()
-    dropped = dropped.groupBy("id", "tag").agg(F.collect_list("i").alias("_dropped")).withColumnsRenamed({"id": "_id", "tag": "_tag"})
+    dropped = copies(own, min_words).groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_list("p").alias("_dropped"))
+
+    @F.pandas_udf("text string, emptied boolean")
+    def cleared(texts: pd.Series, dropped: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, places in zip(texts, dropped, strict=True):
+            if text is None:
+                rows.append((None, False))
+                continue
+            gone = set(places)
+            left = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+            rows.append((left, not left.encode().split()))
+        return pd.DataFrame(rows, columns=["text", "emptied"])
+
+    text = F.col(text_col)
     out = docs.drop("n_lines", "n_deleted", "emptied").join(dropped, (docs[id_col] == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_tag")), "left")
-    # i counts lines with a word only; only documents that lose a line need the places of those
-    lines = _lines(F.col(text_col))
-    n = F.size(lines)
-    worded = F.filter(F.transform(lines, lambda x, p: F.when(n_words(x) > 0, p)), lambda p: p.isNotNull())
-    gone = F.transform("_dropped", lambda i: F.get(F.col("_worded"), i))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone")), lambda p: F.get(lines, p))
-    none = F.col("_dropped").isNull()
-    out = out.withColumn("_worded", F.when(~none, worded)).withColumn("_gone", F.when(~none, gone))
-    return (
-        out.withColumn("n_lines", F.coalesce(F.when(F.col(text_col).isNotNull(), n), F.lit(0)))
-        .withColumn("n_deleted", F.when(none, 0).otherwise(F.size("_dropped")))
-        .withColumn("emptied", F.when(none, False).otherwise(F.size("_dropped") == F.size("_worded")))
-        .withColumn("_kept", F.when(none, F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-        .withColumn(text_col, F.col("_kept"))
-        .drop("_id", "_tag", "_dropped", "_worded", "_gone", "_kept")
-    )
+    n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    out = out.withColumn("n_lines", F.coalesce(n, F.lit(0))).withColumn("n_deleted", F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")))
+    # only texts that lose a line are sent to be cut
+    out = out.withColumn("_left", cleared(F.when(F.col("n_deleted") > 0, text), "_dropped"))
+    out = out.withColumn("emptied", F.col("_left.emptied")).withColumn(text_col, F.when(F.col("n_deleted") > 0, F.col("_left.text")).otherwise(text))
+    return out.drop("_id", "_tag", "_dropped", "_left")
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
