@@ -31,7 +31,7 @@ from braidwork.llm.common import read, small_batches
 #: How words are cut; \p{L} and \p{N} as in the public tokenizer's own pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers, words in one block, and bytes up to which a word joins a block.
-MEMORY, BLOCK, SHORT = 400_000, 50_000, 32
+MEMORY, BLOCK, SHORT = 150_000, 10_000, 32
 NONE = np.int64(1) << 62
 
 
@@ -281,7 +281,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids
             out = pd.DataFrame({"ids": pd.Series(ids, dtype=object)})
             yield out.assign(decoded=pd.Series([coder.decode(x) for x in ids], dtype=object)) if decoded_col else out
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500, 2)
     out = docs.withColumn("_bpe", both(F.col(text_col).cast("string"))).withColumn(ids_col, F.col("_bpe.ids"))
     return (out.withColumn(decoded_col, F.col("_bpe.decoded")) if decoded_col else out).drop("_bpe")
 
@@ -296,7 +296,7 @@ def decode(df: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded", pa
         for ids in batches:
             yield pd.Series(["" if x is None else coder.decode(np.asarray(x)) for x in ids], dtype=object)
 
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, 500, 2)
     return df.withColumn(decoded_col, text(F.col(ids_col)))
 
 

@@ -10,7 +10,7 @@ What a beam brings is verified by cosine in double precision. A block gives, for
 of links and a spanning forest of the links, so a group of n alike nodes costs n rows and not n * n.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
-vectors of different lengths never link; rows that repeat an id are vectors of their own for n_links and share
+vectors of different lengths never link; a row without an id links with nothing and is kept; rows that repeat an id are vectors of their own for n_links and share
 a component; other columns are ignored.
 """
 
@@ -203,7 +203,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     small_batches(df.sparkSession, 4096)
     df = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     whole = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)
-    nodes = cut(df.filter(F.col("vec").isNotNull()).filter(whole).groupBy("vec").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
+    nodes = cut(df.filter(F.col("id").isNotNull() & F.col("vec").isNotNull()).filter(whole).groupBy("vec").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
     sizes = nodes.groupBy(F.size("vec").alias("dims")).count()
     shards = sizes.select("dims", F.greatest(F.lit(SHARDS), F.ceil(F.col("count") / SHARD_ROWS)).alias("shards"), F.ceil(F.col("count") / BLOCK).alias("blocks"))
     dealt = nodes.join(shards, F.size("vec") == F.col("dims")).withColumn("shard", F.pmod(F.xxhash64("node"), "shards")).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), "blocks"))
@@ -256,8 +256,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     told = nodes.join(links, "node", "left").join(groups.withColumnRenamed("id", "node"), "node", "left")
     told = told.select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = df.join(told, "vec", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("id") == F.col("component_id"))
+    out = df.join(told, (df["vec"] == told["vec"]) & df["id"].isNotNull(), "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
 def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:

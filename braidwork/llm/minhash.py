@@ -19,7 +19,8 @@ A pair of similarity 0.8 shares none of the 32 bands with a probability of 5e-8.
 
 Defined cases: words are split by ASCII white space after lowering A-Z; a text of fewer words than a shingle
 is one shingle; a null, empty or blank text has no shingle and links with nothing; rows that repeat an id
-count as copies; columns named like the results are replaced.
+count as copies; a row without an id makes no link, takes the component of the copies of its text, and is kept
+only if there is none; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -253,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sketched = settled(docs.withColumn("s", _sketch(k)("text")).select("id", "s.*"), SKETCHES)
     same = ["n", "s1", "s2"]
-    classes = settled(sketched.filter("n > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), SKETCHES)
+    classes = settled(sketched.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), SKETCHES)
     # sets of J >= percent that differ hold at least percent / (100 - percent) shingles
     wide = classes.filter(F.col("n") * (100 - percent) >= percent).select("rep", "n", F.posexplode("bands").alias("band", "key"))
     spots = settled(wide.join(wide.groupBy("band", "key").agg(F.count("*").alias("members")).filter("members > 1"), ["band", "key"]))
@@ -272,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         groups = components(links.union(more))
     of_class = classes.select(*same, "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("id", *same).join(of_class, same, "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ query can gain any more.
 The k-th best score among a bounded sample of rows starts every query's bound; all rows are indexed, and the
 result is exact.
 
-Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do those
+Defined cases: rows without an id and vectors that are null, empty, or hold null or non-finite components take no part, nor do those
 of another length than the commonest (ties: the smaller); equal scores go to the smaller id; a query never
 finds rows of its own id; with fewer than k candidates all are returned; other columns are ignored.
 """
@@ -29,9 +29,9 @@ SAMPLE, PIVOTS, ANNULUS, BLOCK, RUN = 2048, 32, 1024, 512, 24
 
 
 def usable(df: DataFrame, vec: str) -> DataFrame:
-    """Rows whose vector is whole, finite and of the commonest length."""
+    """Rows with an id whose vector is whole, finite and of the commonest length."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    df = df.filter(F.col(vec).isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, bad))
+    df = df.filter(F.col("id").isNotNull() & F.col(vec).isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, bad))
     common = df.groupBy(F.size(vec).alias("n")).count().orderBy(F.desc("count"), "n").first()
     return df.filter(F.size(vec) == (common["n"] if common else 0))
 

@@ -19,10 +19,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs of 50 words or more are deleted; a document that loses all its words goes."""
-    out = lines.deduplicate(docs).filter(~F.col("emptied"))
+    aside = {c: f"_own_{c}" for c in ("n_lines", "n_deleted", "emptied") if c in docs.columns}
+    out = lines.deduplicate(docs.withColumnsRenamed(aside)).filter(~F.col("emptied"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.drop("n_lines", "n_deleted", "emptied").withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
