@@ -4,7 +4,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from braidwork.operators import designs as d
-from braidwork.operators import graph, logs
+from braidwork.operators import dynamics, graph, logs
 from braidwork.operators import sequence as q
 from braidwork.operators import vectors as v
 from braidwork.plans.sequence_queries import _inputs
@@ -150,3 +150,25 @@ def test_rejects_values_that_are_not_finite(spark):
     edges = graph.symmetrised(spark.createDataFrame([(1, 0, 1, 1.0)], "net int, src int, dst int, w double"))
     nodes = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 0, 0)], "net int, node int, community int")
     assert [r["net"] for r in graph.descriptors(edges, nodes).collect()] in ([1], [1, 2], [2, 1])
+
+
+def test_guards_and_maps(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, 5)], "k int, x int")
+    with pytest.raises(ValueError, match="missing"):
+        dynamics.guarded(a, b, "k")
+    with pytest.raises(ValueError, match="needed"):
+        dynamics.guarded(a.filter("k = 1"), b, "k", least=20)
+    with pytest.raises(ValueError, match="symmetric"):
+        dynamics.block_values([[1, 2], [3, 4]], 2, "sigma")
+    rng = np.random.default_rng(0)
+    amap, bmap, rows = np.array([[0.5, 0.2], [-0.1, 0.7]]), np.array([[1.0, -0.5]]), []
+    for run in (1, 2):
+        x = np.zeros(2)
+        for t in range(60):
+            u = rng.normal(size=1)
+            x = x @ amap + u @ bmap
+            rows.append((run, t, x.tolist(), u.tolist()))
+    maps = dynamics.fitted(spark.createDataFrame(rows, "run long, step long, state array<double>, u array<double>"), np.eye(2), 1e-9)
+    for r in maps.collect():
+        assert np.allclose(r["state_map"], amap.ravel(), atol=1e-5) and np.allclose(r["control_map"], bmap.ravel(), atol=1e-5)
+    assert {(r["component"], round(r["dist"], 4)) for r in dynamics.dynamical_distances(maps).collect()} == {("joint", 0.0), ("state", 0.0), ("control", 0.0)}
