@@ -20,7 +20,7 @@ def energy_rank(values: DataFrame, energy: float = 0.99) -> DataFrame:
     order = Window.partitionBy("run").orderBy(F.desc("value"), "step")
     cum = values.withColumn("k", F.row_number().over(order)).withColumn("cum", F.sum(F.col("value") * F.col("value")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     totals = values.groupBy("run").agg(F.sum(F.col("value") * F.col("value")).alias("total"))
-    return cum.join(totals, "run").filter(F.col("cum") >= energy * F.col("total")).groupBy("run").agg(F.min("k").alias("rank"))
+    return cum.join(totals, "run").filter(F.col("cum") >= energy * F.col("total")).groupBy("run").agg(F.min("k").cast("long").alias("rank"))
 
 
 def delay_ranks(series: DataFrame, delays: int, energy: float = 0.99) -> DataFrame:
@@ -56,7 +56,7 @@ def islands(series: DataFrame, label: str) -> DataFrame:
     order = Window.partitionBy("run").orderBy("step")
     own = series.select("run", "step", F.col(label).alias("label"), (F.row_number().over(order) - 1).alias("pos"), (~F.lag(label).over(order).eqNullSafe(F.col(label))).cast("int").alias("new"))
     own = own.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = own.groupBy("run", "island", "label").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+    out = own.groupBy("run", "island", "label").agg(F.min("pos").cast("long").alias("start"), (F.max("pos") + 1).cast("long").alias("end"))
     return out.select("run", "label", "start", "end", ((F.col("start") + F.col("end")) / 2).alias("centre"))
 
 

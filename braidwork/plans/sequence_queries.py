@@ -59,7 +59,7 @@ def episode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def episode_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = logs.episodes(user_log(spark, sf_dir)).filter("episode = 1")
-    return logs.positions(own, "run", "episode").filter("pos < 4").select("run", "step", "pos", "value")
+    return logs.positions(own, "run", "episode").filter("pos < 4").select("run", "step", F.col("pos").cast("long").alias("pos"), "value")
 
 
 def label_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
