@@ -16,6 +16,8 @@ STRATA = ("assortative", "disassortative", "core_periphery", "mixed", "null")
 COMMUNITIES = (2, 3, 4, 6, 8, 12, 16)
 ALPHAS = (float("inf"), 100.0, 30.0, 10.0, 3.0)
 SIGMA = 0.1
+#: Block means of the four canonical architectures (hi, lo, mid).
+PRESETS = {"assortative": (0.9, 0.1, 0.5), "disassortative": (0.9, 0.1, 0.5), "core_periphery": (0.9, 0.1, 0.5), "mixed": (0.9, 0.1, 0.5)}
 
 
 def params_driven(designs: DataFrame) -> DataFrame:
@@ -59,6 +61,12 @@ def omega(motif: Column, r: Column, s: Column, hi: Column, lo: Column, mid: Colu
     )
 
 
+def preset_omega(kind: Column, r: Column, s: Column, key: Column) -> Column:
+    """Block means of a canonical architecture with its own defaults."""
+    value = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in PRESETS.items() for x in (k, v[i])]), kind)
+    return omega(kind, r, s, value(0), value(1), value(2), key)
+
+
 def density(rho: Column, k: Column, p0: Column, core: Column, f: Column, r: Column, s: Column) -> Column:
     """Edge probability of a block; the mean over blocks stays p0 before clipping to [0, 1]."""
     p_b = p0 * k / (rho + k - 1)

@@ -248,6 +248,11 @@ def cores(blocks: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
     return nodes.join(core, "net").select("net", "node", "community", (F.col("community") == F.col("core")).alias("is_core"))
 
 
+def with_inputs(edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """Edges and those from input nodes -1, -2, ... (``net, input, dst, w``), for display."""
+    return edges.select("net", "src", "dst", "w").union(weights.select("net", (-1 - F.col("input")).alias("src"), "dst", "w"))
+
+
 def display_edges(edges: DataFrame, least: float = 0.01) -> DataFrame:
     """Edges above a display threshold once each, with |w| scaled from the network's least to its greatest."""
     shown = edges.filter((F.abs("w") > least) & (F.col("src") < F.col("dst"))).withColumn("a", F.abs("w"))

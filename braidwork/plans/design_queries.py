@@ -25,6 +25,13 @@ def omega_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("id", "motif", "r", "s", F.round(value, 6).alias("mu"))
 
 
+def preset_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical block means for each part's architecture and number of communities (null: assortative)."""
+    kind = F.when(F.col("stratum") == "null", "assortative").otherwise(F.col("stratum"))
+    own = d.grid(part_designs(spark, sf_dir)).filter("stratum <> 'mixed' or r <= s")
+    return own.select("id", "r", "s", F.round(d.preset_omega(kind, F.col("r"), F.col("s"), F.col("id")), 6).alias("mu"))
+
+
 def omega_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = omega_grid(spark, sf_dir).withColumnRenamed("id", "net")
     return graph.motifs(blocks, "mu").groupBy("motif").agg(F.count("*").alias("pairs"))
@@ -94,7 +101,7 @@ def mackey_glass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (params_variant_a, params_variant_b, omega_grid, omega_motifs, density_grid, equal_sizes, core_assign, apportion, search_space, sample_designs, sample_networks, network_descriptors, ou_noise, mackey_glass)
+    for f in (params_variant_a, params_variant_b, omega_grid, preset_grid, omega_motifs, density_grid, equal_sizes, core_assign, apportion, search_space, sample_designs, sample_networks, network_descriptors, ou_noise, mackey_glass)
 }
 
 _D = """dg AS (SELECT p_partkey AS id, p_size AS size, ['assortative', 'disassortative', 'core_periphery', 'mixed', 'null'][p_partkey % 5 + 1] AS stratum, [2, 3, 4, 6, 8, 12, 16][p_partkey % 7 + 1] AS K,
@@ -115,6 +122,9 @@ ORACLES = {
 SELECT id, CASE WHEN core THEN 'core_periphery' WHEN stratum = 'mixed' THEN 'mixed' ELSE 'assortative' END AS motif, CAST(K AS INTEGER) AS K, round(hi, 6) AS hi, round(lo, 6) AS lo, CASE WHEN core THEN round(lo + f * (hi - lo), 6) END AS mid,
   round(sb, 6) AS s_between, round(sr * sb, 6) AS s_within, CASE WHEN NOT core AND stratum <> 'null' AND id % 2 <> 0 THEN 30.0::DOUBLE END AS size_alpha, CASE WHEN core THEN greatest(1, CAST(round_even(200 * cf, 0) AS INTEGER)) END AS n_core, seed FROM x""",
     "omega_grid": f"WITH {_OM} SELECT * FROM om",
+    "preset_grid": f"""WITH {_G} SELECT id, CAST(r AS INTEGER) AS r, CAST(s AS INTEGER) AS s, round(CASE WHEN stratum IN ('assortative', 'null') THEN CASE WHEN r = s THEN 0.9 ELSE 0.1 END
+  WHEN stratum = 'disassortative' THEN CASE WHEN r = s THEN 0.1 ELSE 0.9 END WHEN stratum = 'core_periphery' THEN CASE WHEN r = 0 AND s = 0 THEN 0.9 WHEN r = 0 OR s = 0 THEN 0.5 ELSE 0.1 END
+  ELSE 0.1 + (0.9 - 0.1) * ({_U('r', 's')} + {_U('s', 'r')}) / 2 END::DOUBLE, 6) AS mu FROM gr WHERE stratum <> 'mixed' OR r <= s""",
     "omega_motifs": f"""WITH {_OM}, t AS (SELECT x.id, CASE WHEN abs(a.mu - x.mu) <= 1e-12 AND abs(b.mu - x.mu) <= 1e-12 THEN 'degenerate' WHEN least(a.mu, b.mu) > x.mu THEN 'assortative' WHEN x.mu > greatest(a.mu, b.mu) THEN 'disassortative' ELSE 'core_periphery' END AS motif
 FROM om x JOIN om a ON a.id = x.id AND a.r = x.r AND a.s = x.r JOIN om b ON b.id = x.id AND b.r = x.s AND b.s = x.s WHERE x.r < x.s) SELECT motif, count(*) AS pairs FROM t GROUP BY motif""",
     "density_grid": f"""WITH {_G}, x AS (SELECT *, p0 * K / (rho + K - 1) AS pb FROM gr)
