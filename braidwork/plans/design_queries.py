@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from braidwork.operators import designs as d
 from braidwork.operators import graph
 from braidwork.session import cut, table
-from braidwork.sources.designs import part_designs
+from braidwork.sources.designs import part_designs, supplier_designs
 
 
 def params_variant_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def omega_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preset_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical block means for each part's architecture and number of communities (null: assortative)."""
     kind = F.when(F.col("stratum") == "null", "assortative").otherwise(F.col("stratum"))
-    own = d.grid(part_designs(spark, sf_dir)).filter("stratum <> 'mixed' or r <= s")
+    own = d.grid(part_designs(spark, sf_dir))
     return own.select("id", "r", "s", F.round(d.preset_omega(kind, F.col("r"), F.col("s"), F.col("id")), 6).alias("mu"))
 
 
@@ -83,9 +83,8 @@ def sample_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def network_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight measures of a sampled network of 24 nodes for each supplier's design."""
-    own = part_designs(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), "id", "left_semi")
-    edges, nodes = d.networks(own, 24)
+    """The eight measures of a sampled network of 24 nodes for each supplier."""
+    edges, nodes = d.networks(supplier_designs(spark, sf_dir), 24)
     out = graph.descriptors(cut(edges), cut(nodes))
     return out.select("net", *[F.round(c, 6).alias(c) for c in out.columns if c != "net"])
 
@@ -124,7 +123,7 @@ SELECT id, CASE WHEN core THEN 'core_periphery' WHEN stratum = 'mixed' THEN 'mix
     "omega_grid": f"WITH {_OM} SELECT * FROM om",
     "preset_grid": f"""WITH {_G} SELECT id, CAST(r AS INTEGER) AS r, CAST(s AS INTEGER) AS s, round(CASE WHEN stratum IN ('assortative', 'null') THEN CASE WHEN r = s THEN 0.9 ELSE 0.1 END
   WHEN stratum = 'disassortative' THEN CASE WHEN r = s THEN 0.1 ELSE 0.9 END WHEN stratum = 'core_periphery' THEN CASE WHEN r = 0 AND s = 0 THEN 0.9 WHEN r = 0 OR s = 0 THEN 0.5 ELSE 0.1 END
-  ELSE 0.1 + (0.9 - 0.1) * ({_U('r', 's')} + {_U('s', 'r')}) / 2 END::DOUBLE, 6) AS mu FROM gr WHERE stratum <> 'mixed' OR r <= s""",
+  ELSE 0.1 + (0.9 - 0.1) * ({_U('r', 's')} + {_U('s', 'r')}) / 2 END::DOUBLE, 6) AS mu FROM gr""",
     "omega_motifs": f"""WITH {_OM}, t AS (SELECT x.id, CASE WHEN abs(a.mu - x.mu) <= 1e-12 AND abs(b.mu - x.mu) <= 1e-12 THEN 'degenerate' WHEN least(a.mu, b.mu) > x.mu THEN 'assortative' WHEN x.mu > greatest(a.mu, b.mu) THEN 'disassortative' ELSE 'core_periphery' END AS motif
 FROM om x JOIN om a ON a.id = x.id AND a.r = x.r AND a.s = x.r JOIN om b ON b.id = x.id AND b.r = x.s AND b.s = x.s WHERE x.r < x.s) SELECT motif, count(*) AS pairs FROM t GROUP BY motif""",
     "density_grid": f"""WITH {_G}, x AS (SELECT *, p0 * K / (rho + K - 1) AS pb FROM gr)
@@ -132,6 +131,9 @@ SELECT id, CAST(r AS INTEGER) AS r, CAST(s AS INTEGER) AS s, round(least(greates
     "equal_sizes": f"WITH {_D}, b AS (SELECT id, K, unnest(range(0, K)) AS j FROM ds) SELECT id, CAST(j AS INTEGER) AS community, CAST(floor((j + 1) * 50 / K) - floor(j * 50 / K) AS BIGINT) AS n FROM b",
     "core_assign": f"""WITH {_D}, c AS (SELECT id, K, {_CORE} AS nc FROM ds WHERE stratum = 'core_periphery'), b AS (SELECT id, K, nc, unnest(range(0, K)) AS j FROM c)
 SELECT id, CAST(j AS INTEGER) AS community, CAST(CASE WHEN j = 0 THEN nc ELSE floor(j * (50 - nc) / (K - 1)) - floor((j - 1) * (50 - nc) / (K - 1)) END AS BIGINT) AS n FROM b""",
+    "search_space": """WITH k AS (SELECT s_suppkey AS id, unnest([1, 2]) AS res_id FROM supplier), h AS (SELECT id, res_id, unnest(['lr', 'sr']) AS hp FROM k),
+u AS (SELECT *, CAST(('0x' || substr(md5(concat_ws(':', id, res_id, hp)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u, CASE hp WHEN 'lr' THEN ln(0.01::DOUBLE) ELSE ln(0.1::DOUBLE) END AS lo, CASE hp WHEN 'lr' THEN ln(1.0::DOUBLE) ELSE ln(1.5::DOUBLE) END AS hi FROM h)
+SELECT id, res_id, hp, round(exp(lo + (hi - lo) * u), 6) AS value FROM u UNION ALL SELECT id, res_id, 'units', 100.0::DOUBLE FROM k""",
     "apportion": """WITH n AS (SELECT n_regionkey, n_nationkey, CAST(count(c_custkey) AS DOUBLE) AS share FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2),
 x AS (SELECT *, share / sum(share) OVER w * (1000 - count(*) OVER w) AS exact, 1000 - count(*) OVER w AS spare FROM n WINDOW w AS (PARTITION BY n_regionkey)),
 y AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY round(exact - floor(exact), 9) DESC, n_nationkey) AS nth, spare - sum(floor(exact)) OVER (PARTITION BY n_regionkey) AS short FROM x)

@@ -66,8 +66,17 @@ def discovered(df: DataFrame, pattern: str = r"/([^/]+)_(\d+)/[^/]*$") -> DataFr
 
 
 def part_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A design for each part: stratum, communities and contrasts from its key, densities from its size and price."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    """A design for each part."""
+    return _designs(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")))
+
+
+def supplier_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A design for each supplier; a supplier's size is its nation's number."""
+    return _designs(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (1 + F.col("s_nationkey")).alias("size"), F.abs("s_acctbal").alias("price")))
+
+
+def _designs(p: DataFrame) -> DataFrame:
+    """From ``id, size, price``: stratum, communities and contrasts from the key, densities from size and price."""
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
     stratum = pick(STRATA, F.col("id"))
     null, core = stratum == "null", stratum == "core_periphery"
