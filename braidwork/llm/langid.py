@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from braidwork.llm.common import crc, read, small_batches
 
 #: Rows of each language from which the pieces' probabilities are learned, and distinct words of all of them.
-SAMPLE_DOCS, SAMPLE_WORDS = 800, 200_000
+SAMPLE_DOCS, SAMPLE_WORDS = 500, 60_000
 #: Longest piece and longest block of letters; words that a worker remembers; rounds of learning.
 PIECE, WORD, MEMORY, ROUNDS = 7, 32, 200_000, 3
 START = "▁"

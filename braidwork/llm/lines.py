@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import cut, n_words, read, small_batches
+from braidwork.llm.common import cut, n_words, read, settled, small_batches
 
 MIN_WORDS = 50
 
@@ -41,14 +41,14 @@ def line_table(docs: DataFrame) -> DataFrame:
 def stretches(lines: DataFrame, min_words: int) -> DataFrame:
     """Lines that repeat, in stretches of enough words: ``id, tag, s, i, p, w, before`` and the line's rank."""
     repeated = lines.groupBy("h", "c").agg(F.count("*").alias("n")).filter("n > 1")
-    ranks = cut(_in_order(repeated.select("h", "c"), ["h", "c"]))
+    ranks = settled(_in_order(repeated.select("h", "c"), ["h", "c"]))
     own = lines.join(ranks, ["h", "c"]).select("id", "tag", "i", "p", "w", "rank").dropDuplicates(["id", "tag", "i"])
     doc = Window.partitionBy("id", "tag").orderBy("i")
     own = own.withColumn("s", F.col("i") - F.row_number().over(doc))
     stretch = Window.partitionBy("id", "tag", "s")
     so_far = stretch.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("words", F.sum("w").over(stretch)).filter(F.col("words") >= min_words)
-    return cut(own.withColumn("before", F.sum("w").over(so_far) - F.col("w")).drop("words"))
+    return settled(own.withColumn("before", F.sum("w").over(so_far) - F.col("w")).drop("words"))
 
 
 def _in_order(keys: DataFrame, by: list[str]) -> DataFrame:
@@ -73,31 +73,27 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``id, tag, p`` of each line that lies in a later copy of a run; docs: id, text."""
     lines = cut(line_table(docs))
     own = stretches(lines, min_words)
-    wins = cut(windows(own, min_words))
+    wins = settled(windows(own, min_words))
     longest = wins.agg(F.max("m")).first()[0] or 0
     ranks = own.select("id", "tag", "s", "i", "rank")
-    level, found = 0, []
-    while 1 << level <= longest:
-        size = 1 << level
-        here = wins.filter((F.col("m") >= size) & (F.col("m") < 2 * size))
-        at = ranks.select("id", "tag", "i", "rank")
-        ends = here.withColumn("j", F.col("i") + F.col("m") - size).join(at.withColumnRenamed("rank", "a"), ["id", "tag", "i"])
-        ends = ends.join(at.select("id", "tag", F.col("i").alias("j"), F.col("rank").alias("b")), ["id", "tag", "j"])
-        ends = ends.select("id", "tag", "i", "m", "a", "b")
-        interval = ends.groupBy("m", "a", "b").agg(F.min(F.struct("id", "tag", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        later = ends.join(interval.select("m", "a", "b", "first"), ["m", "a", "b"])
-        found.append(later.filter(F.struct("id", "tag", "i") != F.col("first")).select("id", "tag", "i", "m"))
-        level += 1
-        if 1 << level <= longest:
-            ahead = F.lead("rank", size).over(Window.partitionBy("id", "tag", "s").orderBy("i"))
-            pairs = cut(ranks.withColumn("next", F.coalesce(ahead, F.lit(-1))))
-            named = cut(_in_order(pairs.select("rank", "next").distinct().withColumnsRenamed({"rank": "r"}), ["r", "next"]))
-            ranks = pairs.withColumnRenamed("rank", "r").join(named, ["r", "next"]).select("id", "tag", "s", "i", "rank")
-    later = wins.limit(0)
-    for x in found:
-        later = later.union(x)
+    levels = [ranks]
+    while 2 << (len(levels) - 1) <= longest:
+        ahead = F.lead("rank", 1 << (len(levels) - 1)).over(Window.partitionBy("id", "tag", "s").orderBy("i"))
+        pairs = settled(ranks.withColumn("next", F.coalesce(ahead, F.lit(-1))).withColumnRenamed("rank", "r"))
+        named = settled(_in_order(pairs.select("r", "next").distinct(), ["r", "next"]))
+        ranks = settled(pairs.join(named, ["r", "next"]).select("id", "tag", "s", "i", "rank"))
+        levels.append(ranks)
+    every = levels[0].withColumn("level", F.lit(0))
+    for k, x in enumerate(levels[1:], 1):
+        every = every.union(x.withColumn("level", F.lit(k)))
+    every = every.select("level", "id", "tag", "i", "rank")
+    wins = wins.withColumn("level", F.length(F.bin("m")) - 1).withColumn("j", F.expr("i + m - shiftleft(1, level)"))
+    ends = wins.join(every.withColumnRenamed("rank", "a"), ["level", "id", "tag", "i"])
+    ends = settled(ends.join(every.withColumnsRenamed({"rank": "b", "i": "j"}), ["level", "id", "tag", "j"]).select("id", "tag", "i", "m", "a", "b"))
+    interval = ends.groupBy("m", "a", "b").agg(F.min(F.struct("id", "tag", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = ends.join(interval.select("m", "a", "b", "first"), ["m", "a", "b"]).filter(F.struct("id", "tag", "i") != F.col("first"))
     gone = later.select("id", "tag", F.explode(F.sequence("i", F.col("i") + F.col("m") - 1)).alias("i")).distinct()
-    return gone.join(own.select("id", "tag", "i", "p"), ["id", "tag", "i"]).select("id", "tag", "p")
+    return settled(gone.join(own.select("id", "tag", "i", "p"), ["id", "tag", "i"]).select("id", "tag", "p"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
