@@ -11,7 +11,7 @@ from braidwork.operators import logs
 from braidwork.operators import sequence as q
 from braidwork.operators import vectors
 from braidwork.plans.log_queries import LOG
-from braidwork.session import cut, table
+from braidwork.session import cut, shared_folder, table
 from braidwork.sources.events import user_log
 from braidwork.streaming import reservoirs as stream
 
@@ -136,8 +136,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _through(spark: SparkSession, sf_dir: str, own: list, **how) -> DataFrame:
-    cut(spark.range(1))  # names the shared folder
-    out = stream.run_once(stream.contexts(_stream(spark, sf_dir), own, **how), f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}")
+    out = stream.run_once(stream.contexts(_stream(spark, sf_dir), own, **how), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
     return out.select("run", "step", F.size("context").alias("units"), F.round(q.mean_of(F.col("context")), 6).alias("mean"))
 
 

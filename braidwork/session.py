@@ -44,13 +44,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: the session's ``spark.checkpoint.dir``, or a local one where none is named (tests on one machine)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the session's shared checkpoint folder, its lineage ended.
+    """``df`` computed once and kept in the shared folder, its lineage ended, so that lost executors cost no recomputation.
 
     For small results that a plan uses several times, and for rounds of iteration.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
