@@ -8,6 +8,8 @@ from bisect import bisect, insort
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidwork.session import cut, shared_folder
+
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -27,21 +29,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(words, lambda w: w != "")), F.lit(0)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors share: the session's ``spark.checkpoint.dir``, or a local one where none is named (tests on one machine)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the shared folder, so that lost executors cost no recomputation from the start."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def settled(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``cut``, then read in partitions of about so many rows, so that small tables don't shuffle from many tasks."""
     out = cut(df)
