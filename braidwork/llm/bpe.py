@@ -16,6 +16,7 @@ are replaced.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import unicodedata
@@ -30,8 +31,8 @@ from braidwork.llm.common import read, small_batches
 
 #: How words are cut; \p{L} and \p{N} as in the public tokenizer's own pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a worker remembers, words in one block, and bytes up to which a word joins a block.
-MEMORY, BLOCK, SHORT = 150_000, 10_000, 32
+#: Words that a worker remembers within a task and from task to task, words in one block, and bytes up to which a word joins a block.
+MEMORY, KEPT, BLOCK, SHORT = 150_000, 30_000, 10_000, 32
 NONE = np.int64(1) << 62
 
 
@@ -195,10 +196,14 @@ class Encoder:
         letter = regex.compile(r"[\p{L}\p{N}]")
         odd = [c for c in map(chr, range(0x370, 0x110000)) if unicodedata.category(c) == "Cn" and letter.match(c)]
         self.odd, self.far = set(odd), re.compile("[\u0370-\U0010ffff]").search
-        self.forget()
+        self.words, self.offsets, self.flat = _Words(), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def forget(self) -> None:
-        self.words, self.offsets, self.flat = _Words(), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        """All words but the first ones met, which are the commonest."""
+        if len(self.words) > KEPT:
+            self.words = _Words(zip(itertools.islice(self.words, KEPT), range(KEPT), strict=True))
+            self.offsets = self.offsets[: KEPT + 1].copy()
+            self.flat = self.flat[: self.offsets[-1]].copy()
 
     @functools.cached_property
     def library_cut(self):
@@ -280,6 +285,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids
             ids = [x for part in _rows(texts) for x in coder.encode(part)]
             out = pd.DataFrame({"ids": pd.Series(ids, dtype=object)})
             yield out.assign(decoded=pd.Series([coder.decode(x) for x in ids], dtype=object)) if decoded_col else out
+        coder.forget()
 
     small_batches(docs.sparkSession, 500, 2)
     out = docs.withColumn("_bpe", both(F.col(text_col).cast("string"))).withColumn(ids_col, F.col("_bpe.ids"))

@@ -181,7 +181,7 @@ def predict(docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", text
             best = odds.argmax(axis=1)
             yield pd.DataFrame({"lang_pred": np.where(none, "und", np.array(langs, dtype=object)[best]), "score": np.where(none, 0.0, 1 / odds.sum(axis=1))})
 
-    out = docs.withColumn("_lang", of(F.col(text_col).cast("string")))
+    out = docs.withColumn("_lang", of.asNondeterministic()(F.col(text_col).cast("string")))  # a filter must not run it twice
     return out.withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("score", F.col("_lang.score")).drop("_lang")
 
 

@@ -121,8 +121,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = docs.drop("n_lines", "n_deleted", "emptied").join(dropped, (docs[id_col] == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_tag")), "left")
     n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     out = out.withColumn("n_lines", F.coalesce(n, F.lit(0))).withColumn("n_deleted", F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")))
-    # only texts that lose a line are sent to be cut
-    out = out.withColumn("_left", cleared(F.when(F.col("n_deleted") > 0, text), "_dropped"))
+    # only texts that lose a line are sent to be cut; a filter on the result must not cut them a second time
+    out = out.withColumn("_left", cleared.asNondeterministic()(F.when(F.col("n_deleted") > 0, text), "_dropped"))
     out = out.withColumn("emptied", F.col("_left.emptied")).withColumn(text_col, F.when(F.col("n_deleted") > 0, F.col("_left.text")).otherwise(text))
     return out.drop("_id", "_tag", "_dropped", "_left")
 

@@ -169,7 +169,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     sets = _picked(texts, ids).withColumn("set", _sets(k)("text")).drop("text")
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"), F.size("set").alias("n_a"))
     b = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"), F.size("set").alias("n_b"))
-    met = _overlap(pairs.select("a", "b").join(a, "a").join(b, "b"))
+    # merge joins, so that sets are made in one stage and compared in another, each with one Python worker a task
+    met = _overlap(pairs.select("a", "b").join(a.hint("merge"), "a").join(b.hint("merge"), "b"))
     return settled(met.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b").distinct())
 
 
