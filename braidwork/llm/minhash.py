@@ -119,7 +119,7 @@ def _sets(k: int):
         for texts in batches:
             yield pd.Series([h.view(np.int64) for i in range(0, len(texts), 500) for h in shingle_sets(texts.iloc[i : i + 500].tolist(), k)], dtype=object)
 
-    return sets
+    return sets.asNondeterministic()  # else a filter on the sets is pushed below the join that picks their texts
 
 
 def by_chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
