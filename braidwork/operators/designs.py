@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.session import cut
+
 #: Fixed values of the design space.
 STRATA = ("assortative", "disassortative", "core_periphery", "mixed", "null")
 COMMUNITIES = (2, 3, 4, 6, 8, 12, 16)
@@ -101,6 +103,11 @@ def apportion(shares: DataFrame, total: str, group: str, key: str, share: str =
     return out.select(group, key, (1 + F.col("whole") + F.when(F.col("at") <= F.col("short"), 1).otherwise(0)).cast("long").alias("n"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for small rows that each take long."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, "id")
+
+
 def sampled(keys: DataFrame, per: str = "stratum") -> DataFrame:
     """A random design for each row of ``id, stratum``, from a generator seeded by the id."""
     schema = "id long, stratum string, K int, p0 double, centre_u double, sigma_ratio double, rho double, size_alpha double, f double, core_fraction double, contrast_u double, seed long"
@@ -136,7 +143,7 @@ def search_space(keys: DataFrame, reservoirs: int, ranges: dict[str, tuple[float
 
 def spectral_scaled(w: np.ndarray, radius: float) -> np.ndarray:
     """``w`` with its largest absolute eigenvalue at ``radius``; a zero matrix stays."""
-    now = np.abs(np.linalg.eigvals(w)).max(initial=0.0)
+    now = np.abs(np.linalg.eigvalsh(w) if np.array_equal(w, w.T) else np.linalg.eigvals(w)).max(initial=0.0)
     return w * (radius / now) if now > 0 else w
 
 
@@ -203,7 +210,7 @@ def networks(designs: DataFrame, n: int = 60, radius: float = 0.9) -> tuple[Data
                 yield pd.DataFrame({"net": d["id"], "src": src, "dst": dst, "w": w[src, dst]})
                 yield pd.DataFrame({"net": d["id"], "src": np.arange(n), "dst": -1 - z, "w": 0.0})  # nodes' communities, as -1 - z
 
-    rows = designs.mapInPandas(build, "net long, src int, dst int, w double")
+    rows = cut(spread(designs).mapInPandas(build, "net long, src int, dst int, w double"))  # sampled once for all measures
     return rows.filter("dst >= 0"), rows.filter("dst < 0").select("net", F.col("src").alias("node"), (-1 - F.col("dst")).alias("community"))
 
 
@@ -219,7 +226,7 @@ def ornstein_uhlenbeck(keys: DataFrame, steps: int, dims: int = 10, theta: float
                 z = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
                 yield pd.DataFrame({"id": i, "t": np.arange(steps, dtype=np.int32), "u": list(z)})
 
-    return keys.select("id").mapInPandas(walk, "id long, t int, u array<double>")
+    return spread(keys.select("id")).mapInPandas(walk, "id long, t int, u array<double>")
 
 
 def mackey_glass(keys: DataFrame, steps: int, tau: int = 17, a: float = 0.2, b: float = 0.1, n: int = 10, h: float = 1.0) -> DataFrame:
@@ -242,4 +249,4 @@ def mackey_glass(keys: DataFrame, steps: int, tau: int = 17, a: float = 0.2, b:
                     x[t + 1] = x[t] + h * (k1 + 2 * k2 + 2 * k3 + push - b * (x[t] + h * k3)) / 6
                 yield pd.DataFrame({"id": i, "t": np.arange(steps, dtype=np.int32), "x": x[lag + 1 :]})
 
-    return keys.select("id").mapInPandas(run, "id long, t int, x double")
+    return spread(keys.select("id")).mapInPandas(run, "id long, t int, x double")

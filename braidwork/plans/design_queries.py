@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from braidwork.operators import designs as d
 from braidwork.operators import graph
-from braidwork.session import cut, table
+from braidwork.session import table
 from braidwork.sources.designs import part_designs, supplier_designs
 
 
@@ -85,7 +85,7 @@ def sample_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def network_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight measures of a sampled network of 24 nodes for each supplier."""
     edges, nodes = d.networks(supplier_designs(spark, sf_dir), 24)
-    out = graph.descriptors(cut(edges), cut(nodes))
+    out = graph.descriptors(edges, nodes)
     return out.select("net", *[F.round(c, 6).alias(c) for c in out.columns if c != "net"])
 
 
