@@ -6,7 +6,8 @@ bigrams and shares at least n * t / (2 - t) of the template's. These bounds prun
 where so many of its bigrams lie within its longest window, and only there are windows compared.
 
 Of windows of one template that overlap, the best stays (the earlier, then the shorter on ties). Of templates
-that match in one place, all are given; ``best`` marks the one of the highest Dice, then the longest.
+that match in one place, all are given; ``best`` marks the one of the highest Dice, then the longest;
+a match inside one of a template at least 1.5 times as long is a part of that and not the best.
 
 Defined cases: a null, empty or blank text has no match; a text shorter than a template may match it within
 the size bounds; repeated rows are treated alike; columns named like the results are replaced.
@@ -24,11 +25,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import free, read, small_batches
+from braidwork.llm.licence_texts import BODIES
 
 LEAST = 0.8
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
-#: Notices and short texts of public licences, by SPDX id.
+#: A match gives way to one around it whose template is so many times longer.
+PART = 1.5
+
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_DISCLAIMER = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_DISCLAIMER = " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+#: GNU licences whose header notices differ in a word or two: name and version.
+_GNU = {"GPL-2.0": ("", "2"), "GPL-3.0": ("", "3"), "LGPL-2.0": ("Library ", "2"), "LGPL-2.1": ("Lesser ", "2.1"), "LGPL-3.0": ("Lesser ", "3"), "AGPL-3.0": ("Affero ", "3")}
+
+
+def _gnu_notices(kind: str, version: str) -> tuple[str, ...]:
+    """The header with a later version allowed and not, short and with the line on the copy."""
+    name, what = f"GNU {kind}General Public License", "library" if kind in ("Library ", "Lesser ") else "program"
+    out = []
+    for terms in (f"{name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.", f"{name} version {version} as published by the Free Software Foundation."):
+        short = f"This {what} is free software; you can redistribute it and/or modify it under the terms of the {terms} This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+        out += [short, f"{short} You should have received a copy of the {name} along with this {what}. If not, see https://www.gnu.org/licenses/."]
+    return (*out, f"Licensed under the {name} version {version}.", f"This work is licensed under the {name}, version {version}.")
+
+
+#: Short lines, notices and whole texts of public licences, by SPDX id.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -46,10 +70,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
     "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    ),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "BSD-2-Clause": (_BSD, _BSD + _DISCLAIMER, "Licensed under the BSD 2-Clause License."),
+    "BSD-3-Clause": (_BSD + _THIRD, _BSD + _THIRD + _DISCLAIMER, "Licensed under the BSD 3-Clause License."),
+    "ISC": (_ISC, _ISC + _ISC_DISCLAIMER, "Licensed under the ISC License."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -57,6 +80,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC0-1.0": ("To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
 }
+for _licence, _named in _GNU.items():
+    TEMPLATES[_licence] = tuple(dict.fromkeys((*TEMPLATES.get(_licence, ()), *_gnu_notices(*_named))))
+for _licence, _body in BODIES.items():
+    TEMPLATES[_licence] = (*TEMPLATES[_licence], _body)
 
 
 def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -99,29 +126,39 @@ class Scanner:
     def _windows(self, words: list[str], hits: list[int], grams: Counter, n: int) -> list[tuple[int, int, float]]:
         """Best windows of words a to b. They begin and end with hits: cutting others off raises Dice."""
         longest, need, found = int(n * (2 - self.least) / self.least + 1e-9), self.shared(n), []
-        for i, first in enumerate(hits):
-            if i + need > len(hits) or hits[i + need - 1] - first + 1 > longest:
+        at = np.array(hits)
+        # a hit counts in a window if as many equal hits as the template has don't lie between the window's start and it
+        seen: dict[tuple[str, str], list[int]] = defaultdict(list)
+        full = np.empty(len(at), np.int64)
+        for j, i in enumerate(hits):
+            g = (words[i], words[i + 1])
+            own = seen[g]
+            full[j] = own[-grams[g]] if len(own) >= grams[g] else -1
+            own.append(j)
+        parts = [(0, len(at))]
+        while parts:
+            low, high = parts.pop()
+            if high - low < need:
                 continue
-            left, both = grams.copy(), 0
-            for last in hits[i:]:
-                size = last - first + 1
-                if size > longest:
-                    break
-                g = (words[last], words[last + 1])
-                if left[g] > 0:
-                    left[g] -= 1
-                    both += 1
-                    dice = 2 * both / (size + n)
-                    if dice >= self.least:
-                        found.append((first, last + 1, dice))
-        found.sort(key=lambda w: (-w[2], w[0], w[1]))
-        taken: list[tuple[int, int]] = []
-        return [w for w in found if free(taken, w[0], w[1] + 1)]
+            best = (0.0, 0, 0)
+            stops = np.minimum(np.searchsorted(at[low:high], at[low:high] + longest) + low, high)
+            for k in np.flatnonzero(stops - np.arange(low, high) >= need):
+                i, stop = low + int(k), int(stops[k])
+                dice = 2 * np.cumsum(full[i:stop] < i) / (at[i:stop] - at[i] + 1 + n)
+                j = int(dice.argmax())
+                if dice[j] > best[0]:
+                    best = (float(dice[j]), i, i + j)
+            if best[0] >= self.least:
+                dice, i, j = best
+                found.append((int(at[i]), int(at[j]) + 1, dice))
+                parts += [(low, int(np.searchsorted(at, at[i] - 1))), (int(np.searchsorted(at, at[j] + 2)), high)]
+        return found
 
     @staticmethod
     def _marked(found: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float, bool]]:
         best, taken = set(), list[tuple[int, int]]()
-        for k in sorted(range(len(found)), key=lambda k: (-found[k][3], -found[k][4], found[k][1], found[k][0])):
+        part = {k for k, m in enumerate(found) if any(w[1] <= m[1] and m[2] <= w[2] and w[4] >= PART * m[4] for w in found)}
+        for k in sorted(set(range(len(found))) - part, key=lambda k: (-found[k][3], -found[k][4], found[k][1], found[k][0])):
             if free(taken, *found[k][1:3]):
                 best.add(k)
         return [(*m[:4], k in best) for k, m in enumerate(found)]

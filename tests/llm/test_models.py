@@ -77,6 +77,21 @@ def test_licences_by_brute_force():
     assert scanner.scan("the version of the work under the general public") == []
 
 
+def test_whole_licences_and_headers():
+    scanner = licences.Scanner(licences.TEMPLATES, licences.LEAST)
+    best = lambda text: [(m[0], round(m[3], 2) >= 0.95) for m in scanner.scan(text) if m[4]]
+    bsd = licences._BSD
+    end = licences._DISCLAIMER.replace("COPYRIGHT HOLDER OR", "REGENTS OR")
+    third = " 3. Neither the name of the Example University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    assert best(f"Copyright 2020 Ann. {bsd}{third}{end}") == [("BSD-3-Clause", True)]
+    assert best(f"Copyright 2020 Ann. {bsd}{end}") == [("BSD-2-Clause", True)]
+    notice = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation; either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details."
+    for licence, name, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("AGPL-3.0", "Affero ", "3"), ("LGPL-3.0", "Lesser ", "3"), ("LGPL-2.1", "Lesser ", "2.1")):
+        assert best("Some prose. " + notice.format(name, version) + " More prose.") == [(licence, True)]
+    for licence in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "ISC"):
+        assert best("Some prose. " + max(licences.TEMPLATES[licence], key=len) + " More prose.") == [(licence, True)], licence
+
+
 def test_mix_meets_targets(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     plan = mixing.mix(docs)
