@@ -16,17 +16,19 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import crc, read, small_batches
+from braidwork.llm.common import crc, read, settled, small_batches
 
-#: Rows of each language from which the pieces' probabilities are learned, and distinct words of all of them.
-SAMPLE_DOCS, SAMPLE_WORDS = 500, 60_000
+#: Rows of each language from which the pieces' probabilities are learned; all their words count.
+SAMPLE_DOCS = 500
+#: Groups into which a language's words are dealt for learning; units of an expected count, whose sums are exact.
+DEALT, UNIT = 16, 2.0**-20
 #: Longest piece and longest block of letters; words that a worker remembers; rounds of learning.
 PIECE, WORD, MEMORY, ROUNDS = 7, 32, 200_000, 3
 START = "▁"
@@ -84,38 +86,52 @@ def by_length(words: list[str], block: int = 10_000) -> Iterator[np.ndarray]:
         yield from (at[k : k + block] for k in range(0, len(at), block))
 
 
-def learn(counts: pd.DataFrame, path: str) -> tuple[list[str], np.ndarray]:
-    """From ``lang, word, n`` the languages in order and pieces x languages of probabilities."""
-    number = pieces(path)
-    langs = sorted(counts["lang"].unique())
-    p = np.zeros((len(number) + 2, len(langs)))
-    for k, lang in enumerate(langs):
-        own = counts[counts["lang"] == lang]
-        words, n = own["word"].tolist(), own["n"].to_numpy(float)
-        groups = [(at, lattice([words[i] for i in at], number)) for at in by_length(words)]
-        q = np.zeros(len(number) + 2)
-        for at, edges in groups:  # at first every piece that occurs counts
+def expected(words: list[str], n: np.ndarray, number: dict[str, int], q: np.ndarray | None) -> np.ndarray:
+    """How often each piece is expected to occur under the probabilities ``q``; without, every piece that fits counts."""
+    new = np.zeros(len(number) + 2)
+    for at in by_length(words):
+        edges = lattice([words[i] for i in at], number)
+        if q is None:
             for here in edges:
                 for _, ids in here:
-                    q += np.bincount(ids, n[at], len(q))
-        for _ in range(ROUNDS):
-            q[ABSENT] = 0
-            q[1:] += 0.1
-            q /= q.sum()
-            new = np.zeros_like(q)
-            for at, edges in groups:
-                alpha = forward(edges, q[:, None])[:, :, 0]
-                beta = np.zeros_like(alpha)
-                beta[-1] = n[at] / alpha[-1]
-                for end in range(len(edges), 0, -1):
-                    for size, ids in edges[end - 1]:
-                        flow = q[ids] * beta[end]
-                        new += np.bincount(ids, flow * alpha[end - size], len(q))
-                        beta[end - size] += flow
-            q = new
-        q[ABSENT] = 0
-        q[1:] += 0.1
-        p[:, k] = q / q.sum()
+                    new += np.bincount(ids, n[at], len(new))
+            continue
+        alpha = forward(edges, q[:, None])[:, :, 0]
+        beta = np.zeros_like(alpha)
+        beta[-1] = n[at] / alpha[-1]
+        for end in range(len(edges), 0, -1):
+            for size, ids in edges[end - 1]:
+                flow = q[ids] * beta[end]
+                new += np.bincount(ids, flow * alpha[end - size], len(new))
+                beta[end - size] += flow
+    return new
+
+
+def _counting(langs: list[str], p: np.ndarray | None, path: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def counted(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("word")
+        lang = own["lang"].iloc[0]
+        q = expected(own["word"].tolist(), own["n"].to_numpy(float), pieces(path), None if p is None else p[:, langs.index(lang)])
+        units = np.rint(q / UNIT).astype(np.int64)
+        units[ABSENT] = 0
+        at = np.flatnonzero(units)
+        return pd.DataFrame({"lang": lang, "piece": at.astype(np.int32), "units": units[at]})
+
+    return counted
+
+
+def learn(words: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
+    """From ``lang, word, n`` the languages in order and pieces x languages of probabilities; words stay in Spark."""
+    langs, p = [], None
+    dealt = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(DEALT))).groupBy("lang", "part")
+    for _ in range(ROUNDS + 1):
+        counted = dealt.applyInPandas(_counting(langs, p, path), "lang string, piece int, units long")
+        found = counted.groupBy("lang", "piece").agg(F.sum("units").alias("units")).toPandas()
+        langs = sorted(found["lang"].unique())
+        p = np.zeros((len(pieces(path)) + 2, len(langs)))
+        p[found["piece"].to_numpy(int), found["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(int)] = found["units"].to_numpy(float) * UNIT
+        p[1:] += 0.1
+        p /= p.sum(axis=0)
     return langs, p
 
 
@@ -149,24 +165,24 @@ class Scorer:
         return np.array([np.full(len(self.langs), np.nan) if at is None else self.logs[at].sum(axis=0) for at in docs]).reshape(len(texts), len(self.langs))
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = SAMPLE_DOCS, most_words: int = SAMPLE_WORDS) -> pd.DataFrame:
-    """``lang, word, n`` of about ``most`` rows of each language, chosen by a hash of the id; at most ``most_words`` rows."""
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = SAMPLE_DOCS) -> DataFrame | None:
+    """``lang, word, n`` of about ``most`` rows of each language, chosen by a hash of the id; None without a labelled row."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    found = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()  # languages, not rows
+    found = docs.groupBy("lang").count().collect()  # languages, not rows
     if not found:
-        return pd.DataFrame({"lang": [], "word": [], "n": []})
-    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], most / r["count"])])
+        return None
+    share = F.create_map(*[F.lit(x) for r in sorted(found) for x in (r["lang"], most / r["count"])])
     drawn = docs.filter(F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
     words = drawn.select("lang", F.explode(F.expr(rf"regexp_extract_all(lower(text), '\\p{{L}}{{1,{WORD}}}', 0)")).alias("word"))
-    return words.groupBy("lang", "word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word", "lang").limit(most_words).toPandas()
+    return settled(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
 
 
 def predict(docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", path: str | None = None) -> DataFrame:
     """``docs`` with lang_pred and score; only ``learn_from`` gives languages."""
     path = path or default_path()
     small_batches(docs.sparkSession)
-    counts = sample(learn_from, id_col, text_col, lang_col)
-    langs, p = learn(counts, path)
+    words = sample(learn_from, id_col, text_col, lang_col)
+    langs, p = learn(words, path) if words is not None else ([], None)
     if not langs:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
 

@@ -16,6 +16,16 @@ def test_language_accuracy(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
 
 
+def test_rare_language_is_learned_beside_large_ones(spark):
+    rng = np.random.default_rng(4)
+    word = lambda letters, n: "".join(rng.choice(list(letters), n))
+    rows = [(lang, " ".join(word(letters, 8) for _ in range(100))) for lang, letters in (("aa", "abcde"), ("bb", "fghij"), ("cc", "klmno")) for _ in range(400)]
+    rows += [("zz", word("vwxyz", 32)) for _ in range(8)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = langid.predict(docs, docs.filter("doc_id < 1204")).filter("lang = 'zz'").select("lang_pred").collect()
+    assert [r[0] for r in got] == ["zz"] * 8
+
+
 def test_forward_sums_all_segmentations():
     number = langid.pieces(langid.default_path())
     p = np.random.default_rng(0).random((len(number) + 2, 1))
