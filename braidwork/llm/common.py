@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from bisect import bisect, insort
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,34 @@ def settled(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return out.coalesce(max(1, -(-out.count() // rows)))
 
 
+def few(df: DataFrame, rows: int = 20_000) -> Callable[[DataFrame], DataFrame]:
+    """What marks a table as long as ``df`` for a broadcast, if it was counted to be short; beyond, joins shuffle."""
+    return F.broadcast if df.limit(rows + 1).count() <= rows else lambda x: x
+
+
+#: A key is common if it has more rows than this and than a hundred-thousandth of all rows: there are 100,000 such keys at most.
+COMMON, MOST_COMMON = 256, 100_000
+
+
+def common(rows: DataFrame, keys: list[str], n: int | None = None) -> DataFrame | None:
+    """The common keys of ``rows``, None if there is none; ``n`` is the number of rows, if it is known."""
+    least = max(COMMON, (rows.count() if n is None else n) // MOST_COMMON)
+    found = cut(rows.groupBy(*keys).count().filter(F.col("count") > least).drop("count"))
+    return None if found.isEmpty() else found
+
+
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], how: str, shared: DataFrame | None) -> DataFrame:
+    """``rows`` joined to a table of one row a key, where single keys (``shared``) hold many of the rows.
+
+    These meet their few rows of the table by a broadcast, wherever they lie; the others are shuffled. Both frames
+    are read twice, so they should be written or cut.
+    """
+    if shared is None:
+        return rows.join(table, keys, how)
+    met = rows.join(F.broadcast(shared.join(table, keys, how)), keys)
+    return met.unionByName(rows.join(F.broadcast(shared), keys, "left_anti").join(table, keys, how))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -49,6 +78,18 @@ def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) ->
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, lengthened until none of them is among ``columns`` (compared without case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
     """Put [a, b) among sorted, disjoint spans if it overlaps none of them."""
     i = bisect(taken, (a, b))

@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import settled
+from braidwork.llm.common import common, joined, settled
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component`` of every id in ``links``; component is the smallest id reachable.
 
-    In a round each group takes the smallest label next to any of its members, then labels are followed one
-    step further, so the rounds grow with the logarithm of a chain's length. Labels and links stay
-    distributed; the driver sees only whether a round changed anything.
+    In a round each id takes the smallest label next to it, hands it on to the id that its own label names, and
+    follows that label one step further, so the rounds grow with the logarithm of a chain's length. Ids with many
+    links and labels with many ids are looked up by a broadcast of the few such keys, so neither a hub nor a large
+    component is one task's work. The driver sees only whether a round changed anything.
     """
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     ends = settled(ends.union(ends.select("v", "u")).distinct())
+    hubs = common(ends, ["v"])
     labels = settled(ends.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("label")))
+    n = labels.count()
     while True:
-        near = ends.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        met = labels.join(near.withColumnRenamed("u", "id"), "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        lowest = met.groupBy("old").agg(F.min("label").alias("low"))
-        moved = met.join(lowest, "old").select("id", "old", F.col("low").alias("label"))
-        jump = moved.select(F.col("id").alias("at"), F.col("label").alias("next"))
-        labels = settled(moved.join(jump, moved["label"] == jump["at"], "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
+        near = joined(ends, labels.select(F.col("id").alias("v"), F.col("label").alias("near")), ["v"], "inner", hubs).groupBy(F.col("u").alias("id")).agg(F.min("near").alias("near"))
+        met = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
+        own = met.select("id", F.col("label").alias("old"), "low").union(met.filter("low < label").select("label", F.lit(None).cast(labels.schema["label"].dataType), "low"))
+        own = settled(own.groupBy("id").agg(F.max("old").alias("old"), F.min("low").alias("label")))
+        jump = own.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        labels = settled(joined(own, jump, ["label"], "left", common(own, ["label"], n)).select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
         if labels.filter("label <> old").isEmpty():
             return labels.select("id", F.col("label").alias("component"))
         labels = labels.select("id", "label")

@@ -19,6 +19,48 @@ def test_topk_against_all_scores(spark):
         assert [got[q][k] for k in range(1, 8)] == [(i, int(scores[i])) for i in order]
 
 
+def brute(vectors, queries, k):
+    """Lists of (id, score) by query over all rows of the query's length; vectors: (id, list)."""
+    out = {}
+    for q, x in queries:
+        found = [(-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in vectors if i != q and len(y) == len(x)]
+        out[q] = [(i, -s) for s, i in sorted(found)[:k]]
+    return out
+
+
+def lists(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    return out
+
+
+def test_topk_of_mixed_lengths_and_large_numbers(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, rng.integers(-99, 99, int(rng.choice([1, 2, 3, 17]))).tolist()) for i in range(300)]
+    data += [(300, [6_400_000_000, 3]), (301, [-6_400_000_000, 2**31]), (302, [2**26, 2**27 + 1]), (303, rng.integers(-9, 9, 5000).tolist()), (304, rng.integers(-9, 9, 5000).tolist())]
+    df = spark.createDataFrame(data, "id long, vec array<long>")
+    assert lists(topk.search(df, df, 9)) == {q: v for q, v in brute(data, data, 9).items() if v}
+
+
+def test_topk_saturates(spark):
+    df = spark.createDataFrame([(1, [3e38, 1.0]), (2, [3e38, 2.0]), (3, [-3e38, 0.0])], "vec_id long, embedding array<float>").withColumn("id", F.lit("own")).withColumn("score", F.lit(0))
+    top = 2**63 - 1
+    assert lists(topk.search(topk.whole_numbers(df), topk.whole_numbers(df), 2))[1] == [(2, top), (3, -top - 1)]
+
+
+def test_topk_prunes_where_vectors_cluster(spark, monkeypatch):
+    monkeypatch.setattr(topk, "START", 256)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 48))
+    x = np.floor(64 * (centres[rng.integers(0, 30, 6000)] + rng.normal(size=(6000, 48)) * 0.05)).astype(int)
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "id long, vec array<long>")
+    found, figures = topk.searched(df, df.filter("id % 300 = 0"), 5)
+    assert lists(found) == brute(data, data[::300], 5)
+    assert figures["rounds"] >= 2 and figures["scored"] <= 0.3 * figures["pairs"]
+
+
 def clusters(n, dims=24, seed=0):
     rng = np.random.default_rng(seed)
     out = []
