@@ -2,32 +2,42 @@
 
 Equal vectors are one node. Nodes are dealt into shards of bounded size, and each shard gets a graph of layers
 of decreasing size, built by inserting nodes in batches: a batch descends the layers, searches each with a
-beam, and links to diverse neighbours. Every shard is then queried with all nodes, in blocks. A node's beam is
-doubled for as long as all that it holds is similar enough; and a block's beams are doubled until an audit, in
-which a sample of its nodes is compared with the whole shard, misses nothing.
+beam, and links to diverse neighbours; nodes that thinning cut off are bridged again, so that a beam as wide as
+the shard sees all of it. Then the beam is widened until an audit passes: nodes turned away to a cosine at the
+very threshold must find all that is within it, which tests the graph however rare duplicates are.
 
-What a beam brings is verified by cosine in double precision. A block gives, for each of its nodes, the number
-of links and a spanning forest of the links, so a group of n alike nodes costs n rows and not n * n.
+Every shard is then queried with all nodes, which stream past it. A node's beam is doubled for as long as all
+that it holds is similar enough; and a batch's beams are doubled until a second audit, in which a sample of the
+batch is compared with the whole shard, misses nothing. Links come from the graph alone at every size; the audits'
+recall at the first width is a result of its own (``linked``).
+
+What a beam brings is verified by cosine in double precision. A batch gives each of its nodes' number of links
+and one partner, and a shard the forest of its own linked nodes, so a group of n alike nodes costs n rows for
+each shard and not n * n.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
-vectors of different lengths never link; a row without an id links with nothing and is kept; rows that repeat an id are vectors of their own for n_links and share
-a component; other columns are ignored.
+vectors of different lengths never link; a row without an id links with nothing and is kept; rows that repeat an
+id are vectors of their own for n_links and share a component; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import cut, read, small_batches
+from braidwork.llm.common import common, cut, few, joined, read, small_batches
 from braidwork.llm.components import components
 
-#: Fewest shards, most nodes of a shard and of a block of queries.
-SHARDS, SHARD_ROWS, BLOCK = 12, 200_000, 16_384
-#: Links of a node in upper layers (twice as many in the lowest), beam while building, first beam while querying, nodes audited in a block.
-LINKS, BUILD_BEAM, BEAM, AUDIT = 12, 32, 24, 48
+#: Nodes from which a table is dealt into one more shard, up to so many shards; most nodes of a shard; queries that share a copy of a shard.
+SHARD_LEAST, SHARDS, SHARD_ROWS, QUERIES = 2048, 12, 200_000, 262_144
+#: Links of a node in upper layers (twice as many in the lowest), beam while building, first beam while querying.
+LINKS, BUILD_BEAM, BEAM = 12, 32, 24
+#: Nodes of a shard turned away for its audit and the share of links they must find; nodes audited in a batch.
+TURNED, RECALL, AUDIT = 256, 0.99, 48
 
 
 class Graph:
@@ -46,6 +56,30 @@ class Graph:
             batch = order[done : done + max(1, min(done, 512))]
             self._insert(batch, level)
             done += len(batch)
+        self._bridge()
+
+    def _bridge(self) -> None:
+        """One more link for some nodes of the lowest layer, so that all nodes are reached from the entry."""
+        n, lists = len(self.x), self.layers[0]
+        bridge, seen = np.full(n, -1, np.int32), np.zeros(n, bool)
+
+        def reach(front: np.ndarray) -> None:
+            while len(front):
+                seen[front] = True
+                front = np.unique(lists[front])
+                front = front[(front >= 0) & ~seen[front]]
+
+        reach(np.array([self.entry][:n]))
+        for u in range(n):
+            if not seen[u]:
+                near = [r for r in lists[u] if r >= 0 and seen[r]]
+                r = next((r for r in near if bridge[r] < 0), self.entry)
+                while bridge[r] >= 0:
+                    r = bridge[r]
+                bridge[r] = u
+                reach(np.array([u]))
+        if (bridge >= 0).any():
+            self.layers[0] = np.column_stack([lists, bridge])
 
     def _insert(self, batch: np.ndarray, level: np.ndarray) -> None:
         start = np.full((len(batch), 1), self.entry, np.int64)
@@ -154,24 +188,45 @@ class Graph:
             start = self.beam(q, layer, start, 4)[0]
         return self.beam(q, 0, start, width)
 
-    def within(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Query and node numbers of all pairs found with similarity ``least``; beams widen until audits pass."""
+    def tuned(self, least: float, seed: int = 1) -> int:
+        """The first width at which nodes turned away to the threshold find what lies within it."""
+        rng, n = np.random.default_rng(seed), len(self.x)
+        own = self.x[rng.permutation(n)[:TURNED]].astype(np.float64)
+        away = rng.normal(size=own.shape)
+        away -= (away * own).sum(axis=1, keepdims=True) * own
+        size = np.linalg.norm(away, axis=1, keepdims=True)
+        q = (least * own + np.sqrt(1 - least * least) * away / np.where(size > 0, size, 1)).astype(np.float32)
+        near = least - 1e-4
+        true = (q @ self.x.T >= near).sum(axis=1)
+        width = BEAM
+        while width < n:
+            got = np.bincount(self._beams(q, near, width)[0], minlength=len(q))
+            if np.mean(np.minimum(got / np.maximum(true, 1), 1)) >= RECALL:
+                break
+            width *= 2
+        return min(width, max(n, 1))
+
+    def within(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Query and node numbers of all pairs found with similarity ``least``, links audited, and of these those found at once.
+
+        The beams widen until a sample of the queries misses nothing.
+        """
         n = len(self.x)
         audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-        truth = self.x @ q[audit].T >= least
-        width = BEAM
-        while width < n / 2:
-            found = self._beams(q, least, width)
+        truth = self.x @ q[audit].T >= least + 1e-6  # what rounding puts at the very edge doesn't count
+        place = np.full(len(q), -1)
+        place[audit] = np.arange(len(audit))
+        first = None
+        while True:
+            a, b = self._beams(q, least, width)
             got = np.zeros(truth.shape, bool)
-            place = np.full(len(q), -1)
-            place[audit] = np.arange(len(audit))
-            mine = place[found[0]] >= 0
-            got[found[1][mine], place[found[0][mine]]] = True
-            if not (truth & ~got).any():
-                return found
+            mine = place[a] >= 0
+            got[b[mine], place[a[mine]]] = True
+            hits = int((truth & got).sum())
+            first = hits if first is None else first
+            if hits == truth.sum() or width >= n:
+                return a, b, int(truth.sum()), first
             width *= 2
-        parts = [np.nonzero(q[k : k + 256] @ self.x.T >= least) for k in range(0, len(q), 256)]  # a beam as wide as the shard
-        return np.concatenate([p[0] + 256 * i for i, p in enumerate(parts)]), np.concatenate([p[1] for p in parts])
 
     def _beams(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -198,69 +253,122 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95) -> DataFrame:
-    """A row per vector: ``id, n_links, component_id, kept``."""
+class _Shard:
+    """A shard's graph in a task, and the forest of its own nodes that queries have linked."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.graph = Graph.__new__(Graph)
+        self.x = _unit(_matrix(rows["vec"]))
+        self.graph.x, self.graph.entry = self.x.astype(np.float32), int(rows["entry"].iloc[0])
+        self.graph.layers = [np.stack([np.asarray(v[k], np.int32) for v in rows["layers"]]) for k in range(len(rows["layers"].iloc[0]))]
+        self.ids, self.copies, self.width = rows["node"].to_numpy(), rows["copies"].to_numpy(float), int(rows["width"].iloc[0])
+        self.label, self.linked = np.arange(len(rows)), np.zeros(len(rows), bool)
+
+    def answer(self, q: pd.DataFrame, least: float) -> pd.DataFrame:
+        """A row per linked query: its links here and one of its partners; and one with the audit's counts."""
+        y, q_ids = _unit(_matrix(q["vec"])), q["node"].to_numpy()
+        a, b, true, found = self.graph.within(y.astype(np.float32), least - 1e-4, self.width)
+        sure = np.concatenate([(y[a[k : k + 65536]] * self.x[b[k : k + 65536]]).sum(axis=1) for k in range(0, len(a), 65536)] or [np.zeros(0)]) >= least
+        sure &= q_ids[a] != self.ids[b]
+        a, b = a[sure], b[sure]
+        first = np.full(len(q), len(self.ids))
+        np.minimum.at(first, a, b)
+        self.linked[b] = True
+        while True:  # the partners of a query are one group
+            new = self.label.copy()
+            np.minimum.at(new, b, self.label[first[a]])
+            np.minimum.at(new, first[a], self.label[b])
+            new = new[new]
+            if (new == self.label).all():
+                break
+            self.label = new
+        at = np.unique(a)
+        count = np.bincount(a, self.copies[b], len(q)).astype(np.int64)[at]
+        out = pd.DataFrame({"node": q_ids[at], "links": count, "root": self.ids[first[at]], "true": 0, "found": 0}).astype({"node": object, "root": object})
+        return pd.concat([out, pd.DataFrame([[None, 0, None, true, found]], columns=out.columns, dtype=object)], ignore_index=True)
+
+    def forest(self) -> pd.DataFrame:
+        at = np.flatnonzero(self.linked)
+        return pd.DataFrame({"node": self.ids[at], "links": 0, "root": self.ids[self.label[at]], "true": 0, "found": 0})
+
+
+def _visiting(least: float):
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Streams of shards, each with its nodes in order and then its queries."""
+        unit, shard, nodes = None, None, []
+        for batch in batches:
+            keys = ["dims", "shard", "part", "query"]
+            cuts = np.flatnonzero((batch[keys] != batch[keys].shift()).any(axis=1).to_numpy())
+            for a, b in zip(cuts, [*cuts[1:], len(batch)], strict=True):
+                own = batch.iloc[a:b]
+                if tuple(own[keys[:3]].iloc[0]) != unit:
+                    if shard is not None:
+                        yield shard.forest()
+                    unit, shard, nodes = tuple(own[keys[:3]].iloc[0]), None, []
+                if not own["query"].iloc[0]:
+                    nodes.append(own)
+                    continue
+                if shard is None and nodes:
+                    shard = _Shard(pd.concat(nodes, ignore_index=True))
+                    nodes = []
+                if shard is not None:
+                    yield shard.answer(own, least)
+        if shard is not None:
+            yield shard.forest()
+
+    return visit
+
+
+def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """A row per vector, ``id, n_links, component_id, kept``; and the audit, one row of ``true, found`` links.
+
+    ``true`` counts the links of sampled nodes by comparison with whole shards, ``found`` those of them that the
+    beams' first width brought; where it missed one the batch was asked again with wider beams.
+    """
     small_batches(df.sparkSession, 4096)
     df = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    whole = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)
-    nodes = cut(df.filter(F.col("id").isNotNull() & F.col("vec").isNotNull()).filter(whole).groupBy("vec").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
-    sizes = nodes.groupBy(F.size("vec").alias("dims")).count()
-    shards = sizes.select("dims", F.greatest(F.lit(SHARDS), F.ceil(F.col("count") / SHARD_ROWS)).alias("shards"), F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    dealt = nodes.join(shards, F.size("vec") == F.col("dims")).withColumn("shard", F.pmod(F.xxhash64("node"), "shards")).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), "blocks"))
+    whole = F.coalesce(F.col("id").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0), F.lit(False))
+    rows = df.filter(whole)
+    nodes = cut(rows.groupBy("vec").agg(F.min("id").alias("node"), F.count("*").alias("copies")).withColumn("dims", F.size("vec")))
+    sizes = nodes.groupBy("dims").count()
+    at_most = F.least(F.lit(SHARDS), F.ceil(F.col("count") / SHARD_LEAST))
+    shards = cut(sizes.select("dims", F.greatest(at_most, F.ceil(F.col("count") / SHARD_ROWS)).alias("shards"), F.ceil(F.col("count") / QUERIES).alias("parts")))
+    units = int(shards.agg(F.sum(F.col("shards") * F.col("parts"))).first()[0] or 1)
+    dealt = nodes.join(few(shards)(shards), "dims").withColumn("shard", F.pmod(F.xxhash64("node"), "shards")).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), "parts"))
     dealt = cut(dealt)
     id_type = nodes.schema["node"].dataType.simpleString()
 
     def build(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("node", ignore_index=True)
         graph = Graph(_unit(_matrix(own["vec"])))
-        return own[["dims", "shard", "node", "copies", "vec", "blocks"]].assign(place=np.arange(len(own)), entry=graph.entry, layers=[[layer[i] for layer in graph.layers] for i in range(len(own))])
+        return own[["dims", "shard", "node", "copies", "vec", "parts"]].assign(
+            place=np.arange(len(own)), entry=graph.entry, width=graph.tuned(least), layers=[[layer[i] for layer in graph.layers] for i in range(len(own))]
+        )
 
-    shape = f"dims int, shard long, node {id_type}, copies long, vec array<double>, blocks long, place long, entry long, layers array<array<int>>"
+    shape = f"dims int, shard long, node {id_type}, copies long, vec array<double>, parts long, place long, entry long, width long, layers array<array<int>>"
     graphs = cut(dealt.groupBy("dims", "shard").applyInPandas(build, shape))
-    each_block = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-    queries = dealt.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select("dims", F.col("at").alias("shard"), "block", "node", "vec")
-
-    def visit(key: tuple, q: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"node": [], "links": [], "root": []})
-        if not len(q) or not len(own):
-            return none
-        own = own.sort_values("place", ignore_index=True)
-        graph = Graph.__new__(Graph)
-        x, y = _unit(_matrix(own["vec"])), _unit(_matrix(q["vec"]))
-        graph.x, graph.entry = x.astype(np.float32), int(own["entry"].iloc[0])
-        depth = len(own["layers"].iloc[0])
-        graph.layers = [np.stack([np.asarray(v[k], np.int32) for v in own["layers"]]) for k in range(depth)]
-        a, b = graph.within(y.astype(np.float32), least - 1e-4)
-        own_ids, q_ids = own["node"].to_numpy(), q["node"].to_numpy()
-        sure = np.concatenate([(y[a[k : k + 65536]] * x[b[k : k + 65536]]).sum(axis=1) for k in range(0, len(a), 65536)] or [np.zeros(0)]) >= least
-        sure &= q_ids[a] != own_ids[b]
-        a, b = a[sure], b[sure]
-        if not len(a):
-            return none
-        count = np.bincount(a, own["copies"].to_numpy(float)[b], len(q)).astype(np.int64)
-        ids, place = np.unique(np.concatenate([q_ids[a], own_ids[b]]), return_inverse=True)
-        u, v, label = place[: len(a)], place[len(a) :], np.arange(len(ids))
-        while True:  # smallest label of each group of the block
-            new = label.copy()
-            np.minimum.at(new, u, label[v])
-            np.minimum.at(new, v, label[u])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        links = pd.Series(0, index=ids).add(pd.Series(count[np.unique(a)], index=q_ids[np.unique(a)]), fill_value=0)
-        return pd.DataFrame({"node": ids, "links": links.loc[ids].to_numpy(np.int64), "root": ids[label]})
-
-    found = cut(queries.groupBy("dims", "shard", "block").cogroup(each_block.groupBy("dims", "shard", "block")).applyInPandas(visit, f"node {id_type}, links long, root {id_type}"))
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    graphs = graphs.withColumn("part", each("parts")).drop("parts").withColumn("query", F.lit(False))
+    queries = dealt.withColumn("shard", each("shards")).withColumn("query", F.lit(True)).select("dims", "shard", "part", "query", "node", "vec")
+    stream = graphs.unionByName(queries, allowMissingColumns=True).repartition(4 * units, "dims", "shard", "part").sortWithinPartitions("dims", "shard", "part", "query", "place")
+    found = cut(stream.mapInPandas(_visiting(least), f"node {id_type}, links long, root {id_type}, true long, found long"))
+    audit = found.agg(F.coalesce(F.sum("true"), F.lit(0)).alias("true"), F.coalesce(F.sum("found"), F.lit(0)).alias("found"))
+    links = found.filter("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
+    groups = components(found.filter("node is not null").select(F.col("node").alias("a"), F.col("root").alias("b")))
     told = nodes.join(links, "node", "left").join(groups.withColumnRenamed("id", "node"), "node", "left")
-    told = told.select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = df.join(told, (df["vec"] == told["vec"]) & df["id"].isNotNull(), "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    told = cut(told.select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+    met = joined(rows, told, ["vec"], "left", common(rows, ["vec"])).select("id", "n_links", "component_id")
+    out = met.union(df.filter(~whole).select("id", F.lit(0).cast("long"), "id"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))), audit
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95) -> DataFrame:
+    """A row per vector: ``id, n_links, component_id, kept``."""
+    return linked(df, id_col, vec_col, least)[0]
 
 
 def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors; nulls, zeros, repeated ids and odd lengths as in the module's cases."""
     return near_duplicates(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 

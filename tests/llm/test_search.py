@@ -97,3 +97,42 @@ def test_beam_recall():
     graph = hnsw.Graph(x)
     a, _ = graph._beams(x.astype(np.float32), 0.95, hnsw.BEAM)
     assert len(a) >= 0.9 * (x @ x.T >= 0.95).sum()
+
+
+def rare_pairs(n, seed):
+    """Unrelated unit vectors, one in twenty with a single partner at a cosine of about 0.96."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 64))
+    own = np.arange(0, n // 2, 10)
+    x[own + n // 2] = x[own] + rng.normal(size=(len(own), 64)) * 0.28
+    return hnsw._unit(x)
+
+
+def test_rare_links_in_a_large_shard():
+    x = rare_pairs(6000, 3)
+    true = {tuple(p) for p in np.argwhere(np.triu(x @ x.T >= 0.95, 1))}
+    graph = hnsw.Graph(x)
+    a, b, _, _ = graph.within(x.astype(np.float32), 0.95, graph.tuned(0.95))
+    found = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True) if p[0] != p[1]}
+    assert len(true) > 200 and len(found & true) >= 0.98 * len(true)
+
+
+def test_every_node_is_reached():
+    x = hnsw._unit(np.concatenate([clusters(660, seed=7), np.tile(clusters(1, seed=8), (200, 1)) + np.random.default_rng(1).normal(size=(200, 24)) * 1e-3]).astype(float))
+    graph = hnsw.Graph(x)
+    seen, front = {graph.entry}, [graph.entry]
+    while front:
+        front = [int(j) for i in front for j in graph.layers[0][i] if j >= 0 and j not in seen and not seen.add(int(j))]
+    assert len(seen) == len(x)
+
+
+def test_audit_of_links(spark):
+    x = np.concatenate([rare_pairs(3000, 9), rare_pairs(2500, 10)])
+    df = spark.createDataFrame([(i, v.tolist(), "own") for i, v in enumerate(x)], "vec_id long, embedding array<double>, node string")
+    out, audit = hnsw.linked(df)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    counts = {r["id"]: r["n_links"] for r in out.collect()}
+    assert sum(counts.values()) >= 0.98 * near.sum() and all(counts[i] <= near[i].sum() for i in counts)
+    got = audit.first()
+    assert got["true"] > 0 and got["found"] >= 0.9 * got["true"]
