@@ -45,9 +45,14 @@ def few(df: DataFrame, rows: int = 20_000) -> Callable[[DataFrame], DataFrame]:
 COMMON, MOST_COMMON = 256, 100_000
 
 
+def least_common(n: int) -> int:
+    """The most rows of a key among n that isn't common."""
+    return max(COMMON, n // MOST_COMMON)
+
+
 def common(rows: DataFrame, keys: list[str], n: int | None = None) -> DataFrame | None:
     """The common keys of ``rows``, None if there is none; ``n`` is the number of rows, if it is known."""
-    least = max(COMMON, (rows.count() if n is None else n) // MOST_COMMON)
+    least = least_common(rows.count() if n is None else n)
     found = cut(rows.groupBy(*keys).count().filter(F.col("count") > least).drop("count"))
     return None if found.isEmpty() else found
 

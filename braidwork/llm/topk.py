@@ -29,8 +29,8 @@ from braidwork.llm.common import cut, few, read, small_batches
 
 #: Rows and numbers from which pivots are taken at most; pivots of a length; annuli of a pivot.
 SAMPLE, NUMBERS, PIVOTS, RINGS = 2048, 1 << 21, 32, 64
-#: Queries of a block, rows that a task compares with a block, rows of a block's first round.
-BLOCK, PART, START = 8192, 8192, 16_384
+#: Queries of a block, rows that a task compares with a block (a share of a small table), rows of a block's first round.
+BLOCK, PART, SHARE, START = 8192, 8192, 16, 16_384
 LONG = np.iinfo(np.int64)
 
 
@@ -142,6 +142,7 @@ def searched(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
     draw = F.xxhash64(F.lit("pivots"), "id")
     drawn = rows.filter(F.pmod(draw, F.lit(1_000_000)) < 2_000_000 * most / seen["n"]).orderBy(draw, "id", "vec").limit(most).select("vec").toPandas()
     pivots = Pivots([np.asarray(v, float) for v in drawn["vec"]], square)
+    part = int(min(PART, max(PART // SHARE, seen["n"] // SHARE)))
     width = max(1.0, np.sqrt(square) * 2 / RINGS)
 
     @F.pandas_udf("pivot int, ring int, away array<double>")
@@ -158,7 +159,7 @@ def searched(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
     # least and greatest distances to each pivot: an annulus has as many as its length has pivots
     ends = keyed.select(*ring, F.posexplode("away").alias("p", "d")).groupBy(*ring, "p").agg(F.min("d").alias("inner"), F.max("d").alias("outer"), F.count("*").alias("n"))
     ends = ends.groupBy(*ring).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("p", "inner", "outer"))).alias("ends"))
-    rings = cut(ends.select(*ring, "n", F.ceil(F.col("n") / PART).alias("parts"), F.transform("ends", lambda e: e["inner"]).alias("nearest"), F.transform("ends", lambda e: e["outer"]).alias("farthest")))
+    rings = cut(ends.select(*ring, "n", F.ceil(F.col("n") / part).alias("parts"), F.transform("ends", lambda e: e["inner"]).alias("nearest"), F.transform("ends", lambda e: e["outer"]).alias("farthest")))
     small = few(rings)
     dealt = keyed.drop("away").join(small(rings.select(*ring, "parts")), ring).withColumn("part", F.pmod(F.xxhash64("id"), "parts")).drop("parts")
 
@@ -232,7 +233,7 @@ def searched(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
             figures["rounds"] += 1
             figures["scored"] += ahead["scored"]
             wanted = left.filter(F.col("upto") < high).join(small(rings.drop("n")), ring)
-            wanted = wanted.withColumn("run", F.floor((F.col("upto") - low) / PART)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+            wanted = wanted.withColumn("run", F.floor((F.col("upto") - low) / part)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
             wanted = cut(wanted.select(*ring, "part", "block", "run", "nth", "nearest", "farthest"))
             task = ["dims", "block", "run", "part"]
             tasks = wanted.select(*task).distinct()
