@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import read, small_batches
+from braidwork.llm.common import read, small_batches, unused
 
 #: How words are cut; \p{L} and \p{N} as in the public tokenizer's own pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -288,8 +288,9 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids
         coder.forget()
 
     small_batches(docs.sparkSession, 500, 2)
-    out = docs.withColumn("_bpe", both(F.col(text_col).cast("string"))).withColumn(ids_col, F.col("_bpe.ids"))
-    return (out.withColumn(decoded_col, F.col("_bpe.decoded")) if decoded_col else out).drop("_bpe")
+    [own] = unused([*docs.columns, ids_col, decoded_col or ids_col], "bpe")
+    out = docs.withColumn(own, both(F.col(text_col).cast("string"))).withColumn(ids_col, F.col(f"{own}.ids"))
+    return (out.withColumn(decoded_col, F.col(f"{own}.decoded")) if decoded_col else out).drop(own)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -307,6 +308,7 @@ def decode(df: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded", pa
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, a null text as the empty one; repeated rows are treated alike."""
     out = encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id",

@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from bisect import bisect, insort
 from collections.abc import Callable
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidwork.session import cut, shared_folder
@@ -69,6 +70,23 @@ def joined(rows: DataFrame, table: DataFrame, keys: list[str], how: str, shared:
     return met.unionByName(rows.join(F.broadcast(shared), keys, "left_anti").join(table, keys, how))
 
 
+def running(df: DataFrame, by: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``df`` with, for each column in ``sums``, the sum of the rows before in the order of ``by``, under the name given.
+
+    Rows are sorted by ranges; sums run within a range, and one row of totals for each range shifts them.
+    """
+    part, at = unused([*df.columns, *sums.values()], "part", "at")
+    ranged = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()))
+    totals = ranged.groupBy(part).agg(*[F.sum(c).alias(name) for c, name in sums.items()]).orderBy(part).collect()  # a row for each range
+    before = {name: list(accumulate((r[name] or 0 for r in totals), initial=0)) for name in sums.values()}
+    parts = F.array(*[F.lit(r[part]) for r in totals]) if totals else F.array(F.lit(0))
+    within = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    for c, name in sums.items():
+        shift = F.element_at(F.array(*[F.lit(x) for x in before[name]]), F.array_position(parts, F.col(part)).cast("int"))
+        ranged = ranged.withColumn(name, F.coalesce(F.sum(c).over(within), F.lit(0)) + shift)
+    return ranged.drop(part, at)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import cut, n_words, read, settled, small_batches
+from braidwork.llm.common import common, cut, joined, least_common, n_words, read, settled, small_batches, unused
 
 MIN_WORDS = 50
 
@@ -40,9 +40,11 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def stretches(lines: DataFrame, min_words: int) -> DataFrame:
     """Lines that repeat, in stretches of enough words: ``id, tag, s, i, p, w, before`` and the line's rank."""
-    repeated = lines.groupBy("h", "c").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = settled(lines.groupBy("h", "c").agg(F.count("*").alias("n")).filter("n > 1"))
     ranks = settled(_in_order(repeated.select("h", "c"), ["h", "c"]))
-    own = lines.join(ranks, ["h", "c"]).select("id", "tag", "i", "p", "w", "rank").dropDuplicates(["id", "tag", "i"])
+    least = least_common(repeated.agg(F.sum("n")).first()[0] or 0)
+    often = settled(repeated.filter(F.col("n") > least).select("h", "c"))
+    own = joined(lines, ranks, ["h", "c"], "inner", None if often.isEmpty() else often).select("id", "tag", "i", "p", "w", "rank").dropDuplicates(["id", "tag", "i"])
     doc = Window.partitionBy("id", "tag").orderBy("i")
     own = own.withColumn("s", F.col("i") - F.row_number().over(doc))
     stretch = Window.partitionBy("id", "tag", "s")
@@ -81,7 +83,7 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ahead = F.lead("rank", 1 << (len(levels) - 1)).over(Window.partitionBy("id", "tag", "s").orderBy("i"))
         pairs = settled(ranks.withColumn("next", F.coalesce(ahead, F.lit(-1))).withColumnRenamed("rank", "r"))
         named = settled(_in_order(pairs.select("r", "next").distinct(), ["r", "next"]))
-        ranks = settled(pairs.join(named, ["r", "next"]).select("id", "tag", "s", "i", "rank"))
+        ranks = settled(joined(pairs, named, ["r", "next"], "inner", common(pairs, ["r", "next"])).select("id", "tag", "s", "i", "rank"))
         levels.append(ranks)
     every = levels[0].withColumn("level", F.lit(0))
     for k, x in enumerate(levels[1:], 1):
@@ -90,8 +92,10 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     wins = wins.withColumn("level", F.length(F.bin("m")) - 1).withColumn("j", F.expr("i + m - shiftleft(1, level)"))
     ends = wins.join(every.withColumnRenamed("rank", "a"), ["level", "id", "tag", "i"])
     ends = settled(ends.join(every.withColumnsRenamed({"rank": "b", "i": "j"}), ["level", "id", "tag", "j"]).select("id", "tag", "i", "m", "a", "b"))
-    interval = ends.groupBy("m", "a", "b").agg(F.min(F.struct("id", "tag", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = ends.join(interval.select("m", "a", "b", "first"), ["m", "a", "b"]).filter(F.struct("id", "tag", "i") != F.col("first"))
+    interval = settled(ends.groupBy("m", "a", "b").agg(F.min(F.struct("id", "tag", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    least = least_common(interval.agg(F.sum("n")).first()[0] or 0)
+    often = settled(interval.filter(F.col("n") > least).select("m", "a", "b"))
+    later = joined(ends, interval.drop("n"), ["m", "a", "b"], "inner", None if often.isEmpty() else often).filter(F.struct("id", "tag", "i") != F.col("first"))
     gone = later.select("id", "tag", F.explode(F.sequence("i", F.col("i") + F.col("m") - 1)).alias("i")).distinct()
     return settled(gone.join(own.select("id", "tag", "i", "p"), ["id", "tag", "i"]).select("id", "tag", "p"))
 
@@ -103,7 +107,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    dropped = copies(own, min_words).groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_list("p").alias("_dropped"))
+    docs = docs.drop("n_lines", "n_deleted", "emptied")
+    id_, tag, gone, left = unused([*docs.columns, "n_lines", "n_deleted", "emptied"], "id", "tag", "gone", "left")
+    dropped = copies(own, min_words).groupBy(F.col("id").alias(id_), F.col("tag").alias(tag)).agg(F.collect_list("p").alias(gone))
 
     @F.pandas_udf("text string, emptied boolean")
     def cleared(texts: pd.Series, dropped: pd.Series) -> pd.DataFrame:
@@ -118,16 +124,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.DataFrame(rows, columns=["text", "emptied"])
 
     text = F.col(text_col)
-    out = docs.drop("n_lines", "n_deleted", "emptied").join(dropped, (docs[id_col] == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_tag")), "left")
+    out = docs.join(dropped, (docs[id_col] == dropped[id_]) & (F.xxhash64(text.cast("string")) == dropped[tag]), "left")
     n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    out = out.withColumn("n_lines", F.coalesce(n, F.lit(0))).withColumn("n_deleted", F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")))
+    out = out.withColumn("n_lines", F.coalesce(n, F.lit(0))).withColumn("n_deleted", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)))
     # only texts that lose a line are sent to be cut; a filter on the result must not cut them a second time
-    out = out.withColumn("_left", cleared.asNondeterministic()(F.when(F.col("n_deleted") > 0, text), "_dropped"))
-    out = out.withColumn("emptied", F.col("_left.emptied")).withColumn(text_col, F.when(F.col("n_deleted") > 0, F.col("_left.text")).otherwise(text))
-    return out.drop("_id", "_tag", "_dropped", "_left")
+    out = out.withColumn(left, cleared.asNondeterministic()(F.when(F.col("n_deleted") > 0, text), gone))
+    out = out.withColumn("emptied", F.col(f"{left}.emptied")).withColumn(text_col, F.when(F.col("n_deleted") > 0, F.col(f"{left}.text")).otherwise(text))
+    return out.drop(id_, tag, gone, left)
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines, those deleted, and a hash of what is left (a null text: of the empty one)."""
     out = deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_deleted").cast("long"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 

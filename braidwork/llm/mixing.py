@@ -5,9 +5,8 @@ token budget; inverting the cumulative demand gives every copy of a document its
 mix is range-sorted by that position.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own, last in
-order; a null id is ordered like an empty one, and ``mixed`` leaves such rows out; repeated rows count each on
-their own, and ``mixed`` repeats all rows of an id alike; an empty table gives an empty mix; columns named like the
-results are replaced.
+order; a null id is ordered like an empty one; repeated rows count each on their own, and ``mixed`` repeats all rows
+of one id and text alike; an empty table gives an empty mix; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import n_words, read
+from braidwork.llm.common import n_words, read, running, unused
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -23,8 +22,8 @@ WEIGHTS = (3, 1, 2)
 TILTS = (0.5, -0.5, 0.0)
 #: All takes together, as a multiple of all sizes, and the most of one source.
 BUDGET, MOST = 1.5, 2.0
-#: Each source's token line is cut into so many ranges of a hash, so that no source is one task's work.
-SLICES = 4096
+#: Each source's token line is cut into ranges of a hash, so that no source is one task's work: hexadecimal digits at least, and rows of a range.
+DIGITS, SLICE_ROWS = 3, 100_000
 
 
 def _cycle(values: tuple, rank: Column) -> Column:
@@ -38,20 +37,22 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, tilts: tuple = TILTS, bu
     the excess is shared again by weight among the rest. The fixed point is closed: with sources ordered by
     cap / weight, the capped ones are a prefix. There is one row per source here, never one per document.
     """
-    every = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    by_level = Window.orderBy("level", "rank")
-    upto, after = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(0, Window.unboundedFollowing)
-    return (
-        sizes.withColumn("rank", F.row_number().over(every))
+    # ranks by code point and then sums in the order of cap / weight, by ranges of sources
+    ranked = running(sizes.withColumn("one", F.lit(1)), [F.col("source").isNull(), F.col("source")], {"one": "rank"})
+    levels = (
+        ranked.select("source", "source_size", (F.col("rank") + 1).alias("rank"))
         .withColumn("weight", _cycle(weights, F.col("rank")))
         .withColumn("tilt", _cycle(tilts, F.col("rank")))
         .withColumn("cap", most * F.col("source_size"))
         .withColumn("level", F.col("cap") / F.col("weight"))
-        .withColumn("all", budget * F.sum("source_size").over(Window.partitionBy()))
-        .withColumn("share", (F.col("all") - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / F.sum("weight").over(after))
-        .withColumn("fair", F.min(F.when(F.col("share") <= F.col("level"), F.struct("level", "share"))).over(Window.partitionBy()))
-        .select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("fair.share") * F.col("weight")), F.col("cap")).alias("target"), "tilt")
     )
+    levels = running(levels, [F.col("level"), F.col("rank")], {"cap": "caps", "weight": "weights"})
+    totals = levels.agg(F.sum("source_size").alias("everything"), F.sum("weight").alias("all_weights"))  # one row
+    share = (budget * F.col("everything") - F.col("caps")) / (F.col("all_weights") - F.col("weights"))
+    shares = levels.crossJoin(F.broadcast(totals)).withColumn("share", share)
+    fair = shares.agg(F.min(F.when(F.col("share") <= F.col("level"), F.struct("level", "share"))).alias("fair"))  # one row
+    target = F.coalesce(F.least(F.col("cap"), F.col("fair.share") * F.col("weight")), F.col("cap"))
+    return levels.crossJoin(F.broadcast(fair)).select("source", "source_size", target.alias("target"), "tilt")
 
 
 def when(part: Column, tilt: Column) -> Column:
@@ -64,53 +65,64 @@ def when(part: Column, tilt: Column) -> Column:
     return 2 * part / (b + F.sqrt(b * b + 4 * tilt * part))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
-    """A row per document: its id and source, size, source_size, target, taken, part_from, position.
-
-    A source's documents lie on a line in the order of their ids' md5, each as long as its words. With
-    r = target / source size, every document is taken floor(r) times, and those on the first r - floor(r)
-    of the line once more; the one across that end gives the words that are still missing. So the taken
-    words are the target, rounded down. ``position`` is the training time of the first copy, null if the
-    document isn't taken.
-    """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    docs = docs.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("slice", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int") % SLICES)
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, **shares) -> DataFrame:
+    """The rows of ``mix`` with a hash of the text, ``tag``."""
+    digits = DIGITS
+    while 16**digits * SLICE_ROWS < docs.count():
+        digits += 1
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"))
+    docs = docs.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("slice", F.conv(F.substring("digest", 1, digits), 16, 10).cast("long"))
     slices = docs.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     in_order = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.withColumn("start", F.coalesce(F.sum("slice_size").over(in_order), F.lit(0)))
     wanted = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), **shares)
     starts = starts.alias("a").join(wanted.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "slice", "start", "source_size", "target", "tilt")
-    within = Window.partitionBy("source", "slice").orderBy("digest", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "slice").orderBy("digest", "doc_id", "tag").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = docs.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.slice") == F.col("s.slice")))
     size, total = F.col("size"), F.col("source_size")
     whole = F.when(total > 0, F.floor(F.col("target") / total)).otherwise(0)
     extra = F.floor(F.col("target")) - whole * total
     return (
-        placed.select("doc_id", "d.source", "size", "source_size", "target", "tilt", (F.col("start") + F.col("before")).alias("part_from"))
+        placed.select("doc_id", "tag", "d.source", "size", "source_size", "target", "tilt", (F.col("start") + F.col("before")).alias("part_from"))
         .withColumn("taken", (whole * size + F.greatest(F.lit(0), F.least(size, extra - F.col("part_from")))).cast("long"))
         .withColumn("position", F.when(F.col("taken") > 0, when(F.col("part_from") / F.col("target"), F.col("tilt"))))
-        .select("doc_id", "source", "size", "source_size", "target", "tilt", "part_from", "taken", "position")
     )
 
 
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
+    """A row per document: its id and source, size, source_size, target, taken, part_from, position.
+
+    A source's documents lie on a line in the order of their ids' md5, each as long as its words. With
+    r = target / source size, every document is taken floor(r) times, and those on the first r - floor(r)
+    of the line once more; the one across that end gives the words that are still missing. So the taken
+    words are the target, rounded down. ``position`` is the training time of the first copy, null if the
+    document isn't taken.
+    """
+    return _placed(docs, id_col, text_col, source_col, **shares).select("doc_id", "source", "size", "source_size", "target", "tilt", "part_from", "taken", "position")
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
     """The documents themselves as the curriculum orders them, each as often as it is taken.
 
     A document is repeated as a whole: a last copy of which less than half is taken is left out, one of which
     at least half is taken stays whole. The result is range-sorted by training position.
     """
-    plan = mix(docs, id_col, text_col, source_col, **shares).filter("taken > 0").dropDuplicates(["doc_id"])
+    own, tag, copy, at = unused(docs.columns, "own", "tag", "copy", "at")
+    plan = _placed(docs, id_col, text_col, source_col, **shares).filter("taken > 0")
+    plan = plan.groupBy("doc_id", "tag").agg(F.min(F.struct("part_from", "size", "taken", "source_size", "target", "tilt")).alias("p")).select(F.col("doc_id").alias(own), F.col("tag").alias(tag), "p.*")
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.posexplode(F.sequence(F.lit(1), F.when(copies > 0, copies))).alias("_copy", "_"), "part_from", "source_size", "target", "tilt")
-    at = F.least(F.lit(1.0), (F.col("part_from") + F.col("_copy") * F.col("source_size")) / F.col("target"))
-    plan = plan.select("_id", "_copy", when(at, F.col("tilt")).alias("_at"))
+    plan = plan.withColumn(copy, F.explode(F.sequence(F.lit(1), F.when(copies > 0, copies))))
+    when_at = F.least(F.lit(1.0), (F.col("part_from") + F.col(copy) * F.col("source_size")) / F.col("target"))
+    plan = plan.select(own, tag, copy, when(when_at, F.col("tilt")).alias(at))
     columns = [docs[c] for c in docs.columns]
-    return docs.join(plan, docs[id_col] == F.col("_id")).repartitionByRange("_at", "_copy", "_id").sortWithinPartitions("_at", "_copy", "_id").select(*columns)
+    met = docs.join(plan, docs[id_col].eqNullSafe(plan[own]) & (F.xxhash64(docs[text_col].cast("string")) == plan[tag]))
+    return met.repartitionByRange(at, copy, own, tag).sortWithinPartitions(at, copy, own, tag).select(*columns)
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(read(spark, sf_dir, "documents"))
+    """The mix of all documents in the order of training; nulls, repeated rows and empty texts as in the module's cases."""
+    out = mix(read(spark, sf_dir, "documents")).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
     return out.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
