@@ -82,10 +82,11 @@ class Pivots:
 
     def away(self, vec: pd.Series, lifted: bool) -> list[np.ndarray]:
         """Each vector's distances to the pivots of its length; queries aren't lifted."""
-        out = [np.zeros(0)] * len(vec)
-        for n, at in pd.Series(range(len(vec))).groupby([len(v) for v in vec]):
+        out, lengths = [np.zeros(0)] * len(vec), np.array([len(v) for v in vec], np.int64)
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
             x = _matrix(vec.iloc[at])
-            d = _distances(_lift(x, self.square) if lifted else np.column_stack([x, np.zeros(len(x))]), self.of(n))
+            d = _distances(_lift(x, self.square) if lifted else np.column_stack([x, np.zeros(len(x))]), self.of(int(n)))
             for i, row in zip(at, d, strict=True):
                 out[i] = row
         return out
