@@ -1,5 +1,8 @@
 """Held-out accuracy of what is learned, licence matches by brute force, mixing and the pipeline."""
 
+import math
+from fractions import Fraction
+
 import corpus_pipeline
 import numpy as np
 from conftest import SMALL
@@ -26,22 +29,67 @@ def test_rare_language_is_learned_beside_large_ones(spark):
     assert [r[0] for r in got] == ["zz"] * 8
 
 
+def _sums(text, number, q):
+    """Sums over the segmentations of each prefix, in exact fractions; and how often pieces occur in them."""
+    longest = max(map(len, number))
+    total, used = [Fraction(1)], [{}]
+    for end in range(1, len(text) + 1):
+        here, count = Fraction(0), {}
+        for n in range(1, min(end, longest) + 1):
+            k = number.get(text[end - n : end], langid.UNKNOWN if n == 1 else langid.ABSENT)
+            if k != langid.ABSENT:
+                here += total[end - n] * Fraction(float(q[k]))
+                for x, c in (*used[end - n].items(), (k, total[end - n])):
+                    count[x] = count.get(x, 0) + c * Fraction(float(q[k]))
+        total.append(here)
+        used.append(count)
+    return total[-1], {k: float(c / total[-1]) for k, c in used[-1].items()}
+
+
+def _log(x):
+    return math.log(x.numerator) - math.log(x.denominator)
+
+
+WORDS = ("the", "nation", "schön", "xqzç", "internationalisation", "a", "漢字", "straßenbahnhaltestelle" * 9)
+
+
 def test_forward_sums_all_segmentations():
-    number = langid.pieces(langid.default_path())
-    p = np.random.default_rng(0).random((len(number) + 2, 1))
-    p[langid.ABSENT] = 0
-
-    def total(text):
-        if not text:
-            return 1.0
-        out = 0.0
-        for n in range(1, min(len(text), langid.PIECE) + 1):
-            k = number.get(text[:n], langid.UNKNOWN if n == 1 else langid.ABSENT)
-            out += p[k, 0] * total(text[n:])
-        return out
-
-    for word in ("the", "nation", "schön", "xqzç"):
-        assert np.isclose(langid.forward(langid.lattice([word], number), p)[-1, 0, 0], total(langid.START + word))
+    path = langid.default_path()
+    number = langid.pieces(path)
+    p = np.random.default_rng(0).random((len(number) + 2, 2)) / 1000
+    got = langid.log_likelihoods([*WORDS, *WORDS], path, p)
+    for i, word in enumerate([*WORDS, *WORDS]):
+        assert np.allclose(got[i], [_log(_sums(langid.START + word, number, p[:, k])[0]) for k in (0, 1)])
+
+
+def test_expected_counts_of_pieces():
+    path = langid.default_path()
+    number = langid.pieces(path)
+    q = np.random.default_rng(1).random(len(number) + 2) / 1000
+    want = np.zeros(len(q))
+    for n, word in enumerate(WORDS, 1):
+        for k, c in _sums(langid.START + word, number, q)[1].items():
+            want[k] += n * c
+    assert np.allclose(langid.expected(list(WORDS), np.arange(1.0, len(WORDS) + 1), path, q), want)
+
+
+def test_predictions_by_brute_force(spark):
+    """Scores of whole texts from the learned probabilities, by all segmentations of each word."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    path = langid.default_path()
+    langs, p = langid.learn(langid.sample(docs, "doc_id", "text", "lang"), path)
+    number = langid.pieces(path)
+    known = {}
+    for r in langid.predict(docs.drop("lang"), docs).join(docs.select("doc_id", "lang"), "doc_id").orderBy("doc_id").collect()[::20]:
+        words = langid.LETTERS.findall((r["text"] or "").lower())
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        for w in set(words) - set(known):
+            known[w] = np.array([_log(_sums(langid.START + w, number, p[:, k])[0]) for k in range(len(langs))])
+        logs = sum(known[w] for w in words)
+        assert r["lang_pred"] == langs[int(logs.argmax())]
+        assert np.isclose(r["score"], 1 / np.exp(logs - logs.max()).sum())
 
 
 def test_quality_ranks_held_out(spark):
