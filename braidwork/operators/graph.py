@@ -6,13 +6,13 @@ missing edge is a zero. All measures are grouped by network, so one plan describ
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.session import cut
+
 
 def symmetrised(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, weights of a pair added, self-loops left out."""
@@ -105,88 +105,121 @@ def frac_negative(edges: DataFrame) -> DataFrame:
     return edges.filter("w <> 0").groupBy("net").agg(F.avg((F.col("w") < 0).cast("double")).alias("frac_negative"))
 
 
-def _dense(pdf: pd.DataFrame, nodes: np.ndarray) -> np.ndarray:
-    place = {n: i for i, n in enumerate(nodes)}
-    w = np.zeros((len(nodes), len(nodes)))
-    w[[place[x] for x in pdf["src"]], [place[x] for x in pdf["dst"]]] = pdf["w"]
-    return w
-
-
-def shortest_paths(length: np.ndarray) -> np.ndarray:
-    """All-pairs distances from a matrix of edge lengths, inf where there is no edge."""
-    d = length.copy()
-    np.fill_diagonal(d, 0)
-    for k in range(len(d)):
-        np.minimum(d, d[:, k : k + 1] + d[k], out=d)
-    return d
-
-
-def betweenness(length: np.ndarray) -> np.ndarray:
-    """Undirected, unnormalised weighted betweenness: for each source, path counts in order of distance, then shares back."""
-    n, near = len(length), [np.flatnonzero(np.isfinite(row)) for row in length]
-    total = np.zeros(n)
-    for s in range(n):
-        dist, paths, before = np.full(n, np.inf), np.zeros(n), [[] for _ in range(n)]
-        dist[s], paths[s], order, done, heap = 0, 1, [], np.zeros(n, bool), [(0.0, s)]
-        while heap:
-            d, v = heapq.heappop(heap)
-            if done[v]:
-                continue
-            done[v] = True
-            order.append(v)
-            for t in near[v]:
-                new = d + length[v, t]
-                if new < dist[t] * (1 - 1e-12):
-                    dist[t], paths[t], before[t] = new, paths[v], [v]
-                    heapq.heappush(heap, (new, t))
-                elif not done[t] and abs(new - dist[t]) <= 1e-12 * new:
-                    paths[t] += paths[v]
-                    before[t].append(v)
-        share = np.zeros(n)
-        for v in reversed(order):
-            for u in before[v]:
-                share[u] += paths[u] / paths[v] * (1 + share[v])
-            if v != s:
-                total[v] += share[v]
-    return total / 2
-
-
-def dense_measures(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``net, efficiency, cv_betweenness, lambda_ratio``: measures that need a network's whole matrix.
-
-    Each network is one group of bounded size (its nodes squared); many networks run in parallel. Path lengths
-    are 1 / |w|; pairs without a path add 0 to efficiency; lambda_ratio takes the signed matrix.
+def _lengths(edges: DataFrame) -> DataFrame:
+    """``net, src, dst, d``: a path is as long as the sum of 1 / |w| of its edges."""
+    return edges.filter("w <> 0").select("net", "src", "dst", (1 / F.abs("w")).alias("d"))
+
+
+def geodesics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``net, src, dst, d``: the shortest distance of every pair of nodes with a path, and 0 from a node to itself.
+
+    Paths are doubled: a round joins the paths known so far end to end and keeps the shortest of each pair, so the
+    rounds grow with the logarithm of the edges on a path. A pair is a row, and no network is one task's work.
+    """
+    own = nodes.select("net", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("d"))
+    known = cut(_lengths(edges).union(own).groupBy("net", "src", "dst").agg(F.min("d").alias("d")))
+    while True:
+        onward = known.select("net", F.col("src").alias("dst"), F.col("dst").alias("far"), F.col("d").alias("more"))
+        longer = known.join(onward, ["net", "dst"]).groupBy("net", "src", F.col("far").alias("dst")).agg(F.min(F.col("d") + F.col("more")).alias("d"))
+        old = known.withColumnRenamed("d", "old")
+        known = cut(longer.join(old, ["net", "src", "dst"], "left"))
+        if known.filter("old is null or d < old").isEmpty():
+            return known.drop("old")
+        known = known.drop("old")
+
+
+def efficiency(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``net, efficiency``: the mean of 1 / distance over all ordered pairs of nodes, 0 for pairs without a path."""
+    inverse = paths.filter("src <> dst").groupBy("net").agg(F.sum(1 / F.col("d")).alias("inverse"))
+    n = nodes.groupBy("net").agg(F.count("*").alias("n"))
+    mean = F.coalesce("inverse", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1))
+    return n.join(inverse, "net", "left").select("net", F.when(F.col("n") > 1, mean).otherwise(0.0).alias("efficiency"))
+
+
+#: Paths whose lengths differ by less than this share are equally short.
+SAME = 1e-12
+
+
+def path_counts(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """``net, src, dst, d, n``: how many shortest paths a pair of nodes has.
+
+    Last edges that keep a path shortest are found once; then paths are counted by their number of edges, until no
+    shortest path has one more.
     """
+    last = _lengths(edges).select("net", F.col("src").alias("mid"), "dst", F.col("d").alias("step"))
+    start = paths.select("net", "src", F.col("dst").alias("mid"), F.col("d").alias("upto"))
+    tight = cut(start.join(last, ["net", "mid"]).join(paths, ["net", "src", "dst"]).filter(F.col("upto") + F.col("step") <= F.col("d") * (1 + SAME)).select("net", "src", "mid", "dst"))
+    some = cut(paths.filter("src = dst").select("net", "src", "dst", F.lit(1.0).alias("n")))
+    every = some
+    while not some.isEmpty():
+        some = cut(some.withColumnRenamed("dst", "mid").join(tight, ["net", "src", "mid"]).groupBy("net", "src", "dst").agg(F.sum("n").alias("n")))
+        every = every.union(some)
+    return paths.join(every.groupBy("net", "src", "dst").agg(F.sum("n").alias("n")), ["net", "src", "dst"])
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """``net, node, betweenness``: of every unordered pair of others, the share of its shortest paths that pass the node."""
+    counts = cut(path_counts(edges, paths))
+    into = counts.select("net", "src", F.col("dst").alias("node"), F.col("d").alias("d_in"), F.col("n").alias("n_in"))
+    out = counts.select("net", F.col("src").alias("node"), "dst", F.col("d").alias("d_out"), F.col("n").alias("n_out"))
+    through = into.join(out, ["net", "node"]).filter((F.col("src") < F.col("dst")) & (F.col("node") != F.col("src")) & (F.col("node") != F.col("dst")))
+    through = through.join(counts, ["net", "src", "dst"]).filter(F.col("d_in") + F.col("d_out") <= F.col("d") * (1 + SAME))
+    share = through.groupBy("net", "node").agg(F.sum(F.col("n_in") * F.col("n_out") / F.col("n")).alias("betweenness"))
+    return nodes.select("net", "node").join(share, ["net", "node"], "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
+
 
-    def measure(key: tuple, own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(parts["node"].to_numpy())
-        n, w = len(ids), _dense(own, ids)
-        a = np.abs(w)
-        length = np.where(a > 0, 1 / np.where(a > 0, a, 1), np.inf)
-        d = shortest_paths(length)
-        inverse = np.where((d > 0) & np.isfinite(d), 1 / np.where(d > 0, d, 1), 0)
-        b = betweenness(length)
-        ev = np.sort(np.abs(np.linalg.eigvalsh(w))) if n else np.zeros(0)
-        row = {
-            "net": key[0],
-            "efficiency": inverse.sum() / (n * (n - 1)) if n > 1 else 0.0,
-            "cv_betweenness": b.std() / b.mean() if n and b.mean() > 0 else 0.0,
-            "lambda_ratio": ev[-2] / ev[-1] if n > 1 and ev[-1] > 0 else 0.0,
-        }
-        return pd.DataFrame([row])
+def betweenness_cv(edges: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    return betweenness(edges, nodes, paths).groupBy("net").agg(cv("betweenness").alias("cv_betweenness"))
+
+
+#: Nodes of a network up to which its spectrum is one task's work.
+SPECTRUM_NODES = 4096
+
+
+def lambda_ratio(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``net, lambda_ratio``: the second largest size of an eigenvalue of the signed matrix over the largest.
+
+    A network's spectrum is one group; networks of more than ``SPECTRUM_NODES`` nodes are an error.
+    """
+    most = nodes.groupBy("net").count().agg(F.max("count")).first()[0] or 0
+    if most > SPECTRUM_NODES:
+        raise ValueError(f"a network of {most} nodes is too large for its spectrum; {SPECTRUM_NODES} is the most")
+
+    def spectrum(key: tuple, own: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        place = pd.Index(members["node"].unique())
+        m = np.zeros((len(place), len(place)))
+        m[place.get_indexer(own["src"]), place.get_indexer(own["dst"])] = own["w"]
+        first, second = [*np.sort(np.abs(np.linalg.eigvalsh(m)))[::-1][:2], 0.0, 0.0][:2]
+        return pd.DataFrame({"net": [key[0]], "lambda_ratio": [second / first if first > 0 else 0.0]})
 
     kind = nodes.schema["net"].dataType.simpleString()
-    return edges.groupBy("net").cogroup(nodes.groupBy("net")).applyInPandas(measure, f"net {kind}, efficiency double, cv_betweenness double, lambda_ratio double")
+    return edges.groupBy("net").cogroup(nodes.groupBy("net")).applyInPandas(spectrum, f"net {kind}, lambda_ratio double")
 
 
-def descriptors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All eight measures, a row per network; rows with a value that isn't finite are left out."""
+def all_descriptors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All eight measures, a row per network."""
+    paths = geodesics(edges, nodes)
     out = modularity(edges, nodes)
-    for part in (participation(edges, nodes), clustering(edges, nodes), strength_cv(edges, nodes), dense_measures(edges, nodes), frac_negative(edges)):
+    for part in (participation(edges, nodes), clustering(edges, nodes), efficiency(paths, nodes), strength_cv(edges, nodes), betweenness_cv(edges, nodes, paths), lambda_ratio(edges, nodes), frac_negative(edges)):
         out = out.join(part, "net", "left")
-    out = out.withColumn("frac_negative", F.coalesce("frac_negative", F.lit(0.0)))
-    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in out.columns if c != "net"]
-    return out.filter(_all(finite))
+    return out.withColumn("frac_negative", F.coalesce("frac_negative", F.lit(0.0)))
+
+
+def is_finite(*columns: str) -> Column:
+    """Whether all columns hold finite numbers."""
+    return _all([F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in columns])
+
+
+def descriptors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All eight measures; rows with a value that isn't finite are left out."""
+    out = all_descriptors(edges, nodes)
+    return out.filter(is_finite(*[c for c in out.columns if c != "net"]))
+
+
+def rejects(rows: DataFrame, *columns: str) -> DataFrame:
+    """``kept, rejected``: how many rows have finite numbers in all columns, and how many haven't."""
+    kept = F.count_if(is_finite(*columns))
+    return rows.agg(kept.alias("kept"), (F.count("*") - kept).alias("rejected"))
 
 
 def _all(tests: list[Column]) -> Column:

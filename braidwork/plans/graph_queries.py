@@ -34,15 +34,17 @@ def graph_frac_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(g.dense_measures(trade_edges(spark, sf_dir), nations(spark, sf_dir)).select("net", "efficiency"), "efficiency")
+    edges, nodes = trade_edges(spark, sf_dir), nations(spark, sf_dir)
+    return _round(g.efficiency(g.geodesics(edges, nodes), nodes), "efficiency")
 
 
 def graph_betweenness_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(g.dense_measures(trade_edges(spark, sf_dir), nations(spark, sf_dir)).select("net", "cv_betweenness"), "cv_betweenness")
+    edges, nodes = trade_edges(spark, sf_dir), nations(spark, sf_dir)
+    return _round(g.betweenness_cv(edges, nodes, g.geodesics(edges, nodes)), "cv_betweenness")
 
 
 def graph_lambda_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(g.dense_measures(g.centred(trade_edges(spark, sf_dir)), nations(spark, sf_dir)).select("net", "lambda_ratio"), "lambda_ratio")
+    return _round(g.lambda_ratio(g.centred(trade_edges(spark, sf_dir)), nations(spark, sf_dir)), "lambda_ratio")
 
 
 def graph_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +121,62 @@ d3 AS (SELECT a.src, b.dst, min(a.d + b.d) AS d FROM d2 a JOIN d2 b ON a.dst = b
 d4 AS (SELECT a.src, b.dst, min(a.d + b.d) AS d FROM d3 a JOIN d3 b ON a.dst = b.src GROUP BY 1, 2),
 d5 AS (SELECT a.src, b.dst, min(a.d + b.d) AS d FROM d4 a JOIN d4 b ON a.dst = b.src GROUP BY 1, 2)"""
 
+def _spectrum(name: str, matrix: str, keys: str = "", squarings: int = 26) -> str:
+    """CTEs that square the positive matrix ``matrix`` (i, j, m) until its first eigenvector is left.
+
+    ``{name}_v`` is its projector, ``{name}_l`` the eigenvalue and ``{name}_d`` the matrix without them.
+    """
+    k, on = (f"{keys}, ", f" AND a.{keys} = b.{keys}") if keys else ("", "")
+    using = f"USING ({keys})" if keys else "ON true"
+    by = f"GROUP BY {keys}" if keys else ""
+    own = f"a.{keys}, " if keys else ""
+    out, last = [], matrix
+    for n in range(squarings):
+        out.append(f"{name}_t{n} AS MATERIALIZED (SELECT {k}sum(m) FILTER (i = j) AS t FROM {last} {by})")
+        out.append(f"{name}_{n} AS MATERIALIZED (SELECT {own}a.i, b.j, sum(a.m / t.t * b.m / t.t) AS m FROM {last} a JOIN {last} b ON a.j = b.i{on} JOIN {name}_t{n} t {using if not keys else f'ON t.{keys} = a.{keys}'} WHERE t.t > 1e-300 GROUP BY ALL)")
+        last = f"{name}_{n}"
+    out.append(f"{name}_t AS MATERIALIZED (SELECT {k}sum(m) FILTER (i = j) AS t FROM {last} {by})")
+    out.append(f"{name}_v AS MATERIALIZED (SELECT {own}i, j, m / t AS m FROM {last} a JOIN {name}_t t {'ON t.' + keys + ' = a.' + keys if keys else 'ON true'})")
+    out.append(f"{name}_l AS MATERIALIZED (SELECT {own}sum(a.m * b.m) AS l FROM {name}_v a JOIN {matrix} b ON a.i = b.j AND a.j = b.i{on} {'GROUP BY a.' + keys if keys else ''})")
+    out.append(f"{name}_d AS MATERIALIZED (SELECT {own}a.i, a.j, a.m - coalesce(l.l * b.m, 0) AS m FROM {matrix} a LEFT JOIN {name}_v b ON a.i = b.i AND a.j = b.j{on} LEFT JOIN {name}_l l {'ON l.' + keys + ' = a.' + keys if keys else 'ON true'})")
+    return ",\n".join(out)
+
+
+_LAMBDA = f""",
+sq AS MATERIALIZED (SELECT a.src AS i, b.dst AS j, sum(a.w * b.w) AS m FROM signed a JOIN signed b ON a.dst = b.src GROUP BY 1, 2),
+{_spectrum('one', 'sq')},
+{_spectrum('two', 'one_d')},
+lam AS (SELECT sqrt((SELECT l FROM two_l) / (SELECT l FROM one_l)) AS lambda_ratio)"""
+
+_SIGNED_PATHS = _PATHS.replace("FROM e UNION", "FROM signed UNION")
+
+_ALL = f"""WITH {GRAPH}{_SIGNED_PATHS}{_LAMBDA},
+tot AS (SELECT sum(abs(w)) AS m2 FROM signed),
+st AS (SELECT node, z, coalesce(sum(abs(w)), 0) AS s FROM node LEFT JOIN signed ON src = node GROUP BY node, z),
+sz AS (SELECT z, sum(s) AS s FROM st GROUP BY z),
+ins AS (SELECT x.z, sum(abs(w)) AS i FROM signed JOIN node x ON x.node = src JOIN node y ON y.node = dst WHERE x.z = y.z GROUP BY x.z),
+mo AS (SELECT sum(coalesce(i, 0) / m2 - (s / m2) * (s / m2)) AS modularity FROM sz LEFT JOIN ins USING (z), tot),
+k AS (SELECT src AS node, z, sum(abs(w)) AS k FROM signed JOIN node y ON y.node = dst GROUP BY 1, 2),
+p AS (SELECT node, 1 - sum(k * k) / (sum(k) * sum(k)) AS p FROM k GROUP BY node),
+pa AS (SELECT avg(coalesce(p, 1)) AS participation FROM node LEFT JOIN p USING (node)),
+deg AS (SELECT src AS node, count(*) AS k FROM signed GROUP BY src),
+tri AS (SELECT a.src AS node, count(*) / 2 AS t FROM signed a JOIN signed b ON a.dst = b.src JOIN signed c ON c.src = b.dst AND c.dst = a.src GROUP BY a.src),
+cl AS (SELECT avg(CASE WHEN k > 1 THEN 2 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END) AS clustering FROM node LEFT JOIN deg USING (node) LEFT JOIN tri USING (node)),
+n AS (SELECT count(*) AS n FROM node),
+ef AS (SELECT sum(1 / d) / (max(n) * (max(n) - 1)) AS efficiency FROM d5, n WHERE src <> dst),
+cs AS (SELECT CASE WHEN avg(s) > 0 THEN stddev_pop(s) / avg(s) ELSE 0 END AS cv_strength FROM st),
+b AS (SELECT v.node, count(*) AS b FROM node v JOIN d5 st ON st.src < st.dst AND v.node <> st.src AND v.node <> st.dst
+      JOIN d5 sv ON sv.src = st.src AND sv.dst = v.node JOIN d5 vt ON vt.src = v.node AND vt.dst = st.dst WHERE abs(sv.d + vt.d - st.d) <= 1e-9 * st.d GROUP BY v.node),
+c AS (SELECT coalesce(b, 0) AS b FROM node LEFT JOIN b USING (node)),
+cb AS (SELECT CASE WHEN avg(b) > 0 THEN stddev_pop(b) / avg(b) ELSE 0 END AS cv_betweenness FROM c),
+fn AS (SELECT avg(CASE WHEN w < 0 THEN 1.0 ELSE 0.0 END) AS frac_negative FROM signed)
+SELECT round(modularity, 6) + 0.0 AS modularity, round(participation, 6) AS participation, round(clustering, 6) AS clustering, round(efficiency, 6) AS efficiency,
+       round(cv_strength, 6) AS cv_strength, round(cv_betweenness, 6) AS cv_betweenness, round(lambda_ratio, 6) AS lambda_ratio, round(frac_negative, 6) AS frac_negative
+FROM mo, pa, cl, ef, cs, cb, lam, fn"""
+
 ORACLES = {
+    "graph_lambda_ratio": f"WITH {GRAPH}{_LAMBDA} SELECT round(lambda_ratio, 6) AS lambda_ratio FROM lam",
+    "graph_descriptors": _ALL,
     "graph_modularity": f"""WITH {GRAPH},
 tot AS (SELECT sum(w) AS m2 FROM e),
 st AS (SELECT z, sum(w) AS s FROM e JOIN node ON node = src GROUP BY z),

@@ -61,23 +61,67 @@ def test_strength_and_signs(frames):
         assert np.isclose(got[net], s.std() / s.mean()) and np.isclose(neg[net], (w[w != 0] < 0).mean())
 
 
-def test_dense_measures(frames):
-    rows = {r["net"]: r for r in g.dense_measures(*frames).collect()}
-    assert np.isclose(rows[0]["efficiency"], 1) and rows[0]["cv_betweenness"] == 0
+def test_path_measures(frames):
+    edges, nodes = frames
+    paths = g.geodesics(edges, nodes)
+    got, cvs = value(g.efficiency(paths, nodes), "efficiency"), value(g.betweenness_cv(edges, nodes, paths), "cv_betweenness")
+    assert np.isclose(got[0], 1) and cvs[0] == 0
     d = {(0, 1): 1, (1, 2): 0.5, (2, 3): 0.25, (0, 2): 1.5, (1, 3): 0.75, (0, 3): 1.75}
-    assert np.isclose(rows[1]["efficiency"], 2 * sum(1 / x for x in d.values()) / 12)
+    assert np.isclose(got[1], 2 * sum(1 / x for x in d.values()) / 12)
     b = np.array([0, 2, 2, 0])
-    assert np.isclose(rows[1]["cv_betweenness"], b.std() / b.mean())
-    for net in GRAPHS:
-        ev = np.sort(np.abs(np.linalg.eigvalsh(matrix(net))))
-        assert np.isclose(rows[net]["lambda_ratio"], ev[-2] / ev[-1])
+    assert np.isclose(cvs[1], b.std() / b.mean())
+    assert np.isclose(got[3], 2 * 2 / 6) and cvs[3] == 0  # the isolated node adds no path
 
 
-def test_betweenness_shares_equal_paths():
-    square = np.full((4, 4), np.inf)
-    for a, b in ((0, 1), (1, 2), (2, 3), (0, 3)):
-        square[a, b] = square[b, a] = 1
-    assert g.betweenness(square).tolist() == [0.5, 0.5, 0.5, 0.5]
+def test_spectra(frames):
+    got = value(g.lambda_ratio(*frames), "lambda_ratio")
+    for net in GRAPHS:
+        ev = np.sort(np.abs(np.linalg.eigvalsh(matrix(net))))
+        assert np.isclose(got[net], ev[-2] / ev[-1])
+
+
+def test_spectrum_of_a_large_network_is_an_error(frames, monkeypatch):
+    monkeypatch.setattr(g, "SPECTRUM_NODES", 5)
+    with pytest.raises(ValueError, match="6 nodes"):
+        g.lambda_ratio(*frames)
+
+
+def test_betweenness_shares_equal_paths(spark):
+    square = [(0, a, b, 1.0) for a, b in ((0, 1), (1, 2), (2, 3), (0, 3))]
+    edges = g.symmetrised(spark.createDataFrame(square, "net int, src int, dst int, w double"))
+    nodes = spark.createDataFrame([(0, i, 0) for i in range(4)], "net int, node int, community int")
+    got = g.betweenness(edges, nodes, g.geodesics(edges, nodes)).orderBy("node").collect()
+    assert [r["betweenness"] for r in got] == [0.5, 0.5, 0.5, 0.5]
+
+
+def test_paths_of_random_networks(spark):
+    """Distances and betweenness against plain relaxation and enumeration."""
+    rng, n = np.random.default_rng(2), 9
+    w = np.triu(np.where(rng.random((n, n)) < 0.4, rng.integers(1, 4, (n, n)), 0), 1).astype(float)
+    edges = g.symmetrised(spark.createDataFrame([(0, int(i), int(j), float(w[i, j])) for i, j in np.argwhere(w)], "net int, src int, dst int, w double"))
+    nodes = spark.createDataFrame([(0, i, 0) for i in range(n)], "net int, node int, community int")
+    w = w + w.T
+    d = np.where(w > 0, 1 / np.where(w > 0, w, 1), np.inf)
+    np.fill_diagonal(d, 0)
+    length = d.copy()
+    for k in range(n):
+        d = np.minimum(d, d[:, [k]] + d[[k], :])
+    paths = g.geodesics(edges, nodes)
+    assert {(r["src"], r["dst"]): round(r["d"], 9) for r in paths.collect()} == {(i, j): round(d[i, j], 9) for i, j in np.argwhere(np.isfinite(d)).tolist()}
+
+    def ways(i, j):
+        if i == j:
+            return [[i]]
+        return [[*p, j] for m in range(n) if m != j and np.isfinite(length[m, j]) and np.isclose(d[i, m] + length[m, j], d[i, j]) for p in ways(i, m)]
+
+    want = np.zeros(n)
+    for i in range(n):
+        for j in range(i + 1, n):
+            found = ways(i, j) if np.isfinite(d[i, j]) else []
+            for p in found:
+                want[p[1:-1]] += 1 / len(found)
+    got = {r["node"]: r["betweenness"] for r in g.betweenness(edges, nodes, paths).collect()}
+    assert np.allclose([got[i] for i in range(n)], want)
 
 
 def test_blocks(frames):

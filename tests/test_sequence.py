@@ -152,14 +152,29 @@ def test_rejects_values_that_are_not_finite(spark):
     assert [r["net"] for r in graph.descriptors(edges, nodes).collect()] in ([1], [1, 2], [2, 1])
 
 
+def test_blocks_are_checked(spark):
+    def blocks(*rows):
+        return spark.createDataFrame([(1, *r) for r in rows], "net int, r int, s int, value double")
+
+    good = blocks((0, 0, 1.0), (0, 1, 2.0), (1, 0, 2.0), (1, 1, 3.0))
+    assert dynamics.checked_blocks(good, 2, 0, 3).count() == 4
+    assert dynamics.checked_blocks(dynamics.constant_blocks(good.select("net").distinct(), 3, 0.5), 3).count() == 9
+    for bad, k, bounds, says in (
+        (good, 3, (), "not 3 by 3"),
+        (blocks((0, 0, 1.0), (0, 1, 2.0), (1, 1, 3.0)), 2, (), "not 2 by 2"),
+        (blocks((0, 0, 1.0), (0, 1, 2.0), (1, 0, 2.5), (1, 1, 3.0)), 2, (), "symmetric"),
+        (good, 2, (0.0, 2.5), "beyond"),
+    ):
+        with pytest.raises(Exception, match=says):
+            dynamics.checked_blocks(bad, k, *bounds).collect()
+
+
 def test_guards_and_maps(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, 5)], "k int, x int")
     with pytest.raises(ValueError, match="missing"):
         dynamics.guarded(a, b, "k")
     with pytest.raises(ValueError, match="needed"):
         dynamics.guarded(a.filter("k = 1"), b, "k", least=20)
-    with pytest.raises(ValueError, match="symmetric"):
-        dynamics.block_values([[1, 2], [3, 4]], 2, "sigma")
     rng = np.random.default_rng(0)
     amap, bmap, rows = np.array([[0.5, 0.2], [-0.1, 0.7]]), np.array([[1.0, -0.5]]), []
     for run in (1, 2):
