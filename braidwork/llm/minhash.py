@@ -143,6 +143,15 @@ def corrected(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
     return ((x == y).mean(axis=1) - chance) / (1 - chance)
 
 
+def passes(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs may be similar enough by their estimates; x may be one row for all pairs."""
+    least = room(np.maximum(n, m), percent)
+    out = (x == y).mean(axis=1) >= least  # the correction only lowers an estimate
+    at = np.flatnonzero(out)
+    out[at] = corrected(x[at] if len(x) == len(y) else x, y[at], n[at], m[at]) >= least[at]
+    return out
+
+
 def room(n: np.ndarray, percent: int) -> np.ndarray:
     """The least estimate of a pair at the threshold, less the margin; n shingles are in the larger set."""
     j, filled = percent / 100, BUCKETS * -np.expm1(-n / BUCKETS)
@@ -159,7 +168,7 @@ def _estimated(percent: int):
         if not len(a):
             return pd.Series([], dtype=bool)
         n, m = n.to_numpy(float), m.to_numpy(float)
-        return pd.Series(corrected(_registers(a), _registers(b), n, m) >= room(np.maximum(n, m), percent))
+        return pd.Series(passes(_registers(a), _registers(b), n, m, percent))
 
     return likely
 
@@ -264,8 +273,7 @@ def _in_blocks(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
         hit_x, hit_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
         for i in range(len(x)):
             at = np.flatnonzero((py != px[i]) & (100 * np.minimum(ny, nx[i]) >= percent * np.maximum(ny, nx[i])) & ~(by[:, :band] == bx[i, :band]).any(axis=1))
-            n, m = np.full(len(at), nx[i]), ny[at]
-            at = at[corrected(np.broadcast_to(x[i], (len(at), BUCKETS)), y[at], n, m) >= room(np.maximum(n, m), percent)] if len(at) else at
+            at = at[passes(x[i : i + 1], y[at], np.full(len(at), nx[i]), ny[at], percent)]
             hit_x[i] = len(at) > 0
             hit_y[at] = True
         return pd.concat([left[hit_x], right[hit_y]])[["band", "key", "rep"]].drop_duplicates()
