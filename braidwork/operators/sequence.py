@@ -124,6 +124,14 @@ def one_hot(index: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == index, 1.0).otherwise(0.0))
 
 
+def told(values: dict, key: Column, what: str) -> Column:
+    """The value of a key; an unknown or missing key is an error."""
+    out = F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.coalesce(key.cast("string"), F.lit("null"))))
+    for k, v in reversed(values.items()):
+        out = F.when(key == k, v if isinstance(v, Column) else F.lit(v)).otherwise(out)
+    return out
+
+
 def masked(vec: Column, drop: Column) -> Column:
     """The vector without the places in ``drop``."""
     return F.filter(vec, lambda x, i: ~F.array_contains(drop, i))

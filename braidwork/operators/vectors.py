@@ -11,6 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.session import cut
+
+#: Groups up to which their means and picks are broadcast.
+GROUPS = 10_000
+
 
 def long(df: DataFrame, id_col: str, vec_col: str, *keep: str) -> DataFrame:
     """``id, dim, x`` with further columns that stay."""
@@ -34,9 +39,15 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def pairwise(df: DataFrame, id_col: str, vec_col: str = "v", blocks: int = 8) -> DataFrame:
-    """``i, j, dist`` of all pairs i < j: the operation is quadratic, so rows meet in blocks x blocks parts."""
-    own = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+#: Rows of a block of pairs.
+PAIR_ROWS = 1000
+
+
+def pairwise(df: DataFrame, id_col: str, vec_col: str = "v", rows: int = PAIR_ROWS) -> DataFrame:
+    """``i, j, dist`` of all pairs i < j: the operation is quadratic, so rows meet in blocks of about ``rows`` by ``rows``."""
+    own = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    blocks = max(2, -(-own.count() // rows))
+    own = own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     x = own.withColumn("row", F.col("b")).withColumn("col", each).alias("x")
     y = own.withColumn("col", F.col("b")).withColumn("row", each).alias("y")
@@ -76,63 +87,85 @@ def hex_counts(df: DataFrame, x: str, y: str, size: int = 15) -> DataFrame:
     ).agg(F.count("*").alias("n"))
 
 
-def covariance(df: DataFrame, dims: int, vec_col: str = "v") -> DataFrame:
-    """``i, j, cov`` (population), i <= j, in one aggregate over the rows."""
-    x = [F.get(vec_col, i) for i in range(dims)]
-    sums = df.agg(*[F.covar_pop(x[i], x[j]).alias(f"c_{i}_{j}") for i in range(dims) for j in range(i, dims)])
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c_{i}_{j}").alias("cov")) for i in range(dims) for j in range(i, dims)]
-    return sums.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+def moments(df: DataFrame, vec_col: str = "v") -> DataFrame:
+    """``i, j, n, mean_i, mean_j, cov`` (population), i <= j, of vectors of one length.
 
+    Each task sums its vectors' outer products, about their own mean, to one row; the rows are merged by place.
+    """
 
-def pca(df: DataFrame, dims: int, vec_col: str = "v") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def summed(batches):
+        n, mean, square = 0, None, None
+        for pdf in batches:
+            x = np.stack([np.asarray(v, float) for v in pdf["v"]]) if len(pdf) else None
+            if x is None:
+                continue
+            m, own = len(x), x.mean(axis=0)
+            c = (x - own).T @ (x - own)
+            if n:
+                step = own - mean
+                square += c + np.outer(step, step) * n * m / (n + m)
+                mean = mean + step * m / (n + m)
+            else:
+                mean, square = own, c
+            n += m
+        if n:
+            i, j = np.triu_indices(len(mean))
+            yield pd.DataFrame({"i": i, "j": j, "n": n, "a": mean[i], "b": mean[j], "c": square[i, j]})
+
+    parts = df.select(F.col(vec_col).alias("v")).filter("v is not null").mapInPandas(summed, "i int, j int, n long, a double, b double, c double")
+    total = parts.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("a")).alias("a"), F.sum(F.col("n") * F.col("b")).alias("b"), F.sum("c").alias("c"), F.sum(F.col("n") * F.col("a") * F.col("b")).alias("ab"))
+    between = F.col("ab") - F.col("a") * F.col("b") / F.col("n")
+    return total.select("i", "j", "n", (F.col("a") / F.col("n")).alias("mean_i"), (F.col("b") / F.col("n")).alias("mean_j"), ((F.col("c") + between) / F.col("n")).alias("cov"))
+
+
+def pca(df: DataFrame, vec_col: str = "v") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, loadings (rows) and shares of variance, from a covariance of dims x dims.
 
     Signs are fixed: the loading of largest size of each component is positive.
     """
-    means = df.agg(*[F.avg(F.get(vec_col, i)) for i in range(dims)]).first()
-    cells = covariance(df, dims, vec_col).collect()  # dims * (dims + 1) / 2 numbers
-    c = np.zeros((dims, dims))
+    cells = moments(df, vec_col).collect()  # dims * (dims + 1) / 2 rows
+    dims = 1 + max((r["j"] for r in cells), default=-1)
+    c, means = np.zeros((dims, dims)), np.zeros(dims)
     for r in cells:
-        c[r["i"], r["j"]] = c[r["j"], r["i"]] = r["cov"] or 0.0
+        c[r["i"], r["j"]] = c[r["j"], r["i"]] = r["cov"]
+        means[r["i"]] = r["mean_i"]
     values, vectors = np.linalg.eigh(c)
     order = np.argsort(-values)
     loadings = vectors[:, order].T
     loadings *= np.sign(loadings[np.arange(dims), np.abs(loadings).argmax(axis=1)])[:, None]
     values = np.maximum(values[order], 0)
-    return np.array([m or 0.0 for m in means]), loadings, values / max(values.sum(), 1e-300)
+    return means, loadings, values / max(values.sum(), 1e-300)
 
 
 def projected(df: DataFrame, means: np.ndarray, loadings: np.ndarray, parts: int, vec_col: str = "v", into: str = "pc") -> DataFrame:
     """(v - means) times the first loadings, as column arithmetic."""
-    dot = lambda row: sum(((F.get(vec_col, i) - float(means[i])) * float(row[i]) for i in range(1, len(row))), (F.get(vec_col, 0) - float(means[0])) * float(row[0]))
-    return df.withColumn(into, F.array(*[dot(loadings[k]) for k in range(parts)]))
+    literal = lambda x: F.array(*[F.lit(float(v)) for v in x])
+    dot = lambda row: F.aggregate(F.zip_with(F.col(vec_col), literal(row), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+    return df.withColumn(into, F.array(*[dot(loadings[k]) - F.lit(float(loadings[k] @ means)) for k in range(parts)]))
 
 
 def maxmin(df: DataFrame, k: int, group: str, id_col: str, vec_col: str = "v") -> DataFrame:
     """``group, pick, id``: in each group k rows far from one another.
 
     The first is the farthest from the mean, each next the farthest from those picked; ties go to the smallest
-    id. Rounds are aggregates over all rows against k broadcast picks per group, so groups may be of any size.
+    id. Rounds are aggregates over all rows against the k picks of their group, which stay in Spark, so groups may
+    be of any size and number.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    rows = cut(df.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(vec_col).alias("v")))
     mean = rows.select("g", F.posexplode("v").alias("dim", "x")).groupBy("g", "dim").agg(F.avg("x").alias("m")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("c"))
-    mean = mean.select("g", F.transform("c", lambda s: s["m"]).alias("c"))
+    mean = cut(mean.select("g", F.transform("c", lambda s: s["m"]).alias("c")))
+    near = F.broadcast if mean.limit(GROUPS + 1).count() <= GROUPS else lambda x: x
     far = lambda d: F.max_by(F.struct("id", "v"), F.struct(d, -F.col("id")))
-    picks = rows.join(mean, "g").withColumn("d", distance(F.col("v"), F.col("c"))).groupBy("g").agg(far("d").alias("p"))
-    picks = [r.asDict(True) | {"pick": 0} for r in picks.collect()]  # one row per group and round
-    schema = f"g {rows.schema['g'].dataType.simpleString()}, pick int, id {rows.schema['id'].dataType.simpleString()}, v array<double>"
-    spark = df.sparkSession
-    last = picks
-    out = [(p["g"], p["pick"], p["p"]["id"], p["p"]["v"]) for p in picks]
+    first = rows.join(near(mean), "g").withColumn("d", distance(F.col("v"), F.col("c"))).groupBy("g").agg(far("d").alias("p"))
+    picks = cut(first.select("g", F.lit(0).alias("pick"), "p.id", "p.v"))
     for n in range(1, k):
-        chosen = spark.createDataFrame(out, schema)
-        near = chosen.groupBy("g").agg(F.collect_list("v").alias("vs"))
-        d = rows.join(F.broadcast(near), "g").withColumn("d", F.array_min(F.transform("vs", lambda c: distance(F.col("v"), c)))).filter("d > 0")
-        last = d.groupBy("g").agg(far("d").alias("p")).collect()
-        if not last:
+        own = picks.groupBy("g").agg(F.collect_list("v").alias("vs"))  # at most k vectors a group
+        d = rows.join(near(own), "g").withColumn("d", F.array_min(F.transform("vs", lambda c: distance(F.col("v"), c)))).filter("d > 0")
+        new = cut(d.groupBy("g").agg(far("d").alias("p")).select("g", F.lit(n).alias("pick"), "p.id", "p.v"))
+        if new.isEmpty():
             break
-        out += [(r["g"], n, r["p"]["id"], r["p"]["v"]) for r in last]
-    return spark.createDataFrame(out, schema).select(F.col("g").alias(group), "pick", F.col("id").alias(id_col))
+        picks = cut(picks.union(new))
+    return picks.select(F.col("g").alias(group), "pick", F.col("id").alias(id_col))
 
 
 def ridge(df: DataFrame, features: list[str], target: str, alpha: float = 1e-6, group: str | None = None) -> DataFrame:

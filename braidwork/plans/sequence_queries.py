@@ -88,8 +88,8 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mask_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector without the velocities of the environment that its label stands for."""
     names = sorted(VELOCITIES)
-    drop = F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.array(*map(F.lit, VELOCITIES[n])))]), F.col("label") % len(names))
-    e = table(spark, sf_dir, "embeddings").select("vec_id", q.masked(F.slice("embedding", 1, 6).cast("array<double>"), drop).alias("v"))
+    drop = q.told({i: F.array(*map(F.lit, VELOCITIES[n])) for i, n in enumerate(names)}, F.col("label") % len(names), "environment")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", q.masked(F.col("embedding").cast("array<double>"), drop).alias("v"))
     return e.select("vec_id", F.size("v").alias("dims"), F.round(q.mean_of(F.col("v")), 6).alias("mean"))
 
 
@@ -182,7 +182,7 @@ SELECT run, CAST(k AS INTEGER) AS k, round(sqrt(pow(sum(value * cos(2 * pi() * k
 UNION ALL SELECT f.run, lg.step, 0.7 * state + 0.3 * ((exp(2 * (0.7 * value / 500 + 0.5 * state)) - 1) / (exp(2 * (0.7 * value / 500 + 0.5 * state)) + 1)) FROM f JOIN lg ON lg.run = f.run AND lg.step = f.step + 1)
 SELECT run, CAST(max(step) AS INTEGER) AS steps, round(arg_max(state, step), 6) AS state FROM f GROUP BY run""",
     "one_hot": f"WITH {LOG} SELECT run, step, {', '.join(f'''CASE WHEN model = '{t}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x{i}''' for i, t in enumerate(TYPES))} FROM lg",
-    "mask_columns": f"WITH e AS (SELECT vec_id, CASE label % {len(_NAMES)} {_MASK} END AS gone, CAST(embedding[1:6] AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT vec_id, unnest(range(0, 6)) AS i, unnest(v) AS x, gone FROM e) SELECT vec_id, CAST(count(*) AS INTEGER) AS dims, round(avg(x), 6) AS mean FROM m WHERE NOT list_contains(gone, i) GROUP BY vec_id",
+    "mask_columns": f"WITH e AS (SELECT vec_id, CASE label % {len(_NAMES)} {_MASK} END AS gone, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT vec_id, unnest(range(0, len(v))) AS i, unnest(v) AS x, gone FROM e) SELECT vec_id, CAST(count(*) AS INTEGER) AS dims, round(avg(x), 6) AS mean FROM m WHERE NOT list_contains(gone, i) GROUP BY vec_id",
     "reward_share": f"WITH {_SHARE} SELECT env, share FROM sr",
     "env_sets": f"WITH {_SHARE} SELECT s.env_set, count(*) AS envs, round(avg(share), 6) AS mean_share FROM (VALUES {_SETS}) s(env_set, env) JOIN sr USING (env) GROUP BY s.env_set",
 }
