@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.operators.sequence import told
+from braidwork.session import cut
+
 
 def weight(step: Column, last: Column, window: float, kind: str, only: Column) -> Column:
     """Recency weight of a step in the last ``window`` steps; other kinds than linear and exponential weigh alike."""
@@ -27,9 +30,18 @@ def recency_score(log: DataFrame, window: float, kind: str = "linear", run: str
     return sums.select(run, (F.col("wv") / F.col("w")).alias("score"))
 
 
-def positions(log: DataFrame, *keys: str) -> DataFrame:
-    """``pos`` of each row in its run, from 0."""
-    return log.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("step")) - 1)
+def positions(log: DataFrame, *keys: str, by: tuple[str, ...] = ("step",)) -> DataFrame:
+    """``pos`` of each row in its run, from 0 (without keys, in all).
+
+    Rows are sorted by ranges of key and step. A run may lie in many ranges; the counts of those before shift the
+    positions within one, so no run is one task's work.
+    """
+    ranged = cut(log.repartitionByRange(*keys, *by).sortWithinPartitions(*keys, *by).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))  # a row for each range and run in it
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*by)) - 1
+    placed = ranged.withColumn("pos", within).join(counts.withColumn("_before", before).drop("_n"), [*keys, "_range"])
+    return placed.withColumn("pos", F.col("pos") + F.col("_before")).drop("_range", "_before")
 
 
 def shortest(log: DataFrame, group: str, run: str) -> DataFrame:
@@ -92,6 +104,29 @@ def last_mean(sums: DataFrame, n: int, run: str = "run") -> DataFrame:
     return sums.groupBy(run).agg(F.avg("total").alias("mean_reward"), F.count("*").alias("episodes"))
 
 
+def first_files(files: DataFrame, *keys: str, path: str = "path") -> DataFrame:
+    """The first file of each folder by name, whatever order a file system lists them in."""
+    return files.groupBy(*keys).agg(F.min(path).alias(path))
+
+
+def resolved_seed(seed: Column, array_id: Column) -> Column:
+    """The seed itself; -1 stands for the id within an array of jobs, or 0 outside one."""
+    return F.when(seed == -1, F.coalesce(array_id.cast("long"), F.lit(0))).otherwise(seed.cast("long"))
+
+
+#: Models and learning rates that are compared, by whether observations are masked.
+MODELS = {
+    "True": (("PPO", 0.0003), ("RES_PPO_0.0003", 0.0003), ("RES_PPO_0.0001", 0.0001), ("RES_PPO_0.00005", 0.00005)),
+    "False": (("PPO", 0.0003), ("RES_PPO_0.0003", 0.0003), ("RES_PPO_0.0001", 0.0001)),
+}
+
+
+def models_of(flag: Column) -> Column:
+    """The models and learning rates under a flag, as structs; another flag is an error."""
+    pairs = {k: F.array(*[F.struct(F.lit(m).alias("model"), F.lit(lr).alias("lr")) for m, lr in v]) for k, v in MODELS.items()}
+    return told(pairs, flag, "kind of environments")
+
+
 def missing(requested: DataFrame, made: DataFrame, *keys: str) -> DataFrame:
     """What is asked for and not there yet."""
     return requested.join(made, [*keys], "left_anti")

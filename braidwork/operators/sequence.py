@@ -51,6 +51,27 @@ def choose_rank(series: DataFrame, delays: int, energy: float = 0.99, least: int
     return top.select(F.coalesce(F.least(F.greatest("m", F.lit(least)), F.lit(most)), F.lit(least)).alias("rank"))
 
 
+#: Ranks under which an input excites too few modes to tell systems apart.
+FEW_MODES = 5
+
+
+def rank_notes(series: DataFrame, delays: int, energy: float = 0.99, least: int = 1, most: int = 50) -> DataFrame:
+    """``rank, widest, few_modes, capped``: the chosen rank, the largest of a run, and what to beware of.
+
+    ``few_modes`` says that the rank is too low to tell systems apart, ``capped`` that a run has more than was taken.
+    """
+    top = delay_ranks(series, delays, energy).agg(F.max("rank").alias("widest"))
+    rank = F.coalesce(F.least(F.greatest("widest", F.lit(least)), F.lit(most)), F.lit(least))
+    return top.select(rank.alias("rank"), "widest", (rank < FEW_MODES).alias("few_modes"), F.coalesce(F.col("widest") > rank, F.lit(False)).alias("capped"))
+
+
+def whole_runs(series: DataFrame, delays: int) -> DataFrame:
+    """``series``, if every run is long enough for the delays; else reading it is an error, where ``delay_ranks`` skips such runs."""
+    short = series.groupBy("run").agg(F.count("*").alias("n")).filter(F.col("n") < delays).agg(F.count("*").alias("short"))  # one row
+    ok = F.when(F.col("short") == 0, True).otherwise(F.raise_error(F.format_string(f"%d runs are shorter than {delays} delays", "short")).cast("boolean"))
+    return series.crossJoin(F.broadcast(short)).filter(ok).drop("short")
+
+
 def islands(series: DataFrame, label: str) -> DataFrame:
     """``run, label, start, end, centre`` of each stretch of equal labels; positions from 0, ends exclusive."""
     order = Window.partitionBy("run").orderBy("step")
@@ -103,21 +124,27 @@ class Leaky:
 
 
 def states(series: DataFrame, reservoir: Leaky, inputs: str = "u") -> DataFrame:
-    """``run, step, state`` for inputs that are arrays; parallel over runs, sequential within one, no wash-out."""
+    """``run, step, id, state`` for inputs that are arrays; parallel over runs, sequential within one, no wash-out.
+
+    Rows are taken by step, then id. An input of another width than the reservoir's is an error.
+    """
     kind, step = (series.schema[c].dataType.simpleString() for c in ("run", "step"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
+        pdf = pdf.sort_values(["step", "id"])
+        widths = set(map(len, pdf[inputs])) | {reservoir.w_in.shape[1]}
+        if len(widths) > 1:
+            raise ValueError(f"inputs of different widths: {sorted(widths)}")
         x = reservoir.fold(np.stack([np.asarray(u, float) for u in pdf[inputs]]))
-        return pd.DataFrame({"run": pdf["run"], "step": pdf["step"], "state": list(x)})
+        return pd.DataFrame({"run": pdf["run"], "step": pdf["step"], "id": pdf["id"], "state": list(x)})
 
-    return series.select("run", "step", inputs).groupBy("run").applyInPandas(fold, f"run {kind}, step {step}, state array<double>")
+    return series.select("run", "step", "id", inputs).groupBy("run").applyInPandas(fold, f"run {kind}, step {step}, id long, state array<double>")
 
 
 def activations(state: DataFrame, steps: int = 100, units: int = 5) -> DataFrame:
-    """``run, step, unit, activation``: sizes of the first units' states in the first steps."""
-    first = state.withColumn("n", F.row_number().over(Window.partitionBy("run").orderBy("step"))).filter(F.col("n") <= steps)
-    return first.select("run", "step", F.posexplode(F.slice("state", 1, units)).alias("unit", "x")).select("run", "step", "unit", F.abs("x").alias("activation"))
+    """``run, step, id, unit, activation``: sizes of the first units' states in the first steps."""
+    first = state.withColumn("n", F.row_number().over(Window.partitionBy("run").orderBy("step", "id"))).filter(F.col("n") <= steps)
+    return first.select("run", "step", "id", F.posexplode(F.slice("state", 1, units)).alias("unit", "x")).select("run", "step", "id", "unit", F.abs("x").alias("activation"))
 
 
 def one_hot(index: Column, n: int) -> Column:

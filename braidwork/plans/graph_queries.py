@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.operators import graph as g
+from braidwork.plans.spectra import spectrum
 from braidwork.sources.trade import nations, trade_edges
 
 
@@ -121,31 +122,10 @@ d3 AS (SELECT a.src, b.dst, min(a.d + b.d) AS d FROM d2 a JOIN d2 b ON a.dst = b
 d4 AS (SELECT a.src, b.dst, min(a.d + b.d) AS d FROM d3 a JOIN d3 b ON a.dst = b.src GROUP BY 1, 2),
 d5 AS (SELECT a.src, b.dst, min(a.d + b.d) AS d FROM d4 a JOIN d4 b ON a.dst = b.src GROUP BY 1, 2)"""
 
-def _spectrum(name: str, matrix: str, keys: str = "", squarings: int = 26) -> str:
-    """CTEs that square the positive matrix ``matrix`` (i, j, m) until its first eigenvector is left.
-
-    ``{name}_v`` is its projector, ``{name}_l`` the eigenvalue and ``{name}_d`` the matrix without them.
-    """
-    k, on = (f"{keys}, ", f" AND a.{keys} = b.{keys}") if keys else ("", "")
-    using = f"USING ({keys})" if keys else "ON true"
-    by = f"GROUP BY {keys}" if keys else ""
-    own = f"a.{keys}, " if keys else ""
-    out, last = [], matrix
-    for n in range(squarings):
-        out.append(f"{name}_t{n} AS MATERIALIZED (SELECT {k}sum(m) FILTER (i = j) AS t FROM {last} {by})")
-        out.append(f"{name}_{n} AS MATERIALIZED (SELECT {own}a.i, b.j, sum(a.m / t.t * b.m / t.t) AS m FROM {last} a JOIN {last} b ON a.j = b.i{on} JOIN {name}_t{n} t {using if not keys else f'ON t.{keys} = a.{keys}'} WHERE t.t > 1e-300 GROUP BY ALL)")
-        last = f"{name}_{n}"
-    out.append(f"{name}_t AS MATERIALIZED (SELECT {k}sum(m) FILTER (i = j) AS t FROM {last} {by})")
-    out.append(f"{name}_v AS MATERIALIZED (SELECT {own}i, j, m / t AS m FROM {last} a JOIN {name}_t t {'ON t.' + keys + ' = a.' + keys if keys else 'ON true'})")
-    out.append(f"{name}_l AS MATERIALIZED (SELECT {own}sum(a.m * b.m) AS l FROM {name}_v a JOIN {matrix} b ON a.i = b.j AND a.j = b.i{on} {'GROUP BY a.' + keys if keys else ''})")
-    out.append(f"{name}_d AS MATERIALIZED (SELECT {own}a.i, a.j, a.m - coalesce(l.l * b.m, 0) AS m FROM {matrix} a LEFT JOIN {name}_v b ON a.i = b.i AND a.j = b.j{on} LEFT JOIN {name}_l l {'ON l.' + keys + ' = a.' + keys if keys else 'ON true'})")
-    return ",\n".join(out)
-
-
 _LAMBDA = f""",
 sq AS MATERIALIZED (SELECT a.src AS i, b.dst AS j, sum(a.w * b.w) AS m FROM signed a JOIN signed b ON a.dst = b.src GROUP BY 1, 2),
-{_spectrum('one', 'sq')},
-{_spectrum('two', 'one_d')},
+{spectrum('one', 'sq')},
+{spectrum('two', 'one_d')},
 lam AS (SELECT sqrt((SELECT l FROM two_l) / (SELECT l FROM one_l)) AS lambda_ratio)"""
 
 _SIGNED_PATHS = _PATHS.replace("FROM e UNION", "FROM signed UNION")

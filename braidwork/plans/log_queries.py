@@ -91,9 +91,31 @@ def grid_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.crossJoin(models).crossJoin(seeds).join(cells, ["task", "model", "seed"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").filter("user_id is not null").groupBy(F.col("user_id").alias("run")).agg(F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
+def models_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models to train for each user, who counts as masked if any of their events is an error."""
+    flag = F.when(F.col("errors") > 0, "True").otherwise("False")
+    return _runs(spark, sf_dir).select("run", F.explode(logs.models_of(flag)).alias("m")).select("run", "m.model", "m.lr")
+
+
+def resolved_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of runs: users without an error ask for the id in their array of jobs, one in three of them has none."""
+    seed, array_id = F.when(F.col("errors") > 0, F.col("run") % 5).otherwise(-1), F.when(F.col("run") % 3 != 0, F.col("run"))
+    return _runs(spark, sf_dir).select("run", logs.resolved_seed(seed, array_id).alias("seed"))
+
+
+def first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name of each user's first event by name, as of a folder's first file."""
+    e = table(spark, sf_dir, "events").filter("user_id is not null")
+    return logs.first_files(e.select(F.col("user_id").alias("run"), F.format_string("%s-%012d", "event_type", "event_id").alias("path")), "run")
+
+
 QUERIES = {f"score_{kind}": _score_query(kind) for kind in ("linear", "exponential", "mean")} | {
     f.__name__: f
-    for f in (seed_band, seed_pivot, top_bottom, rank_metadata, left_scores, semi_scores, anti_missing, run_key, episode_sums, mean_reward, mean_of_means, first_per_group, grid_cross)
+    for f in (seed_band, seed_pivot, top_bottom, rank_metadata, left_scores, semi_scores, anti_missing, run_key, episode_sums, mean_reward, mean_of_means, first_per_group, grid_cross, models_by_flag, resolved_seeds, first_event)
 }
 
 LOG = """lg AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value, event_type AS model, user_id % 5 AS seed,
@@ -119,6 +141,10 @@ ORACLES = {f"score_{kind}": f"WITH {_SCORE(kind)} SELECT run, round(score, 6) AS
     "mean_reward": f"WITH {_EP} SELECT run, round(avg(total), 6) AS mean_reward, count(*) AS episodes FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY episode DESC) AS back FROM es) WHERE back <= 5 GROUP BY run",
     "mean_of_means": f"WITH {_EP} SELECT run, round(avg(mean), 6) AS mean_of_means, round(avg(total), 6) AS mean_of_sums FROM es GROUP BY run",
     "first_per_group": "SELECT c_mktsegment, arg_min(c_name, c_custkey) AS c_name, arg_min(c_acctbal, c_custkey) FILTER (c_acctbal > 5000) AS rich FROM customer GROUP BY c_mktsegment",
+    "models_by_flag": f"""WITH r AS (SELECT user_id AS run, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'True' ELSE 'False' END AS flag FROM events WHERE user_id IS NOT NULL GROUP BY user_id)
+SELECT run, model, CAST(lr AS DOUBLE) AS lr FROM r JOIN (VALUES {', '.join(f"('{k}', '{m}', {lr})" for k, own in logs.MODELS.items() for m, lr in own)}) v(flag, model, lr) USING (flag)""",
+    "resolved_seeds": """SELECT user_id AS run, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN user_id % 5 WHEN user_id % 3 <> 0 THEN user_id ELSE 0 END AS seed FROM events WHERE user_id IS NOT NULL GROUP BY user_id""",
+    "first_event": "SELECT user_id AS run, min(format('{}-{:012d}', event_type, event_id)) AS path FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
     "grid_cross": """WITH x AS (SELECT event_type AS task, CAST(user_id % 5 AS INTEGER) AS seed, user_id FROM events WHERE user_id IS NOT NULL),
 c AS (SELECT task, c_mktsegment AS model, seed, count(*) AS n FROM x JOIN customer ON c_custkey = user_id GROUP BY ALL)
 SELECT t.task, m.model, s.seed, coalesce(n, 0) AS n FROM (SELECT DISTINCT task FROM x) t CROSS JOIN (SELECT DISTINCT c_mktsegment AS model FROM customer) m CROSS JOIN (SELECT DISTINCT seed FROM x) s

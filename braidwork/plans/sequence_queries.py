@@ -11,6 +11,7 @@ from braidwork.operators import logs
 from braidwork.operators import sequence as q
 from braidwork.operators import vectors
 from braidwork.plans.log_queries import LOG
+from braidwork.plans.spectra import spectrum
 from braidwork.session import cut, shared_folder, table
 from braidwork.sources.events import user_log
 from braidwork.streaming import reservoirs as stream
@@ -49,6 +50,10 @@ def choose_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.choose_rank(user_log(spark, sf_dir), 4, 0.9)
 
 
+def rank_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.rank_notes(q.whole_runs(user_log(spark, sf_dir), 2), 4, 0.9, 3, 3)
+
+
 def energy_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.energy_rank(user_log(spark, sf_dir))
 
@@ -118,15 +123,15 @@ def esn_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def esn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next value of each run from its reservoir state, by a ridge readout over all runs."""
     own = _inputs(spark, sf_dir)
-    series = own.select("run", "step", F.get("u", 0).alias("value"))
-    target = q.delay_embed(series, 2).select("run", "step", F.col("h1").alias("y"))
+    series = own.select("run", F.struct("step", "id").alias("step"), F.get("u", 0).alias("value"))
+    target = q.delay_embed(series, 2).select("run", "step.step", "step.id", F.col("h1").alias("y"))
     x = [f"x{i}" for i in range(8)]
-    rows = cut(q.states(own, stream.reservoir(7, 8, 3)).join(target, ["run", "step"]).select("run", "step", *[F.get("state", i).alias(c) for i, c in enumerate(x)], "y"))
+    rows = cut(q.states(own, stream.reservoir(7, 8, 3)).join(target, ["run", "step", "id"]).select("run", "step", "id", *[F.get("state", i).alias(c) for i, c in enumerate(x)], "y"))
     weights = {r["feature"]: r["weight"] for r in vectors.ridge(rows, x, "y").collect()}  # a weight per unit
     predicted = F.lit(weights["intercept"])
     for c in x:
         predicted = predicted + F.col(c) * weights[c]
-    return rows.groupBy("run").agg(F.count("*").alias("n"), F.round(F.avg((F.col("y") - predicted) * (F.col("y") - predicted)), 6).alias("mse"))
+    return rows.groupBy("run").agg(F.count("*").alias("n"), F.round(F.avg((F.col("y") - predicted) * (F.col("y") - predicted)), 5).alias("mse"))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +142,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _through(spark: SparkSession, sf_dir: str, own: list, **how) -> DataFrame:
     out = stream.run_once(stream.contexts(_stream(spark, sf_dir), own, **how), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
-    return out.select("run", "step", F.size("context").alias("units"), F.round(q.mean_of(F.col("context")), 6).alias("mean"))
+    return out.select("run", "step", "id", F.size("context").alias("units"), F.round(q.mean_of(F.col("context")), 6).alias("mean"))
 
 
 def reservoir_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +160,7 @@ def partly_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        delay_embed, delay_rank, choose_rank, energy_rank, episode_ids, episode_slice, label_islands, series_zscore, dft_magnitude, leaky_fold, one_hot, mask_columns,
+        delay_embed, delay_rank, choose_rank, rank_notes, energy_rank, episode_ids, episode_slice, label_islands, series_zscore, dft_magnitude, leaky_fold, one_hot, mask_columns,
         reward_share, env_sets, esn_states, esn_predict, reservoir_stream, multi_reservoir, partly_observed,
     )
 }
@@ -167,7 +172,58 @@ _CASE = lambda t: "CASE env " + " ".join(f"WHEN '{k}' THEN {float(v)}::DOUBLE" f
 _SHARE = f"ow AS (SELECT [{', '.join(repr(e) for e in ENVS)}][user_id % {len(ENVS)} + 1] AS env, avg(value) AS reward FROM events WHERE user_id IS NOT NULL GROUP BY 1), sr AS (SELECT env, round((reward - {_CASE(RANDOM)}) / ({_CASE(TARGET)} - {_CASE(RANDOM)}), 6) AS share FROM ow)"
 _SETS = ", ".join(f"('{n}', '{e}')" for n, own in ENV_SETS.items() for e in own)
 
+_ROW = lambda r: "[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in r) + "]"
+_ROWS = lambda m: "[" + ", ".join(map(_ROW, m)) + "]"
+_NEXT = lambda r, x: f"list_transform(range(1, {len(r.w) + 1}), lambda j: {1 - r.leak!r}::DOUBLE * {x}[j] + {r.leak!r}::DOUBLE * tanh(list_inner_product({_ROWS(r.w_in)}[j], u) + list_inner_product({_ROWS(r.w)}[j], {x})))"
+_INPUT = """inp AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth, epoch_us(ts) AS step, event_id AS id,
+  [ln(1 + value), 0::DOUBLE, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END::DOUBLE] AS u, event_type = 'purchase' AS done FROM events WHERE user_id IS NOT NULL)"""
+
+
+def _folded(own: list, reset: bool = False) -> str:
+    """Recursive CTEs: the state of each reservoir, x0, x1, ..., after each of a run's inputs."""
+    zeros = [f"list_transform(range({len(r.w)}), lambda i: 0::DOUBLE)" for r in own]
+    names = [f"x{i}" for i in range(len(own))]
+    before = [f"CASE WHEN f.done THEN {z} ELSE f.{x} END" if reset else f"f.{x}" for x, z in zip(names, zeros, strict=True)]
+    start = ", ".join(f"{z} AS {x}" for x, z in zip(names, zeros, strict=True))
+    own_before = ", ".join(f"{b} AS {x}" for b, x in zip(before, names, strict=True))
+    after = ", ".join(f"{_NEXT(r, x)} AS {x}" for r, x in zip(own, names, strict=True))
+    return f"""{_INPUT}, f AS (SELECT run, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS id, [0::DOUBLE] AS u, false AS done, {start} FROM (SELECT DISTINCT run FROM inp)
+UNION ALL SELECT run, nth, step, id, u, done, {after} FROM (SELECT inp.run, inp.nth, inp.step, inp.id, inp.u, inp.done, {own_before} FROM f JOIN inp ON inp.run = f.run AND inp.nth = f.nth + 1))"""
+
+
+_EIGHT, _SIX = [stream.reservoir(7, 8, 3)], [stream.reservoir(7 + i, 6, 3) for i in range(3)]
+_CONTEXT = lambda c: f"SELECT run, step, id, CAST(len({c}) AS INTEGER) AS units, round(list_sum({c}) / len({c}), 6) AS mean FROM f WHERE nth > 0"
+
+
+def _readout(units: int) -> str:
+    """CTEs that solve the ridge readout of h1 on the states by elimination; ``sol`` has a weight in each row."""
+    n = units
+    sums = ", ".join(f"covar_pop({a}, {b}) * count(*)" for a, b in [(f"s[{i}]", f"s[{j}]") for i in range(1, n + 1) for j in [*range(1, n + 1)]])
+    goal = ", ".join(f"covar_pop(s[{i}], y) * count(*)" for i in range(1, n + 1))
+    out = [f"ro AS (SELECT [{sums}] AS c, [{goal}] AS d, {', '.join(f'avg(s[{i}]) AS m{i}' for i in range(1, n + 1))}, avg(y) AS my FROM tr)"]
+    out.append(f"g0 AS MATERIALIZED (SELECT i, list_append(list_transform(range(1, {n + 1}), lambda j: c[(i - 1) * {n} + j] + CASE WHEN i = j THEN 1e-6 ELSE 0 END), d[i]) AS r FROM ro, (SELECT unnest(range(1, {n + 1})) AS i))")
+    for k in range(1, n + 1):
+        out.append(f"g{k} AS MATERIALIZED (SELECT a.i, CASE WHEN a.i = {k} THEN list_transform(a.r, lambda x: x / p.r[{k}]) ELSE list_transform(range(1, {n + 2}), lambda j: a.r[j] - a.r[{k}] * p.r[j] / p.r[{k}]) END AS r FROM g{k - 1} a, (SELECT r FROM g{k - 1} WHERE i = {k}) p)")
+    out.append(f"sol AS (SELECT list(r[{n + 1}] ORDER BY i) AS w FROM g{n})")
+    return ", ".join(out)
+
+
+_RANKS = f"""WITH {LOG}, h AS (SELECT run, [h0, h1, h2, h3] AS h FROM (SELECT run, value AS h0, lead(value, 1) OVER w AS h1, lead(value, 2) OVER w AS h2, lead(value, 3) OVER w AS h3 FROM lg WINDOW w AS (PARTITION BY run ORDER BY step)) WHERE h3 IS NOT NULL),
+hc AS MATERIALIZED (SELECT run, a.i, b.i AS j, covar_pop(h[a.i], h[b.i]) AS m FROM h, (SELECT unnest(range(1, 5)) AS i) a, (SELECT unnest(range(1, 5)) AS i) b GROUP BY ALL),
+{spectrum('p', 'hc', 'run')}, {spectrum('q', 'p_d', 'run')}, {spectrum('v', 'q_d', 'run')},
+dr AS (SELECT run, CAST(1 + CASE WHEN p_l.l < 0.9 * t THEN 1 ELSE 0 END + CASE WHEN p_l.l + q_l.l < 0.9 * t THEN 1 ELSE 0 END + CASE WHEN p_l.l + q_l.l + v_l.l < 0.9 * t THEN 1 ELSE 0 END AS INTEGER) AS rank
+       FROM (SELECT run, sum(m) AS t FROM hc WHERE i = j GROUP BY run) JOIN p_l USING (run) JOIN q_l USING (run) JOIN v_l USING (run))"""
+
 ORACLES = {
+    "delay_rank": f"{_RANKS} SELECT run, rank FROM dr",
+    "choose_rank": f"{_RANKS} SELECT least(greatest(max(rank), 1), 50) AS rank FROM dr",
+    "rank_notes": f"{_RANKS} SELECT 3 AS rank, max(rank) AS widest, true AS few_modes, max(rank) > 3 AS capped FROM dr",
+    "esn_states": f"WITH RECURSIVE {_folded(_EIGHT)} SELECT run, step, id, CAST(unit AS INTEGER) AS unit, round(abs(x0[unit + 1]), 6) AS activation FROM f, (SELECT unnest(range(0, 5)) AS unit) WHERE nth BETWEEN 1 AND 100",
+    "reservoir_stream": f"WITH RECURSIVE {_folded(_EIGHT)} {_CONTEXT('x0')}",
+    "multi_reservoir": f"WITH RECURSIVE {_folded(_SIX)} {_CONTEXT('list_concat(list_concat(list_concat(x0, x1), x2), u)')}",
+    "partly_observed": f"WITH RECURSIVE {_folded(_EIGHT, True)} {_CONTEXT('x0[1:3]')}",
+    "esn_predict": f"""WITH RECURSIVE {_folded(_EIGHT)}, tr AS MATERIALIZED (SELECT * FROM (SELECT run, x0 AS s, lead(u[1]) OVER (PARTITION BY run ORDER BY nth) AS y FROM f WHERE nth > 0) WHERE y IS NOT NULL), {_readout(8)}
+SELECT run, count(*) AS n, round(avg(pow(y - my - ({' + '.join(f'w[{i}] * (s[{i}] - m{i})' for i in range(1, 9))}), 2)), 5) AS mse FROM tr, sol, ro GROUP BY run""",
     "delay_embed": f"WITH {LOG} SELECT run, step, h0, h1, h2 FROM (SELECT run, step, value AS h0, lead(value, 1) OVER w AS h1, lead(value, 2) OVER w AS h2, lead(step, 2) OVER w AS z FROM lg WINDOW w AS (PARTITION BY run ORDER BY step)) WHERE z IS NOT NULL",
     "energy_rank": f"""WITH {LOG}, c AS (SELECT run, row_number() OVER w AS k, sum(value * value) OVER (PARTITION BY run ORDER BY value DESC, step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM lg WINDOW w AS (PARTITION BY run ORDER BY value DESC, step)),
 t AS (SELECT run, sum(value * value) AS total FROM lg GROUP BY run) SELECT run, min(k) AS rank FROM c JOIN t USING (run) WHERE cum >= 0.99 * total GROUP BY run""",

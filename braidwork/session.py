@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,11 +46,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors share: the session's ``spark.checkpoint.dir``, or a local one where none is named (tests on one machine)."""
+    """A folder that all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where none is named, a temporary one serves a session on one machine; on a cluster it is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        if named is None and not (context.master or "").startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints-{uuid.uuid4().hex}")
     return context.getCheckpointDir()
 
 

@@ -29,7 +29,8 @@ def read_designs(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def write_designs(df: DataFrame, path: str) -> None:
-    """Designs as CSV with a header, in the schema that ``read_designs`` takes."""
+    """Designs as CSV with a header, in the schema that ``read_designs`` takes; infinity is written as it is read."""
+    df = df.withColumn("size_alpha", F.when(F.col("size_alpha") == float("inf"), "inf").otherwise(F.col("size_alpha").cast("string")))
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -65,6 +66,11 @@ def discovered(df: DataFrame, pattern: str = r"/([^/]+)_(\d+)/[^/]*$") -> DataFr
     return df.select("*", F.regexp_extract(path, pattern, 1).alias("model"), F.regexp_extract(path, pattern, 2).cast("int").alias("seed"))
 
 
+def with_file_index(df: DataFrame, name: str = "idx") -> DataFrame:
+    """``df``, read from one Parquet file, with each row's place in the file from 0."""
+    return df.select("*", F.col("_metadata.row_index").alias(name))
+
+
 def part_designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A design for each part."""
     return _designs(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")))

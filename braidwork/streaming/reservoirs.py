@@ -20,20 +20,23 @@ def reservoir(seed: int, units: int, inputs: int, leak: float = 0.3, radius: flo
 
 
 def contexts(events: DataFrame, reservoirs: list[Leaky], observed: int | None = None, reset: bool = False, skip: bool = False) -> DataFrame:
-    """``run, step, context`` for streaming rows ``run, step, u, done``.
+    """``run, step, id, context`` for streaming rows ``run, step, id, u, done``.
 
     Contexts of several reservoirs are joined end to end; ``observed`` shows only the first units of each;
     ``reset`` empties a run's state after an episode's end; ``skip`` appends the input itself. Within a batch a
-    run's rows are taken by step, and batches are expected in order.
+    run's rows are taken by step, then id, and batches are expected in order.
     """
     sizes = [len(r.w) for r in reservoirs]
+    widths = [r.w_in.shape[1] for r in reservoirs]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = np.array(state.get[0]) if state.exists else np.zeros(sum(sizes))
-        own = pd.concat(list(batches)).sort_values("step")
+        own = pd.concat(list(batches)).sort_values(["step", "id"])
         out = []
         for u, done in zip(own["u"], own["done"], strict=True):
             u = np.asarray(u, float)
+            if any(len(u) != n for n in widths):
+                raise ValueError(f"an input has {len(u)} numbers, the reservoirs take {widths}")
             parts = [r.update(x, u) for r, x in zip(reservoirs, np.split(now, np.cumsum(sizes)[:-1]), strict=True)]
             now = np.concatenate(parts)
             seen = np.concatenate([p[:observed] for p in parts])
@@ -41,20 +44,20 @@ def contexts(events: DataFrame, reservoirs: list[Leaky], observed: int | None =
             if reset and done:
                 now = np.zeros(sum(sizes))
         state.update((now.tolist(),))
-        yield pd.DataFrame({"run": key[0], "step": own["step"].to_numpy(), "context": out})
+        yield pd.DataFrame({"run": key[0], "step": own["step"].to_numpy(), "id": own["id"].to_numpy(), "context": out})
 
     kind = events.schema["run"].dataType.simpleString()
-    return events.groupBy("run").applyInPandasWithState(step, f"run {kind}, step long, context array<double>", "x array<double>", "append", "NoTimeout")
+    return events.groupBy("run").applyInPandasWithState(step, f"run {kind}, step long, id long, context array<double>", "x array<double>", "append", "NoTimeout")
 
 
 def inputs(events: DataFrame) -> DataFrame:
-    """``run, step, u, done`` from the events table, batch or stream; the step is the time and id of the event.
+    """``run, step, id, u, done`` from the events table, batch or stream; the step is the time of the event in microseconds.
 
     The input is the observation (value), a neutral action and the reward (1 for a purchase).
     """
     reward = (F.col("event_type") == "purchase").cast("double")
-    step = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000
-    return events.filter("user_id is not null").select(F.col("user_id").alias("run"), step.alias("step"), F.array(F.log1p("value"), F.lit(0.0), reward).alias("u"), (F.col("event_type") == "purchase").alias("done"))
+    step = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.filter("user_id is not null").select(F.col("user_id").alias("run"), step.alias("step"), F.col("event_id").alias("id"), F.array(F.log1p("value"), F.lit(0.0), reward).alias("u"), (F.col("event_type") == "purchase").alias("done"))
 
 
 def run_once(stream: DataFrame, path: str) -> DataFrame:

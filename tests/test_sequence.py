@@ -169,6 +169,50 @@ def test_blocks_are_checked(spark):
             dynamics.checked_blocks(bad, k, *bounds).collect()
 
 
+def test_lookups_and_seeds(spark):
+    df = spark.createDataFrame([("True", -1, "7"), ("False", -1, None), ("False", 3, "7")], "flag string, seed int, array_id string")
+    got = df.select(F.size(logs.models_of(F.col("flag"))), logs.resolved_seed(F.col("seed"), F.col("array_id"))).collect()
+    assert [tuple(r) for r in got] == [(4, 7), (3, 0), (3, 3)]
+    for flag in ("maybe", None):
+        with pytest.raises(Exception, match="unknown kind"):
+            df.limit(1).select(logs.models_of(F.lit(flag).cast("string"))).collect()
+
+
+def test_runs_that_are_too_short_are_an_error(spark):
+    short = frame(spark, {1: [1, 2, 3], 2: [1]})
+    assert q.whole_runs(short, 1).count() == 4
+    with pytest.raises(Exception, match="1 runs are shorter"):
+        q.whole_runs(short, 3).collect()
+
+
+def test_inputs_of_another_width_are_an_error(spark):
+    df = spark.createDataFrame([(1, 1, 1, [0.5, 1.0])], "run long, step long, id long, u array<double>")
+    with pytest.raises(Exception, match="different widths"):
+        q.states(df, stream.reservoir(1, 4, 3)).collect()
+
+
+def test_positions_over_many_ranges(spark):
+    df = spark.range(5000).select((F.col("id") % 7 == 0).cast("int").alias("run"), F.xxhash64("id").alias("step"))
+    got = logs.positions(df.repartition(4), "run").toPandas()
+    for _, own in got.groupby("run"):
+        assert own.sort_values("step")["pos"].tolist() == list(range(len(own)))
+
+
+def test_moments_and_projections(spark):
+    """Standardising, components and their shares against numpy."""
+    x = np.random.default_rng(4).normal(size=(300, 9)) @ np.random.default_rng(5).normal(size=(9, 9)) + 100
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>").repartition(5)
+    c = np.cov(x.T, bias=True)
+    for r in v.moments(df).collect():
+        assert r["n"] == 300 and np.isclose(r["cov"], c[r["i"], r["j"]]) and np.isclose(r["mean_i"], x[:, r["i"]].mean())
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    means, loadings, share = v.pca(v.standardised(df, v.pool_stats(df)))
+    u, s, vt = np.linalg.svd(z - z.mean(axis=0), full_matrices=False)
+    assert np.allclose(share, s**2 / (s**2).sum()) and np.allclose(np.abs(loadings @ vt.T), np.eye(9), atol=1e-6)
+    got = v.projected(v.standardised(df, v.pool_stats(df)), means, loadings, 3).orderBy("id").collect()
+    assert np.allclose([r["pc"] for r in got], z @ loadings[:3].T)
+
+
 def test_guards_and_maps(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, 5)], "k int, x int")
     with pytest.raises(ValueError, match="missing"):
