@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from braidwork.llm.common import common, cut, few, joined, read, small_batches
 from braidwork.llm.components import components
 
-#: Nodes from which a table is dealt into one more shard, up to so many shards; most nodes of a shard; queries that share a copy of a shard.
-SHARD_LEAST, SHARDS, SHARD_ROWS, QUERIES = 2048, 12, 200_000, 262_144
+#: Nodes for which a table gets one more shard, up to so many shards; most nodes of a shard; queries that share a copy of a shard; fewest tasks.
+SHARD_LEAST, SHARDS, SHARD_ROWS, QUERIES, TASKS = 16_384, 12, 200_000, 262_144, 12
 #: Links of a node in upper layers (twice as many in the lowest), beam while building, first beam while querying.
 LINKS, BUILD_BEAM, BEAM = 12, 32, 24
 #: Nodes of a shard turned away for its audit and the share of links they must find; nodes audited in a batch.
@@ -332,7 +332,9 @@ def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", le
     nodes = cut(rows.groupBy("vec").agg(F.min("id").alias("node"), F.count("*").alias("copies")).withColumn("dims", F.size("vec")))
     sizes = nodes.groupBy("dims").count()
     at_most = F.least(F.lit(SHARDS), F.ceil(F.col("count") / SHARD_LEAST))
-    shards = cut(sizes.select("dims", F.greatest(at_most, F.ceil(F.col("count") / SHARD_ROWS)).alias("shards"), F.ceil(F.col("count") / QUERIES).alias("parts")))
+    sizes = sizes.withColumn("shards", F.greatest(at_most, F.ceil(F.col("count") / SHARD_ROWS)))
+    spread = F.least(F.ceil(TASKS / F.col("shards")), F.ceil(F.col("count") / 1024))  # a small table's few shards serve several tasks
+    shards = cut(sizes.select("dims", "shards", F.greatest(spread, F.ceil(F.col("count") / QUERIES)).alias("parts")))
     units = int(shards.agg(F.sum(F.col("shards") * F.col("parts"))).first()[0] or 1)
     dealt = nodes.join(few(shards)(shards), "dims").withColumn("shard", F.pmod(F.xxhash64("node"), "shards")).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), "parts"))
     dealt = cut(dealt)

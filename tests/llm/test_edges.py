@@ -32,12 +32,72 @@ def test_empty_table(spark, name):
     assert OPERATORS[name](none(spark)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["accepted", "representatives", "mixed"])
+FILTERS = {"accepted": langid.accepted, "representatives": minhash.representatives, "mixed": mixing.mixed}
+#: Names that operators use inside, and those of their results.
+CLASHES = ("_id", "_kept", "_bpe", "_text", "_words", "_lines", "_stats", "_lang", "_copy", "_at", "own", "tag", "gone", "left", "copy", "at", "told", "bpe", "stats", "words", "lines", "id", "digest", "component", "slice", "position", "n", "text_", "LANG")
+RESULTS = ("lang_pred", "score", "predicted", "spans", "redacted", "licences", "n_lines", "n_deleted", "emptied", "ids", "decoded", "n_shingles", "component_id", "kept", "size", "target", "taken")
+
+
+def clashing(spark):
+    own = [c for c in (*CLASHES, *RESULTS) if c.lower() not in {x.lower() for x in docs(spark).columns}]
+    return docs(spark).select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in own if c != "LANG"])
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_clashing_columns(spark, name):
+    """Results are as without the other columns, and an operator that adds columns keeps all it doesn't name a result."""
+    plain, got = OPERATORS[name](docs(spark)), OPERATORS[name](clashing(spark))
+    new = [c for c in plain.columns if c not in docs(spark).columns or c in ("score", "kept")]
+    told = lambda df: sorted(map(str, df.select(*new).collect()))
+    assert told(plain) == told(got) and len(new) > 0
+    if "source" in got.columns and name != "mix":
+        for c in CLASHES:
+            if c in got.columns and c not in new:
+                assert all(r[0] in (f"{c}:{r[1]}", f"{c}:none") for r in got.select(c, "doc_id").collect())
+
+
+@pytest.mark.parametrize("name", FILTERS)
 def test_filters_return_the_columns(spark, name):
-    keep = {"accepted": langid.accepted, "representatives": minhash.representatives, "mixed": mixing.mixed}[name]
-    for df in (docs(spark), none(spark)):
+    keep = FILTERS[name]
+    for df in (docs(spark), clashing(spark), none(spark)):
         assert keep(df).dtypes == df.dtypes
-        keep(df).count()
+    some = lambda df: sorted(map(str, keep(df).select("doc_id", F.md5(F.coalesce("text", F.lit("")))).collect()))
+    assert some(docs(spark)) == some(clashing(spark)) != []
+    assert keep(none(spark)).count() == 0
+
+
+def test_accepted_rows(spark):
+    assert sorted(r["doc_id"] or 0 for r in langid.accepted(docs(spark)).collect() if r["doc_id"] != 8) == [0, 1, 2, 7, 7, 9, 10]
+
+
+def test_representatives_keep_one_of_each(spark):
+    """Copies under one id or none leave one; texts without words and rows without an id that have no copy stay."""
+    got = [r["doc_id"] for r in minhash.representatives(docs(spark)).collect()]
+    assert sorted(i or 0 for i in got) == [0, 1, 3, 4, 5, 6, 7, 8, 9, 10]
+    text = "a b c d e f g h i j"
+    df = spark.createDataFrame([(None, text), (None, text), (5, "q r s t u v"), (5, "other words of the same id again"), (6, "q r s t u v"), (None, "q r s t u v"), (None, None), (None, None)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in minhash.representatives(df).collect())
+    assert [g for g in got if g[0] == "None"] == [("None", "None"), ("None", "None"), ("None", text)]
+    assert [g[0] for g in got if g[0] != "None"] == ["5"]
+
+
+def test_mixed_keeps_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "one two three", "a"), (1, "one two three four", "a"), (None, "five", "b"), (2, "", "b"), (3, None, None)], "doc_id long, text string, source string")
+    got = mixing.mixed(df, budget=2.0).collect()
+    assert sorted(str(r["text"]) for r in got) == sorted(2 * ["one two three", "one two three four", "five"])
+
+
+def test_values_of_odd_texts(spark):
+    """What null, empty and blank texts give."""
+    odd = docs(spark).filter("doc_id in (3, 4, 5)")
+    found = {r["doc_id"]: r for r in _pii(docs(spark)).filter("doc_id in (3, 4, 5)").collect()}
+    assert all(found[i]["spans"] == [] for i in found) and found[3]["redacted"] is None and found[4]["redacted"] == ""
+    assert all(r["licences"] == [] for r in licences.scan(odd).collect())
+    assert {r["doc_id"]: (list(r["ids"]), r["decoded"]) for r in bpe.encode(odd).collect() if r["doc_id"] != 5} == {3: ([], ""), 4: ([], "")}
+    scores = {r["doc_id"]: r["score"] for r in _quality(docs(spark)).collect()}
+    assert scores[3] == scores[4] and all(0 <= s <= 1 for s in scores.values())
+    mix = {r["doc_id"]: r for r in mixing.mix(docs(spark)).collect() if r["doc_id"] in (3, 4, 5)}
+    assert all((r["size"], r["taken"], r["position"]) == (0, 0, None) for r in mix.values())
 
 
 def test_langid_without_letters(spark):

@@ -1,10 +1,13 @@
 """Held-out accuracy of what is learned, licence matches by brute force, mixing and the pipeline."""
 
 import math
+import re
+import zlib
 from fractions import Fraction
 
 import corpus_pipeline
 import numpy as np
+import regex
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -92,6 +95,39 @@ def test_predictions_by_brute_force(spark):
         assert np.isclose(r["score"], 1 / np.exp(logs - logs.max()).sum())
 
 
+def statistics(text):
+    """The statistics of a text in plain Python."""
+    text = text or ""
+    words, lines = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w], text.split("\n")
+    chars, share = len(text), lambda part, of: part / of if of > 0 else 0.0
+    count = lambda pattern: len(regex.findall(pattern, text))
+    return {
+        "chars": math.log1p(chars), "words": math.log1p(len(words)), "word_length": share(chars - len(words) + 1, len(words)), "distinct_words": share(len(set(words)), len(words)),
+        "upper": share(count(r"\p{Lu}"), chars), "digits": share(count("[0-9]"), chars), "symbols": share(count(r"[^\p{L}\p{N} \t\n\x0B\f\r]"), chars), "marks": share(text.count("!"), chars),
+        "lines": math.log1p(len(lines)), "line_words": share(len(words), len(lines)), "distinct_lines": share(len(set(lines)), len(lines)), "bars": share(text.count("|"), chars),
+    }
+
+
+def test_statistics_by_brute_force(spark):
+    odd = [(-1, None), (-2, ""), (-3, "  \n\t"), (-4, "É! | ß\u00a0漢 1２\r\n\n| x")]
+    df = spark.createDataFrame(odd, "doc_id long, text string").union(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
+    for r in quality.with_statistics(df, into="s").collect():
+        want = statistics(r["text"])
+        assert {k: round(v, 9) for k, v in r["s"].asDict().items()} == {k: round(v, 9) for k, v in want.items()}, r["doc_id"]
+
+
+def test_scores_by_brute_force(spark):
+    """The query's scores from the model's rules over the statistics in plain Python."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet").filter("crc32(cast(doc_id as string)) % 5 <> 0"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality.op3_quality(spark, DATA).collect():
+        x = np.array([[statistics(texts[r["doc_id"]])[k] for k in quality.STATISTICS]])
+        margin = model[0] + sum(w * bool(quality.holds(rule, x)[0]) for w, rule in model[1])
+        assert abs(r["score"] - 1 / (1 + math.exp(-margin))) < 1e-6
+        assert r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
 def test_quality_ranks_held_out(spark):
     got = quality.op3_quality(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").filter("held_out").toPandas()
     good, bad = got["score"][got["quality"] == 1].to_numpy(), got["score"][got["quality"] == 0].to_numpy()
