@@ -179,6 +179,7 @@ def scan(docs: DataFrame, text_col: str = "text", into: str = "licences", templa
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences and their places in every document; a null or blank text has none, repeated rows are treated alike."""
     found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     best = F.array_sort(F.array_distinct(F.transform(F.filter("licences", lambda m: m["best"]), lambda m: m["licence"])))
     spans = F.transform("licences", lambda m: F.concat_ws(":", m["licence"], m["start"].cast("string"), m["end"].cast("string"), F.round(m["dice"], 4).cast("string")))

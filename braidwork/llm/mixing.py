@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import n_words, read, running, unused
+from braidwork.llm.common import cut, n_words, read, running, unused
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -72,6 +72,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, **shar
         digits += 1
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"))
     docs = docs.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("slice", F.conv(F.substring("digest", 1, digits), 16, 10).cast("long"))
+    docs = cut(docs)  # narrow rows, so that words are counted once
     slices = docs.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     in_order = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.withColumn("start", F.coalesce(F.sum("slice_size").over(in_order), F.lit(0)))

@@ -171,6 +171,35 @@ def test_licences_by_brute_force():
     assert scanner.scan("the version of the work under the general public") == []
 
 
+def test_scan_of_documents_by_brute_force(spark):
+    """Over all windows of all documents, each short template's best Dice and whether it matches at all."""
+    short = {k: tuple(t for t in texts if len(licences.words_of(t)[0]) <= 14) for k, texts in licences.TEMPLATES.items()}
+    short = {k: v for k, v in short.items() if v}
+    assert len(short) >= 5
+    scanner = licences.Scanner(short, licences.LEAST)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    hits = 0
+    for r in licences.scan(docs, templates=short).collect():
+        words = licences.words_of(r["text"] or "")[0]
+        grams = list(zip(words, words[1:], strict=False))
+        want = {}
+        for licence, own in scanner.templates:
+            n = sum(own.values())
+            for a in range(len(grams)):
+                seen, shared = {}, 0
+                for b in range(a, min(len(grams), a + int(n * (2 - licences.LEAST) / licences.LEAST) + 1)):
+                    seen[grams[b]] = seen.get(grams[b], 0) + 1
+                    shared += seen[grams[b]] <= own[grams[b]]
+                    if 2 * shared >= licences.LEAST * (b - a + 1 + n) - 1e-12:
+                        want[licence] = max(want.get(licence, 0), 2 * shared / (b - a + 1 + n))
+        got = {}
+        for m in r["licences"]:
+            got[m["licence"]] = max(got.get(m["licence"], 0), m["dice"])
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got), r["doc_id"]
+        hits += len(got)
+    assert hits > 0
+
+
 def test_whole_licences_and_headers():
     scanner = licences.Scanner(licences.TEMPLATES, licences.LEAST)
     best = lambda text: [(m[0], round(m[3], 2) >= 0.95) for m in scanner.scan(text) if m[4]]
