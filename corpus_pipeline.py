@@ -1,6 +1,7 @@
 """From raw documents to training tokens, in five stages.
 
-Every stage works on all that the one before kept, and all but the last return the columns of ``documents``.
+Every stage works on all that the one before kept, and all but the last return the columns of ``documents``; columns
+beyond those stay, whatever their names. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -9,17 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm import bpe, langid, lines, minhash, mixing
-from braidwork.llm.common import read, stored
+from braidwork.llm.common import read, stored, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in a language that can't be told, go."""
+    """Documents without a letter (null and empty texts too), or in a language that can't be told, go.
+
+    Rows without an id or a language are told like others; repeated rows stay.
+    """
     return langid.accepted(docs)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words or more are deleted; a document that loses all its words goes."""
-    aside = {c: f"_own_{c}" for c in ("n_lines", "n_deleted", "emptied") if c in docs.columns}
+    """Later copies of line runs of 50 words or more are deleted; a document that loses all its words goes.
+
+    Null and empty texts stay; rows that repeat id and text are treated alike; rows without an id lose nothing.
+    """
+    own = [c for c in docs.columns if c.lower() in ("n_lines", "n_deleted", "emptied")]
+    aside = dict(zip(own, unused([*docs.columns, "n_lines", "n_deleted", "emptied"], *[f"own_{i}" for i in range(len(own))]), strict=True))
     out = lines.deduplicate(docs.withColumnsRenamed(aside)).filter(~F.col("emptied"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -27,20 +35,30 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates (five words, 0.8) stays.
+
+    Texts without words stay; of rows without an id those stay that are no copy of another.
+    """
     return minhash.representatives(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the curriculum, each as often as its source's target asks."""
+    """Documents in the order of the curriculum, each as often as its source's target asks.
+
+    Texts without words take nothing and go; a null source is a source of its own; rows without an id take part.
+    """
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text, and whether they decode to the text again."""
-    out = bpe.encode(docs, decoded_col="decoded")
-    out = out.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("exact", F.col("decoded") == F.coalesce("text", F.lit("")))
-    return out.drop("decoded")
+    """The ids of each text, and whether they decode to the text again; a null text counts as empty.
+
+    Columns named ids, n_tokens or exact are replaced.
+    """
+    [decoded] = unused([*docs.columns, "ids", "n_tokens", "exact"], "decoded")
+    out = bpe.encode(docs, decoded_col=decoded)
+    out = out.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("exact", F.col(decoded) == F.coalesce("text", F.lit("")))
+    return out.drop(decoded)
 
 
 STAGES = [
