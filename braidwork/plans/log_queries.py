@@ -129,8 +129,8 @@ _EP = f"{LOG}, ep AS (SELECT *, coalesce(sum(CAST(done AS BIGINT)) OVER (PARTITI
 _BAND = "m AS (SELECT event_type AS model, user_id % 5 AS seed, row_number() OVER (PARTITION BY event_type, user_id % 5 ORDER BY ts, event_id) - 1 AS pos, value FROM events WHERE user_id IS NOT NULL), sh AS (SELECT model, min(n) AS n FROM (SELECT model, seed, count(*) AS n FROM m GROUP BY 1, 2) GROUP BY model), k AS (SELECT m.* FROM m JOIN sh USING (model) WHERE pos < n)"
 
 ORACLES = {f"score_{kind}": f"WITH {_SCORE(kind)} SELECT run, round(score, 6) AS score FROM sc" for kind in _W} | {
-    "seed_band": f"WITH {_BAND} SELECT model, CAST(pos AS INTEGER) AS pos, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM k GROUP BY 1, 2",
-    "seed_pivot": f"WITH {_BAND} SELECT model, CAST(pos AS INTEGER) AS pos, {', '.join(f'max(CASE WHEN seed = {s} THEN value END) AS seed_{s}' for s in range(5))} FROM k GROUP BY 1, 2",
+    "seed_band": f"WITH {_BAND} SELECT model, CAST(pos AS BIGINT) AS pos, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM k GROUP BY 1, 2",
+    "seed_pivot": f"WITH {_BAND} SELECT model, CAST(pos AS BIGINT) AS pos, {', '.join(f'max(CASE WHEN seed = {s} THEN value END) AS seed_{s}' for s in range(5))} FROM k GROUP BY 1, 2",
     "top_bottom": f"WITH {_TB} SELECT side, rank, seed_name, score FROM tb",
     "rank_metadata": f"WITH {_TB} SELECT side, rank, seed_name, c_custkey, c_mktsegment, score FROM tb JOIN ds USING (seed_name)",
     "left_scores": f"WITH {_NAMED} SELECT seed_name, c_custkey, score FROM ds LEFT JOIN nm USING (seed_name)",
