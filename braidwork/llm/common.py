@@ -7,7 +7,7 @@ from bisect import bisect, insort
 from collections.abc import Callable
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidwork.session import cut, shared_folder
@@ -31,10 +31,26 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(words, lambda w: w != "")), F.lit(0)).cast("long")
 
 
+def counted(df: DataFrame, **also: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``cut``, with the number of rows, ``n``, and other aggregates seen while it was written.
+
+    A part that is written twice, as after a lost executor, may be seen twice: the numbers serve for layouts and to
+    tell nothing from something.
+    """
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in also.items()]))
+    return out, seen.get
+
+
+def laid_out(df: DataFrame, n: int, rows: int = 100_000) -> DataFrame:
+    """A written ``df`` in partitions of about so many rows, so that small tables don't shuffle from many tasks."""
+    return df.coalesce(max(1, -(-n // rows)))
+
+
 def settled(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``cut``, then read in partitions of about so many rows, so that small tables don't shuffle from many tasks."""
-    out = cut(df)
-    return out.coalesce(max(1, -(-out.count() // rows)))
+    """``df`` written and laid out."""
+    out, seen = counted(df)
+    return laid_out(out, seen["n"], rows)
 
 
 def few(df: DataFrame, rows: int = 20_000) -> Callable[[DataFrame], DataFrame]:
@@ -54,8 +70,8 @@ def least_common(n: int) -> int:
 def common(rows: DataFrame, keys: list[str], n: int | None = None) -> DataFrame | None:
     """The common keys of ``rows``, None if there is none; ``n`` is the number of rows, if it is known."""
     least = least_common(rows.count() if n is None else n)
-    found = cut(rows.groupBy(*keys).count().filter(F.col("count") > least).drop("count"))
-    return None if found.isEmpty() else found
+    found, seen = counted(rows.groupBy(*keys).count().filter(F.col("count") > least).drop("count"))
+    return laid_out(found, seen["n"]) if seen["n"] else None
 
 
 def joined(rows: DataFrame, table: DataFrame, keys: list[str], how: str, shared: DataFrame | None) -> DataFrame:

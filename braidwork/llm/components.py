@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import common, joined, settled
+from braidwork.llm.common import common, counted, joined, laid_out
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,17 +17,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     component is one task's work. The driver sees only whether a round changed anything.
     """
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    ends = settled(ends.union(ends.select("v", "u")).distinct())
-    hubs = common(ends, ["v"])
-    labels = settled(ends.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("label")))
-    n = labels.count()
+    ends, seen = counted(ends.union(ends.select("v", "u")).distinct())
+    ends, hubs = laid_out(ends, seen["n"]), common(ends, ["v"], seen["n"])
+    labels, seen = counted(ends.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("label")))
+    n = seen["n"]
+    labels = laid_out(labels, n)
     while True:
         near = joined(ends, labels.select(F.col("id").alias("v"), F.col("label").alias("near")), ["v"], "inner", hubs).groupBy(F.col("u").alias("id")).agg(F.min("near").alias("near"))
         met = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
         own = met.select("id", F.col("label").alias("old"), "low").union(met.filter("low < label").select("label", F.lit(None).cast(labels.schema["label"].dataType), "low"))
-        own = settled(own.groupBy("id").agg(F.max("old").alias("old"), F.min("low").alias("label")))
+        own = laid_out(counted(own.groupBy("id").agg(F.max("old").alias("old"), F.min("low").alias("label")))[0], n)
         jump = own.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        labels = settled(joined(own, jump, ["label"], "left", common(own, ["label"], n)).select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
-        if labels.filter("label <> old").isEmpty():
-            return labels.select("id", F.col("label").alias("component"))
-        labels = labels.select("id", "label")
+        new = joined(own, jump, ["label"], "left", common(own, ["label"], n)).select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
+        labels, seen = counted(new, changed=F.count_if(F.col("label") < F.col("old")))
+        labels = laid_out(labels.select("id", "label"), n)
+        if not seen["changed"]:
+            return labels.withColumnRenamed("label", "component")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import common, cut, joined, least_common, n_words, read, settled, small_batches, unused
+from braidwork.llm.common import common, counted, cut, joined, laid_out, least_common, n_words, read, settled, small_batches, unused
 
 MIN_WORDS = 50
 
@@ -38,13 +38,18 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.filter("text is not null").select("id", F.xxhash64("text").alias("tag"), F.posexplode(F.filter(line, lambda x: x["w"] > 0)).alias("i", "l")).select("id", "tag", "i", "l.*")
 
 
+def _with_common(counts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Counts ``n`` by key, written, and the keys among them that are common."""
+    counts, seen = counted(counts, rows=F.coalesce(F.sum("n"), F.lit(0)), most=F.coalesce(F.max("n"), F.lit(0)))
+    counts, least = laid_out(counts, seen["n"]), least_common(seen["rows"])
+    return counts, settled(counts.filter(F.col("n") > least).select(*keys)) if seen["most"] > least else None
+
+
 def stretches(lines: DataFrame, min_words: int) -> DataFrame:
     """Lines that repeat, in stretches of enough words: ``id, tag, s, i, p, w, before`` and the line's rank."""
-    repeated = settled(lines.groupBy("h", "c").agg(F.count("*").alias("n")).filter("n > 1"))
+    repeated, often = _with_common(lines.groupBy("h", "c").agg(F.count("*").alias("n")).filter("n > 1"), ["h", "c"])
     ranks = settled(_in_order(repeated.select("h", "c"), ["h", "c"]))
-    least = least_common(repeated.agg(F.sum("n")).first()[0] or 0)
-    often = settled(repeated.filter(F.col("n") > least).select("h", "c"))
-    own = joined(lines, ranks, ["h", "c"], "inner", None if often.isEmpty() else often).select("id", "tag", "i", "p", "w", "rank").dropDuplicates(["id", "tag", "i"])
+    own = joined(lines, ranks, ["h", "c"], "inner", often).select("id", "tag", "i", "p", "w", "rank").dropDuplicates(["id", "tag", "i"])
     doc = Window.partitionBy("id", "tag").orderBy("i")
     own = own.withColumn("s", F.col("i") - F.row_number().over(doc))
     stretch = Window.partitionBy("id", "tag", "s")
@@ -75,15 +80,16 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``id, tag, p`` of each line that lies in a later copy of a run; docs: id, text."""
     lines = cut(line_table(docs))
     own = stretches(lines, min_words)
-    wins = settled(windows(own, min_words))
-    longest = wins.agg(F.max("m")).first()[0] or 0
+    wins, seen = counted(windows(own, min_words), longest=F.coalesce(F.max("m"), F.lit(0)))
+    wins, longest = laid_out(wins, seen["n"]), seen["longest"]
     ranks = own.select("id", "tag", "s", "i", "rank")
     levels = [ranks]
     while 2 << (len(levels) - 1) <= longest:
         ahead = F.lead("rank", 1 << (len(levels) - 1)).over(Window.partitionBy("id", "tag", "s").orderBy("i"))
-        pairs = settled(ranks.withColumn("next", F.coalesce(ahead, F.lit(-1))).withColumnRenamed("rank", "r"))
+        pairs, seen = counted(ranks.withColumn("next", F.coalesce(ahead, F.lit(-1))).withColumnRenamed("rank", "r"))
+        pairs = laid_out(pairs, seen["n"])
         named = settled(_in_order(pairs.select("r", "next").distinct(), ["r", "next"]))
-        ranks = settled(joined(pairs, named, ["r", "next"], "inner", common(pairs, ["r", "next"])).select("id", "tag", "s", "i", "rank"))
+        ranks = settled(joined(pairs, named, ["r", "next"], "inner", common(pairs, ["r", "next"], seen["n"])).select("id", "tag", "s", "i", "rank"))
         levels.append(ranks)
     every = levels[0].withColumn("level", F.lit(0))
     for k, x in enumerate(levels[1:], 1):
@@ -92,10 +98,8 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     wins = wins.withColumn("level", F.length(F.bin("m")) - 1).withColumn("j", F.expr("i + m - shiftleft(1, level)"))
     ends = wins.join(every.withColumnRenamed("rank", "a"), ["level", "id", "tag", "i"])
     ends = settled(ends.join(every.withColumnsRenamed({"rank": "b", "i": "j"}), ["level", "id", "tag", "j"]).select("id", "tag", "i", "m", "a", "b"))
-    interval = settled(ends.groupBy("m", "a", "b").agg(F.min(F.struct("id", "tag", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    least = least_common(interval.agg(F.sum("n")).first()[0] or 0)
-    often = settled(interval.filter(F.col("n") > least).select("m", "a", "b"))
-    later = joined(ends, interval.drop("n"), ["m", "a", "b"], "inner", None if often.isEmpty() else often).filter(F.struct("id", "tag", "i") != F.col("first"))
+    interval, often = _with_common(ends.groupBy("m", "a", "b").agg(F.min(F.struct("id", "tag", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1"), ["m", "a", "b"])
+    later = joined(ends, interval.drop("n"), ["m", "a", "b"], "inner", often).filter(F.struct("id", "tag", "i") != F.col("first"))
     gone = later.select("id", "tag", F.explode(F.sequence("i", F.col("i") + F.col("m") - 1)).alias("i")).distinct()
     return settled(gone.join(own.select("id", "tag", "i", "p"), ["id", "tag", "i"]).select("id", "tag", "p"))
 

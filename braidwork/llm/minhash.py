@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import common, joined, least_common, read, settled, small_batches, unused
+from braidwork.llm.common import common, counted, joined, laid_out, least_common, read, settled, small_batches, unused
 from braidwork.llm.components import components
 
 BUCKETS, BITS, MANTISSA, ROWS = 128, 7, 10, 4
@@ -256,9 +256,10 @@ def _in_blocks(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
 
     Each task compares one block of a bucket with another. Of a class's links with one component one is given.
     """
-    rows = settled(rows)
+    rows, seen = counted(rows)
+    rows = laid_out(rows, seen["n"])
     id_type = rows.schema["rep"].dataType.simpleString()
-    if rows.isEmpty():
+    if not seen["n"]:
         return rows.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     blocks = _dealt(rows, shared).join(classes.select("rep", "bands"), "rep")
 
@@ -311,13 +312,16 @@ def _told(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
     """A row per document: ``id, tag, n, digest, component``; the tag is a hash of the text."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = settled(docs.withColumn("s", _sketch(k)("text")).select("id", F.xxhash64("text").alias("tag"), "s.*"), SKETCHES)
-    classes = settled(sketched.filter("n > 0 and id is not null").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), SKETCHES)
+    sketched, seen = counted(docs.withColumn("s", _sketch(k)("text")).select("id", F.xxhash64("text").alias("tag"), "s.*"))
+    sketched, n_docs = laid_out(sketched, seen["n"], SKETCHES), seen["n"]
+    classes, seen = counted(sketched.filter("n > 0 and id is not null").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
+    classes, n_classes = laid_out(classes, seen["n"], SKETCHES), seen["n"]
     # sets of J >= percent that differ hold at least percent / (100 - percent) shingles
     wide = classes.filter(F.col("n") * (100 - percent) >= percent).select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    counts = settled(wide.groupBy("band", "key").agg(F.count("*").alias("members")).filter("members > 1"))
-    shared = settled(counts.filter(F.col("members") > least_common(classes.count() * BANDS)).select("band", "key"))
-    shared = None if shared.isEmpty() else shared
+    often = F.col("members") > least_common(n_classes * BANDS)
+    counts, seen = counted(wide.groupBy("band", "key").agg(F.count("*").alias("members")).filter("members > 1"), often=F.count_if(often))
+    counts = laid_out(counts, seen["n"])
+    shared = laid_out(counts.filter(often).select("band", "key"), seen["often"]) if seen["often"] else None
     spots = settled(joined(wide, counts, ["band", "key"], "inner", shared))
     central = spots.groupBy("rep").agg(F.sum("members").alias("weight"))
     hubs = settled(spots.join(central, "rep").groupBy("band", "key").agg(F.max(F.struct("weight", F.xxhash64("rep").alias("h"), "rep", "n")).alias("hub")))
@@ -334,7 +338,7 @@ def _told(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
         groups = components(links.union(more))
     of_class = settled(classes.select("n", "digest", "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("n", "digest", F.coalesce("component", "rep").alias("component")))
     same = ["n", "digest"]
-    return joined(sketched.drop("bands"), of_class, same, "left", common(sketched, same)).select("id", "tag", "n", "digest", "component")
+    return joined(sketched.drop("bands"), of_class, same, "left", common(sketched, same, n_docs)).select("id", "tag", "n", "digest", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
