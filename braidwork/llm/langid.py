@@ -151,7 +151,7 @@ def expected(words: list[str], n: np.ndarray, path: str, q: np.ndarray | None) -
         if q is None:
             for here in edges:
                 for _, at, ids in here:
-                    new += np.bincount(ids, count[at], len(new))
+                    np.add.at(new, ids, count[at])
             continue
         alpha, scale = (x[:, :, 0] for x in forward(edges, q[:, None]))
         beta = np.zeros_like(alpha)  # in units of exp(-scale)
@@ -159,7 +159,7 @@ def expected(words: list[str], n: np.ndarray, path: str, q: np.ndarray | None) -
         for end in range(len(edges), 0, -1):
             for size, at, ids in edges[end - 1]:
                 flow = q[ids] * beta[end][at] * np.exp(scale[end - size][at] - scale[end][at])
-                new += np.bincount(ids, flow * alpha[end - size][at], len(new))
+                np.add.at(new, ids, flow * alpha[end - size][at])
                 beta[end - size][at] += flow
     return new
 
