@@ -113,7 +113,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     plan = _placed(docs, id_col, text_col, source_col, **shares).filter("taken > 0")
     plan = plan.groupBy("doc_id", "tag").agg(F.min(F.struct("part_from", "size", "taken", "source_size", "target", "tilt")).alias("p")).select(F.col("doc_id").alias(own), F.col("tag").alias(tag), "p.*")
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    plan = plan.withColumn(copy, F.explode(F.sequence(F.lit(1), F.when(copies > 0, copies))))
+    plan = plan.withColumn(copy, F.explode(F.sequence(F.lit(0), F.when(copies > 0, copies - 1))))
     when_at = F.least(F.lit(1.0), (F.col("part_from") + F.col(copy) * F.col("source_size")) / F.col("target"))
     plan = plan.select(own, tag, copy, when(when_at, F.col("tilt")).alias(at))
     columns = [docs[c] for c in docs.columns]
