@@ -33,7 +33,7 @@ from braidwork.llm.common import common, cut, few, joined, read, small_batches
 from braidwork.llm.components import components
 
 #: Nodes for which a table gets one more shard, up to so many shards; most nodes of a shard; queries that share a copy of a shard; fewest tasks.
-SHARD_LEAST, SHARDS, SHARD_ROWS, QUERIES, TASKS = 16_384, 12, 200_000, 262_144, 12
+SHARD_LEAST, SHARDS, SHARD_ROWS, QUERIES, TASKS = 8192, 12, 200_000, 262_144, 12
 #: Links of a node in upper layers (twice as many in the lowest), beam while building, first beam while querying.
 LINKS, BUILD_BEAM, BEAM = 12, 32, 24
 #: Nodes of a shard turned away for its audit and the share of links they must find; nodes audited in a batch.
