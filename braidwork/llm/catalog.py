@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.llm import bpe, hnsw, langid, licences, lines, minhash, mixing, pii, quality, topk
+from braidwork.llm import bpe, hnsw, langid, licences, lines, merkle, minhash, mixing, pii, quality, topk
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lines": lines.op8_lines,
     "op9_mix": mixing.op9_mix,
     "op10_bpe": bpe.op10_bpe,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op6_hnsw": hnsw.ORACLE,
     "op8_lines": lines.ORACLE,
     "op9_mix": mixing.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
