@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.llm import bpe, hnsw, langid, licences, lines, merkle, minhash, mixing, pii, quality, topk
+from braidwork.llm import bpe, fmindex, hnsw, langid, licences, lines, merkle, minhash, mixing, pii, quality, topk, whitening
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_mix": mixing.op9_mix,
     "op10_bpe": bpe.op10_bpe,
     "op11_merkle": merkle.op11_merkle,
+    "op12_fmindex": fmindex.op12_fmindex,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
@@ -25,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op8_lines": lines.ORACLE,
     "op9_mix": mixing.ORACLE,
     "op11_merkle": merkle.ORACLE,
+    "op12_fmindex": fmindex.ORACLE,
 }
