@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from braidwork.llm.common import common, cut, few, joined, read, small_batches
 from braidwork.llm.components import components
 
-#: Nodes for which a table gets one more shard, up to so many shards; most nodes of a shard; queries that share a copy of a shard; fewest tasks.
-SHARD_LEAST, SHARDS, SHARD_ROWS, QUERIES, TASKS = 8192, 12, 200_000, 262_144, 12
+#: Nodes for which a table gets one more shard, up to so many shards; most numbers of a shard (rows times dimensions); queries that share a copy of a shard; fewest tasks.
+SHARD_LEAST, SHARDS, SHARD_NUMBERS, QUERIES, TASKS = 8192, 12, 12_800_000, 262_144, 12
 #: Links of a node in upper layers (twice as many in the lowest), beam while building, first beam while querying.
 LINKS, BUILD_BEAM, BEAM = 12, 32, 24
 #: Nodes of a shard turned away for its audit and the share of links they must find; nodes audited in a batch.
@@ -319,24 +319,25 @@ def _visiting(least: float):
     return visit
 
 
-def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95) -> tuple[DataFrame, DataFrame]:
+def linked(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A row per vector, ``id, n_links, component_id, kept``; and the audit, one row of ``true, found`` links.
 
     ``true`` counts the links of sampled nodes by comparison with whole shards, ``found`` those of them that the
-    beams' first width brought; where it missed one the batch was asked again with wider beams.
+    beams' first width brought; where it missed one the batch was asked again with wider beams. ``shards`` is the
+    least number of shards of each length of vectors; without it the table's size decides.
     """
-    small_batches(df.sparkSession, 4096)
+    small_batches(df.sparkSession)
     df = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     whole = F.coalesce(F.col("id").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0), F.lit(False))
     rows = df.filter(whole)
     nodes = cut(rows.groupBy("vec").agg(F.min("id").alias("node"), F.count("*").alias("copies")).withColumn("dims", F.size("vec")))
     sizes = nodes.groupBy("dims").count()
-    at_most = F.least(F.lit(SHARDS), F.ceil(F.col("count") / SHARD_LEAST))
-    sizes = sizes.withColumn("shards", F.greatest(at_most, F.ceil(F.col("count") / SHARD_ROWS)))
+    wanted = F.lit(shards).cast("long") if shards else F.least(F.lit(SHARDS), F.ceil(F.col("count") / SHARD_LEAST))
+    sizes = sizes.withColumn("shards", F.greatest(wanted, F.ceil(F.col("count") * F.col("dims") / SHARD_NUMBERS)))
     spread = F.least(F.ceil(TASKS / F.col("shards")), F.ceil(F.col("count") / 1024))  # a small table's few shards serve several tasks
-    shards = cut(sizes.select("dims", "shards", F.greatest(spread, F.ceil(F.col("count") / QUERIES)).alias("parts")))
-    units = int(shards.agg(F.sum(F.col("shards") * F.col("parts"))).first()[0] or 1)
-    dealt = nodes.join(few(shards)(shards), "dims").withColumn("shard", F.pmod(F.xxhash64("node"), "shards")).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), "parts"))
+    dealing = cut(sizes.select("dims", "shards", F.greatest(spread, F.ceil(F.col("count") / QUERIES)).alias("parts")))
+    units = int(dealing.agg(F.sum(F.col("shards") * F.col("parts"))).first()[0] or 1)
+    dealt = nodes.join(few(dealing)(dealing), "dims").withColumn("shard", F.pmod(F.xxhash64("node"), "shards")).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), "parts"))
     dealt = cut(dealt)
     id_type = nodes.schema["node"].dataType.simpleString()
 

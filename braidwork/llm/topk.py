@@ -102,7 +102,7 @@ def _bounds(away: np.ndarray, sizes: np.ndarray, square: float, nearest: np.ndar
         np.maximum(gap, away[:, p : p + 1] - farthest[:, p], out=gap)
         np.maximum(gap, nearest[:, p] - away[:, p : p + 1], out=gap)
     total = sizes[:, None] + square
-    return (total - gap * gap) / 2 + 0.5 + 1e-6 * total
+    return np.maximum((total - gap * gap) / 2 + 0.5 + 1e-6 * total, float(LONG.min))  # scores saturate there, too
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +128,7 @@ def searched(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
     Both frames hold vectors of whole numbers. The figures are the rounds, the pairs of a query and a row of its
     length, and those among them that the bounds left to be scored.
     """
-    small_batches(rows.sparkSession, 4096)
+    small_batches(rows.sparkSession)
     spark = rows.sparkSession
     rows = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<long>").alias("vec")).withColumn("dims", F.size("vec"))
     queries = queries.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<long>").alias("vec")).withColumn("dims", F.size("vec"))

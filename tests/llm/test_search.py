@@ -46,7 +46,21 @@ def test_topk_of_mixed_lengths_and_large_numbers(spark):
 def test_topk_saturates(spark):
     df = spark.createDataFrame([(1, [3e38, 1.0]), (2, [3e38, 2.0]), (3, [-3e38, 0.0])], "vec_id long, embedding array<float>").withColumn("id", F.lit("own")).withColumn("score", F.lit(0))
     top = 2**63 - 1
-    assert lists(topk.search(topk.whole_numbers(df), topk.whole_numbers(df), 2))[1] == [(2, top), (3, -top - 1)]
+    for _ in range(3):
+        assert lists(topk.search(topk.whole_numbers(df), topk.whole_numbers(df), 2)) == {1: [(2, top), (3, -top - 1)], 2: [(1, top), (3, -top - 1)], 3: [(1, -top - 1), (2, -top - 1)]}
+
+
+def test_topk_ties_where_scores_saturate(spark):
+    rng = np.random.default_rng(8)
+    x = rng.choice([-1, 1], size=(60, 3)) * rng.choice([1, 3, 2**31, 2**62], size=(60, 3))
+    data = [(i, [int(v) for v in row]) for i, row in enumerate(x)]
+    df = spark.createDataFrame(data, "id long, vec array<long>")
+    want = {}
+    for q, v in data:
+        scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, y, strict=True)))), i) for i, y in data if i != q]
+        want[q] = [(i, -s) for s, i in sorted(scores)[:25]]
+    for _ in range(2):
+        assert lists(topk.search(df, df, 25)) == want
 
 
 def test_topk_prunes_where_vectors_cluster(spark, monkeypatch):
@@ -126,10 +140,12 @@ def test_every_node_is_reached():
     assert len(seen) == len(x)
 
 
-def test_audit_of_links(spark):
+@pytest.mark.parametrize("shards", [None, 6])
+def test_audit_of_links(spark, shards):
+    """Links within shards and across them."""
     x = np.concatenate([rare_pairs(3000, 9), rare_pairs(2500, 10)])
     df = spark.createDataFrame([(i, v.tolist(), "own") for i, v in enumerate(x)], "vec_id long, embedding array<double>, node string")
-    out, audit = hnsw.linked(df)
+    out, audit = hnsw.linked(df, shards=shards)
     near = x @ x.T >= 0.95
     np.fill_diagonal(near, False)
     counts = {r["id"]: r["n_links"] for r in out.collect()}
