@@ -5,7 +5,8 @@ suffixes by their first 1, 2, 4, ... lines: a step pairs the ranks of two neighb
 distinct pairs by range and takes their places as the new ranks, so a line that a third of all documents
 share is still one row to sort. Suffixes that agree in their first m lines are an interval of the suffix
 array whose longest common prefix is m or more; for m between powers of two, the ranks at both ends of the
-m lines tell the interval. In each interval the first copy stays, and the m lines of all others go.
+m lines tell the interval. In each interval the first copy stays, and the m lines of all others go, but for those
+that a copy shares with the first where the two overlap, as in a text that repeats one line over and over.
 
 A run counts if it has ``min_words`` words or more. Of a maximal repeated run only the shortest such windows
 are looked at, one from each of its lines and one to each: they lie inside the run, they repeat with it,
@@ -100,7 +101,9 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ends = settled(ends.join(every.withColumnsRenamed({"rank": "b", "i": "j"}), ["level", "id", "tag", "j"]).select("id", "tag", "i", "m", "a", "b"))
     interval, often = _with_common(ends.groupBy("m", "a", "b").agg(F.min(F.struct("id", "tag", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1"), ["m", "a", "b"])
     later = joined(ends, interval.drop("n"), ["m", "a", "b"], "inner", often).filter(F.struct("id", "tag", "i") != F.col("first"))
-    gone = later.select("id", "tag", F.explode(F.sequence("i", F.col("i") + F.col("m") - 1)).alias("i")).distinct()
+    same = (F.col("first.id").eqNullSafe(F.col("id"))) & (F.col("first.tag") == F.col("tag"))
+    begin = F.when(same, F.greatest(F.col("i"), F.col("first.i") + F.col("m"))).otherwise(F.col("i"))  # past the first copy
+    gone = later.select("id", "tag", F.explode(F.sequence(begin, F.col("i") + F.col("m") - 1)).alias("i")).distinct()
     return settled(gone.join(own.select("id", "tag", "i", "p"), ["id", "tag", "i"]).select("id", "tag", "p"))
 
 
@@ -152,8 +155,8 @@ f AS (SELECT x.doc_id, x.i, min(y.i) AS e FROM a x JOIN a y ON x.doc_id = y.doc_
 b AS (SELECT y.doc_id, max(x.i) AS i, y.i AS e FROM a x JOIN a y ON x.doc_id = y.doc_id AND y.i >= x.i AND y.upto - x.upto + x.w >= 50 GROUP BY y.doc_id, y.i),
 g AS (SELECT * FROM f UNION SELECT * FROM b),
 c AS (SELECT g.doc_id, g.i, g.e, string_agg(a.line, chr(10) ORDER BY a.i) AS content FROM g JOIN a ON a.doc_id = g.doc_id AND a.i BETWEEN g.i AND g.e GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS nth FROM c),
-d AS (SELECT DISTINCT a.doc_id, a.p FROM r JOIN a ON a.doc_id = r.doc_id AND a.i BETWEEN r.i AND r.e WHERE nth > 1),
+r AS (SELECT *, row_number() OVER w AS nth, first_value(doc_id) OVER w AS doc_1, first_value(e) OVER w AS e_1 FROM c WINDOW w AS (PARTITION BY content ORDER BY doc_id, i)),
+d AS (SELECT DISTINCT a.doc_id, a.p FROM r JOIN a ON a.doc_id = r.doc_id AND a.i BETWEEN r.i AND r.e AND (r.doc_id <> doc_1 OR a.i > e_1) WHERE nth > 1),
 k AS (SELECT u.doc_id, count(d.p) AS n_deleted, string_agg(CASE WHEN d.p IS NULL THEN u.line END, chr(10) ORDER BY u.p) AS text
       FROM u LEFT JOIN d ON d.doc_id = u.doc_id AND d.p = u.p GROUP BY u.doc_id)
 SELECT documents.doc_id, coalesce(len(t.lines), 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, sha256(coalesce(k.text, '')) AS text_sha256
