@@ -15,7 +15,9 @@ the size bounds; repeated rows are treated alike; columns named like the results
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -32,6 +34,8 @@ WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 #: A match gives way to one around it whose template is so many times longer.
 PART = 1.5
+#: Starts times hits that are looked at together.
+CELLS = 1 << 20
 
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
@@ -124,8 +128,12 @@ class Scanner:
         return self._marked(out)
 
     def _windows(self, words: list[str], hits: list[int], grams: Counter, n: int) -> list[tuple[int, int, float]]:
-        """Best windows of words a to b. They begin and end with hits: cutting others off raises Dice."""
-        longest, need, found = int(n * (2 - self.least) / self.least + 1e-9), self.shared(n), []
+        """Best windows of words a to b. They begin and end with hits: cutting others off raises Dice.
+
+        Each start's best window is found once; they are taken from a heap, and a start is looked at again only when
+        a window taken before cuts off a part of its own.
+        """
+        longest, need = int(n * (2 - self.least) / self.least + 1e-9), self.shared(n)
         at = np.array(hits)
         # a hit counts in a window if as many equal hits as the template has don't lie between the window's start and it
         seen: dict[tuple[str, str], list[int]] = defaultdict(list)
@@ -135,29 +143,61 @@ class Scanner:
             own = seen[g]
             full[j] = own[-grams[g]] if len(own) >= grams[g] else -1
             own.append(j)
-        parts = [(0, len(at))]
-        while parts:
-            low, high = parts.pop()
-            if high - low < need:
+        stops = np.searchsorted(at, at + longest)
+        heap = self._starts(at, full, stops, n, need)
+        heapq.heapify(heap)
+        found, taken = [], list[tuple[int, int]]()  # hits of windows that were taken, and of those that touch them
+        while heap:
+            worse, i, j, stop = heapq.heappop(heap)
+            k = bisect(taken, (i, len(at)))
+            if k and taken[k - 1][1] > i:
                 continue
-            best = (0.0, 0, 0)
-            stops = np.minimum(np.searchsorted(at[low:high], at[low:high] + longest) + low, high)
-            for k in np.flatnonzero(stops - np.arange(low, high) >= need):
-                i, stop = low + int(k), int(stops[k])
-                dice = 2 * np.cumsum(full[i:stop] < i) / (at[i:stop] - at[i] + 1 + n)
+            end = min(stop, taken[k][0]) if k < len(taken) else stop
+            if j < end:
+                found.append((int(at[i]), int(at[j]) + 1, -worse))
+                insort(taken, (int(np.searchsorted(at, at[i] - 1)), int(np.searchsorted(at, at[j] + 2))))
+            elif end - i >= need:
+                dice = 2 * np.cumsum(full[i:end] < i) / (at[i:end] - at[i] + 1 + n)
                 j = int(dice.argmax())
-                if dice[j] > best[0]:
-                    best = (float(dice[j]), i, i + j)
-            if best[0] >= self.least:
-                dice, i, j = best
-                found.append((int(at[i]), int(at[j]) + 1, dice))
-                parts += [(low, int(np.searchsorted(at, at[i] - 1))), (int(np.searchsorted(at, at[j] + 2)), high)]
+                if dice[j] >= self.least:
+                    heapq.heappush(heap, (-float(dice[j]), i, i + j, end))
         return found
 
+    def _starts(self, at: np.ndarray, full: np.ndarray, stops: np.ndarray, n: int, need: int) -> list[tuple[float, int, int, int]]:
+        """``-dice, start, end, stop`` of each hit that begins a window good enough, many starts at a time."""
+        out = []
+        able = np.flatnonzero(stops - np.arange(len(at)) >= need)
+        width = int((stops - np.arange(len(at)))[able].max(initial=0))
+        step = max(1, CELLS // max(1, width))
+        for a in range(0, len(able), step):
+            own = able[a : a + step]
+            place = own[:, None] + np.arange(width)
+            inside = place < stops[own][:, None]
+            place = np.minimum(place, len(at) - 1)
+            shared = np.cumsum((full[place] < own[:, None]) & inside, axis=1)
+            dice = np.where(inside, 2 * shared / (at[place] - at[own][:, None] + 1 + n), 0.0)
+            best = dice.argmax(axis=1)
+            top = dice[np.arange(len(own)), best]
+            out += [(-float(top[k]), int(own[k]), int(own[k] + best[k]), int(stops[own[k]])) for k in np.flatnonzero(top >= self.least)]
+        return out
+
     @staticmethod
     def _marked(found: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float, bool]]:
         best, taken = set(), list[tuple[int, int]]()
-        part = {k for k, m in enumerate(found) if any(w[1] <= m[1] and m[2] <= w[2] and w[4] >= PART * m[4] for w in found)}
+        # windows of one length of templates, by start, with the furthest end so far
+        around: dict[int, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+        for _, a, b, _, n in found:
+            starts, ends = around[n]
+            starts.append(a)
+            ends.append(max(b, ends[-1]) if ends else b)
+
+        def inside(m: tuple[str, int, int, float, int]) -> bool:
+            for n, (starts, ends) in around.items():
+                if n >= PART * m[4] and (k := bisect(starts, m[1])) and ends[k - 1] >= m[2]:
+                    return True
+            return False
+
+        part = {k for k, m in enumerate(found) if inside(m)}
         for k in sorted(set(range(len(found))) - part, key=lambda k: (-found[k][3], -found[k][4], found[k][1], found[k][0])):
             if free(taken, *found[k][1:3]):
                 best.add(k)

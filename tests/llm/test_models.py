@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -200,6 +201,45 @@ def test_scan_of_documents_by_brute_force(spark):
     assert hits > 0
 
 
+def test_long_templates_by_brute_force():
+    """All windows of short texts, for templates longer than those that documents are held against."""
+    rng = np.random.default_rng(5)
+    own = {k: tuple(t for t in texts if 15 <= len(licences.words_of(t)[0]) <= 130) for k, texts in licences.TEMPLATES.items()}
+    scanner = licences.Scanner({k: v for k, v in own.items() if v}, licences.LEAST)
+    every = [t for v in own.values() for t in v]
+    for _ in range(6):
+        words = " and ".join(str(rng.choice(every)) for _ in range(2)).split()
+        for _ in range(4):
+            words[int(rng.integers(len(words)))] = "changed"
+        text = " ".join(words[int(rng.integers(20)) :])
+        grams = [*zip(*[licences.words_of(text)[0][k:] for k in (0, 1)], strict=False)]
+        want = {}
+        for licence, template in scanner.templates:
+            n = sum(template.values())
+            for a in range(len(grams)):
+                seen, shared = licences.Counter(), 0
+                for b in range(a + 1, min(len(grams), a + int(n * (2 - licences.LEAST) / licences.LEAST) + 1) + 1):
+                    seen[grams[b - 1]] += 1
+                    shared += seen[grams[b - 1]] <= template[grams[b - 1]]
+                    if 2 * shared >= licences.LEAST * (b - a + n) - 1e-12:
+                        want[licence] = max(want.get(licence, 0), 2 * shared / (b - a + n))
+        got = {}
+        for licence, _, _, dice, _ in scanner.scan(text):
+            got[licence] = max(got.get(licence, 0), dice)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_licences_of_repeated_lines_take_time_in_proportion():
+    scanner = licences.Scanner(licences.TEMPLATES, licences.LEAST)
+    took = []
+    for n in (1500, 3000):
+        text = "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.\n" * n
+        began = time.process_time()
+        assert sum(m[4] for m in scanner.scan(text)) == 2 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 3.2 * took[0] and took[1] < 20
+
+
 def test_whole_licences_and_headers():
     scanner = licences.Scanner(licences.TEMPLATES, licences.LEAST)
     best = lambda text: [(m[0], round(m[3], 2) >= 0.95) for m in scanner.scan(text) if m[4]]
