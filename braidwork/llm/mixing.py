@@ -23,6 +23,7 @@ TILTS = (0.5, -0.5, 0.0)
 #: All takes together, as a multiple of all sizes, and the most of one source.
 BUDGET, MOST = 1.5, 2.0
 #: Each source's token line is cut into ranges of a hash, so that no source is one task's work: hexadecimal digits at least, and rows of a range.
+#: Rows that agree in all that counts are one row of a range.
 DIGITS, SLICE_ROWS = 3, 100_000
 
 
@@ -70,22 +71,28 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, **shar
     digits = DIGITS
     while 16**digits * SLICE_ROWS < docs.count():
         digits += 1
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"))
-    docs = docs.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("slice", F.conv(F.substring("digest", 1, digits), 16, 10).cast("long"))
-    docs = cut(docs)  # narrow rows, so that words are counted once
-    slices = docs.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"), F.md5(F.col(text_col).cast("string")).alias("text_md5"))
+    # by id and text, so that rows without an id, or with the same, are dealt like others
+    docs = docs.withColumn("digest", F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text_md5", F.lit("")))))
+    docs = docs.withColumn("slice", F.conv(F.substring("digest", 1, digits), 16, 10).cast("long"))
+    docs = docs.drop("text_md5")
+    docs = cut(docs.groupBy(*docs.columns).agg(F.count("*").alias("copies")))  # narrow rows, so that words are counted once
+    docs = docs.withColumn("all", F.col("size") * F.col("copies"))
+    slices = docs.groupBy("source", "slice").agg(F.sum("all").alias("slice_size"))
     in_order = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.withColumn("start", F.coalesce(F.sum("slice_size").over(in_order), F.lit(0)))
     wanted = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), **shares)
     starts = starts.alias("a").join(wanted.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "slice", "start", "source_size", "target", "tilt")
     within = Window.partitionBy("source", "slice").orderBy("digest", "doc_id", "tag").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    docs = docs.withColumn("before", F.coalesce(F.sum("all").over(within), F.lit(0)))
     placed = docs.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.slice") == F.col("s.slice")))
     size, total = F.col("size"), F.col("source_size")
     whole = F.when(total > 0, F.floor(F.col("target") / total)).otherwise(0)
     extra = F.floor(F.col("target")) - whole * total
     return (
-        placed.select("doc_id", "tag", "d.source", "size", "source_size", "target", "tilt", (F.col("start") + F.col("before")).alias("part_from"))
+        placed.select("doc_id", "tag", "d.source", "size", "source_size", "target", "tilt", (F.col("start") + F.col("before")).alias("before"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("nth"))
+        .withColumn("part_from", F.col("before") + F.col("nth") * F.col("size"))
+        .drop("before", "nth")
         .withColumn("taken", (whole * size + F.greatest(F.lit(0), F.least(size, extra - F.col("part_from")))).cast("long"))
         .withColumn("position", F.when(F.col("taken") > 0, when(F.col("part_from") / F.col("target"), F.col("tilt"))))
     )
@@ -94,7 +101,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, **shar
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
     """A row per document: its id and source, size, source_size, target, taken, part_from, position.
 
-    A source's documents lie on a line in the order of their ids' md5, each as long as its words. With
+    A source's documents lie on a line in the order of a md5 of id and text, each as long as its words. With
     r = target / source size, every document is taken floor(r) times, and those on the first r - floor(r)
     of the line once more; the one across that end gives the words that are still missing. So the taken
     words are the target, rounded down. ``position`` is the training time of the first copy, null if the
@@ -129,7 +136,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '')) AS digest,
          CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

@@ -124,6 +124,24 @@ def test_lines_cases(spark):
     assert got[2]["n_deleted"] == 3 and got[2]["n_lines"] == 4
 
 
+@pytest.mark.parametrize(("period", "lines_kept"), [(1, 5), (2, 5), (3, 5), (4, 5), (7, 7)])
+def test_overlapping_copies_of_lines(spark, period, lines_kept):
+    """The first copy of a run stays whole, also where later ones begin within it."""
+    own = [f"{'abcdefg'[i % period]} is the first of ten words in this own line" for i in range(30)]
+    df = spark.createDataFrame([(1, "\n".join(own)), (2, "\n".join(own[:12]))], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.deduplicate(df).collect()}
+    assert got[1].split("\n") == own[:lines_kept] and got[2] == ""
+
+
+def test_mixed_rows_without_an_id_are_dealt(spark):
+    """Rows that share an id, or have none, lie in many ranges of their source, and rows that agree in all are one of a range."""
+    rows = [(None, f"text {i}", "a") for i in range(500)] + [(7, f"other {i}", "a") for i in range(500)] + [(None, "the very same", "a")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing._placed(df, "doc_id", "text", "source")
+    out = plan.agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("source_size").alias("size"), F.countDistinct("part_from").alias("places")).first()
+    assert (out["n"], out["taken"], out["size"], out["places"]) == (1300, 1.5 * out["size"], 2900, 1300)
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [(20, [1.0, 0.0]), (40, [1.0, 0.0]), (3, [0.99, 0.01]), (4, [0.0, 1.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [0.0, 0.0]), (60, []), (10, [1.0]), (None, [1.0, 0.0]), (3, [0.99, 0.01])]

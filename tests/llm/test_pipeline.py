@@ -65,8 +65,9 @@ def without_repeats(rows):
             windows.setdefault(tuple(own[p] for p, _ in at[i : end + 1]), []).append((r["doc_id"], i, [p for p, _ in at[i : end + 1]]))
     gone = {}
     for same in windows.values():
+        first, _, stay = min(same)
         for doc, _, places in sorted(same)[1:]:
-            gone.setdefault(doc, set()).update(places)
+            gone.setdefault(doc, set()).update(set(places) - set(stay if doc == first else ()))
     out = []
     for r in rows:
         cut = gone.get(r["doc_id"], set())
@@ -113,7 +114,7 @@ def mixture(rows):
         free = [s for s in free if full and s not in full]
     out = []
     for s in sources:
-        own = sorted((r for r in rows if r["source"] == s), key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"]))
+        own = sorted((r for r in rows if r["source"] == s), key=lambda r: (hashlib.md5(f"{r['doc_id']}|{hashlib.md5(r['text'].encode()).hexdigest()}".encode()).hexdigest(), r["doc_id"]))
         rounds, before = int(target[s] // total[s]), 0
         for r in own:
             n = size[r["doc_id"]]
