@@ -105,16 +105,31 @@ def running(df: DataFrame, by: list[Column], sums: dict[str, str]) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``stored``, and the folder, which ``dropped`` removes when nothing reads it any more."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ``written``, wherever it lies."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: What Arrow hands to a Python worker at once. Plans run when their rows are asked for, so all operators share one bound.
+BATCH_ROWS, BATCH_BYTES = 4096, "2m"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
-    """Bound what Arrow hands to a Python worker at once, by rows and, where Spark can, by bytes."""
-    conf = spark.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+def small_batches(spark: SparkSession) -> None:
+    """Bound what Arrow hands to a Python worker at once, by rows and by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def unused(columns: list[str], *names: str) -> list[str]:

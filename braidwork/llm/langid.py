@@ -7,7 +7,8 @@ no piece crosses a word's end. The prediction is the language of the highest lik
 posterior under equal priors.
 
 Defined cases: a null text or one without letters is ``und`` with score 0, as is every text if there is
-nothing to learn from; rows without a language or an id teach nothing; equal likelihoods go to the first language in
+nothing to learn from; rows without a language or an id teach nothing, nor do values of the language
+column that fewer than one in 2,000 labelled rows have; equal likelihoods go to the first language in
 order; a run of letters of any length is one word and costs its length; columns named like the results are replaced.
 """
 
@@ -26,6 +27,8 @@ from braidwork.llm.common import crc, read, settled, small_batches, unused
 
 #: Rows of each language from which the pieces' probabilities are learned; all their words count.
 SAMPLE_DOCS = 500
+#: The least share of the labelled rows that makes a value of the language column a language; so there are 2,000 at most.
+LEAST_SHARE = 1 / 2000
 #: Groups into which a language's words are dealt for learning; units of an expected count, whose sums are exact.
 DEALT, UNIT = 16, 2.0**-20
 #: Letters after which sums are scaled; words that a worker remembers, and their longest; rounds of learning.
@@ -229,12 +232,19 @@ class Scorer:
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = SAMPLE_DOCS) -> DataFrame | None:
     """``lang, word, n`` of about ``most`` rows of each language, chosen by a hash of the id; None without a labelled row."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    found = docs.groupBy("lang").count().collect()  # languages, not rows
-    if not found:
+    counts = docs.groupBy("lang").count()
+    everything = counts.agg(F.sum("count")).first()[0]
+    if not everything:
         return None
+    found = counts.filter(F.col("count") >= LEAST_SHARE * everything).collect()  # at most 1 / LEAST_SHARE rows
     share = F.create_map(*[F.lit(x) for r in sorted(found) for x in (r["lang"], most / r["count"])])
     drawn = docs.filter(F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
-    words = drawn.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
+
+    @F.pandas_udf("array<string>")
+    def words_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([LETTERS.findall(t.lower()) for t in texts], dtype=object)
+
+    words = drawn.select("lang", F.explode(words_of("text")).alias("word"))
     return settled(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
 
 

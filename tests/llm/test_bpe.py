@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import tokenizers
@@ -33,6 +34,13 @@ def test_long_and_odd_words():
         assert ids.tolist() == ids_of(text) and coder.decode(ids) == text
 
 
+def test_query_columns(spark):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.op10_bpe(spark, SMALL).collect()}
+    assert got == {i: (len(x), sha(",".join(map(str, x))), sha(LIBRARY.decode(x, skip_special_tokens=False))) for i, t in texts.items() for x in [ids_of(t)]}
+
+
 def test_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for r in bpe.decode(bpe.encode(docs, decoded_col=None), decoded_col="back").select("text", "ids", "back").collect():

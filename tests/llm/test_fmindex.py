@@ -2,12 +2,12 @@ import random
 import re
 from hashlib import sha256
 
+import cases
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from braidwork.llm import fmindex as m
-from tests.llm import cases
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 

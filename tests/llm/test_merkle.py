@@ -1,11 +1,11 @@
 from hashlib import sha256
 from zlib import crc32
 
+import cases
 import pytest
 from pyspark.sql import functions as F
 
 from braidwork.llm import merkle
-from tests.llm import cases
 
 
 def digest(*parts):
