@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm import bpe, langid, lines, minhash, mixing
-from braidwork.llm.common import read, stored, unused
+from braidwork.llm.common import dropped, read, unused, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs, path = written(stage(spark, docs, sf_dir))
+        if before:
+            dropped(spark, before)  # nothing reads the last stage's rows any more
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
