@@ -6,11 +6,10 @@ missing edge is a zero. All measures are grouped by network, so one plan describ
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.operators import spectra
 from braidwork.session import cut
 
 
@@ -113,19 +112,21 @@ def _lengths(edges: DataFrame) -> DataFrame:
 def geodesics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``net, src, dst, d``: the shortest distance of every pair of nodes with a path, and 0 from a node to itself.
 
-    Paths are doubled: a round joins the paths known so far end to end and keeps the shortest of each pair, so the
-    rounds grow with the logarithm of the edges on a path. A pair is a row, and no network is one task's work.
+    Frontiers are relaxed: only distances that the last round made shorter meet the edges at their end, and what they
+    bring is held against what is known. So a pair's work is about the edges of its end, not the nodes of its network; the
+    rounds are the edges on the longest of the shortest paths. A pair is a row, and no network is one task's work.
     """
-    own = nodes.select("net", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("d"))
-    known = cut(_lengths(edges).union(own).groupBy("net", "src", "dst").agg(F.min("d").alias("d")))
+    lengths = cut(_lengths(edges).groupBy("net", "src", "dst").agg(F.min("d").alias("step")).select("net", F.col("src").alias("dst"), F.col("dst").alias("far"), "step"))
+    known = cut(nodes.select("net", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("d")).distinct())
+    front = known
     while True:
-        onward = known.select("net", F.col("src").alias("dst"), F.col("dst").alias("far"), F.col("d").alias("more"))
-        longer = known.join(onward, ["net", "dst"]).groupBy("net", "src", F.col("far").alias("dst")).agg(F.min(F.col("d") + F.col("more")).alias("d"))
-        old = known.withColumnRenamed("d", "old")
-        known = cut(longer.join(old, ["net", "src", "dst"], "left"))
-        if known.filter("old is null or d < old").isEmpty():
-            return known.drop("old")
-        known = known.drop("old")
+        reached = front.join(lengths, ["net", "dst"]).groupBy("net", "src", F.col("far").alias("dst")).agg(F.min(F.col("d") + F.col("step")).alias("new"))
+        met = cut(known.join(reached, ["net", "src", "dst"], "full"))
+        shorter = F.col("new").isNotNull() & (F.col("d").isNull() | (F.col("new") < F.col("d")))
+        front = met.filter(shorter).select("net", "src", "dst", F.col("new").alias("d"))
+        if front.isEmpty():
+            return known
+        known = met.select("net", "src", "dst", F.least("d", "new").alias("d"))
 
 
 def efficiency(paths: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -140,31 +141,47 @@ def efficiency(paths: DataFrame, nodes: DataFrame) -> DataFrame:
 SAME = 1e-12
 
 
-def path_counts(edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """``net, src, dst, d, n``: how many shortest paths a pair of nodes has.
-
-    Last edges that keep a path shortest are found once; then paths are counted by their number of edges, until no
-    shortest path has one more.
-    """
+def tight_edges(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """``net, src, mid, dst``: the edges from mid to dst that end a shortest path from src."""
     last = _lengths(edges).select("net", F.col("src").alias("mid"), "dst", F.col("d").alias("step"))
     start = paths.select("net", "src", F.col("dst").alias("mid"), F.col("d").alias("upto"))
-    tight = cut(start.join(last, ["net", "mid"]).join(paths, ["net", "src", "dst"]).filter(F.col("upto") + F.col("step") <= F.col("d") * (1 + SAME)).select("net", "src", "mid", "dst"))
+    met = start.join(last, ["net", "mid"]).join(paths, ["net", "src", "dst"])
+    return cut(met.filter(F.col("upto") + F.col("step") <= F.col("d") * (1 + SAME)).select("net", "src", "mid", "dst"))
+
+
+def path_counts(tight: DataFrame, paths: DataFrame) -> DataFrame:
+    """``net, src, dst, n``: how many shortest paths a pair of nodes has.
+
+    Paths are counted by their number of edges, until no shortest path has one more.
+    """
     some = cut(paths.filter("src = dst").select("net", "src", "dst", F.lit(1.0).alias("n")))
     every = some
     while not some.isEmpty():
         some = cut(some.withColumnRenamed("dst", "mid").join(tight, ["net", "src", "mid"]).groupBy("net", "src", "dst").agg(F.sum("n").alias("n")))
         every = every.union(some)
-    return paths.join(every.groupBy("net", "src", "dst").agg(F.sum("n").alias("n")), ["net", "src", "dst"])
+    return cut(every.groupBy("net", "src", "dst").agg(F.sum("n").alias("n")))
+
+
+def dependencies(tight: DataFrame, counts: DataFrame) -> DataFrame:
+    """``net, src, node, passed``: how many pairs from src send their shortest paths through a node, by shares of paths.
+
+    Brandes' backward accumulation, for all sources at once: each end of a path hands what it holds to the nodes
+    before it, in proportion to their counts of paths; a round takes one edge, until only sources are left.
+    """
+    of = lambda name, n: counts.select("net", "src", F.col("dst").alias(name), F.col("n").alias(n))
+    shares = cut(tight.filter("mid <> src").join(of("mid", "near"), ["net", "src", "mid"]).join(of("dst", "all"), ["net", "src", "dst"]).select("net", "src", "mid", "dst", (F.col("near") / F.col("all")).alias("share")))
+    held = counts.filter("src <> dst").select("net", "src", "dst", F.lit(1.0).alias("held"))
+    every = held.limit(0)
+    while not held.isEmpty():
+        held = cut(held.join(shares, ["net", "src", "dst"]).groupBy("net", "src", F.col("mid").alias("dst")).agg(F.sum(F.col("held") * F.col("share")).alias("held")))
+        every = every.union(held)
+    return every.groupBy("net", "src", F.col("dst").alias("node")).agg(F.sum("held").alias("passed"))
 
 
 def betweenness(edges: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """``net, node, betweenness``: of every unordered pair of others, the share of its shortest paths that pass the node."""
-    counts = cut(path_counts(edges, paths))
-    into = counts.select("net", "src", F.col("dst").alias("node"), F.col("d").alias("d_in"), F.col("n").alias("n_in"))
-    out = counts.select("net", F.col("src").alias("node"), "dst", F.col("d").alias("d_out"), F.col("n").alias("n_out"))
-    through = into.join(out, ["net", "node"]).filter((F.col("src") < F.col("dst")) & (F.col("node") != F.col("src")) & (F.col("node") != F.col("dst")))
-    through = through.join(counts, ["net", "src", "dst"]).filter(F.col("d_in") + F.col("d_out") <= F.col("d") * (1 + SAME))
-    share = through.groupBy("net", "node").agg(F.sum(F.col("n_in") * F.col("n_out") / F.col("n")).alias("betweenness"))
+    tight = tight_edges(edges, paths)
+    share = dependencies(tight, path_counts(tight, paths)).groupBy("net", "node").agg((F.sum("passed") / 2).alias("betweenness"))
     return nodes.select("net", "node").join(share, ["net", "node"], "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
 
 
@@ -172,28 +189,9 @@ def betweenness_cv(edges: DataFrame, nodes: DataFrame, paths: DataFrame) -> Data
     return betweenness(edges, nodes, paths).groupBy("net").agg(cv("betweenness").alias("cv_betweenness"))
 
 
-#: Nodes of a network up to which its spectrum is one task's work.
-SPECTRUM_NODES = 4096
-
-
 def lambda_ratio(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``net, lambda_ratio``: the second largest size of an eigenvalue of the signed matrix over the largest.
-
-    A network's spectrum is one group; networks of more than ``SPECTRUM_NODES`` nodes are an error.
-    """
-    most = nodes.groupBy("net").count().agg(F.max("count")).first()[0] or 0
-    if most > SPECTRUM_NODES:
-        raise ValueError(f"a network of {most} nodes is too large for its spectrum; {SPECTRUM_NODES} is the most")
-
-    def spectrum(key: tuple, own: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        place = pd.Index(members["node"].unique())
-        m = np.zeros((len(place), len(place)))
-        m[place.get_indexer(own["src"]), place.get_indexer(own["dst"])] = own["w"]
-        first, second = [*np.sort(np.abs(np.linalg.eigvalsh(m)))[::-1][:2], 0.0, 0.0][:2]
-        return pd.DataFrame({"net": [key[0]], "lambda_ratio": [second / first if first > 0 else 0.0]})
-
-    kind = nodes.schema["net"].dataType.simpleString()
-    return edges.groupBy("net").cogroup(nodes.groupBy("net")).applyInPandas(spectrum, f"net {kind}, lambda_ratio double")
+    """``net, lambda_ratio``: the second largest size of an eigenvalue of the signed matrix over the largest."""
+    return spectra.second_share(edges, nodes)
 
 
 def all_descriptors(edges: DataFrame, nodes: DataFrame) -> DataFrame:

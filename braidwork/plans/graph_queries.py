@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.operators import graph as g
+from braidwork.operators import spectra
 from braidwork.plans.spectra import spectrum
-from braidwork.sources.trade import nations, trade_edges
+from braidwork.sources.trade import nations, supply_edges, trade_edges
 
 
 def _round(df: DataFrame, *columns: str) -> DataFrame:
@@ -48,6 +49,13 @@ def graph_lambda_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(g.lambda_ratio(g.centred(trade_edges(spark, sf_dir)), nations(spark, sf_dir)), "lambda_ratio")
 
 
+def supply_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spectral radius of the network of suppliers and parts, whose edges are the quantities between them, by joins."""
+    edges = supply_edges(spark, sf_dir)
+    found = spectra.radius(edges, edges.select("net", F.col("src").alias("node")).distinct())
+    return found.select(F.round("radius", 4).alias("radius"))
+
+
 def graph_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = g.descriptors(g.centred(trade_edges(spark, sf_dir)), nations(spark, sf_dir))
     return _round(out, *[c for c in out.columns if c != "net"])
@@ -89,7 +97,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_modularity, graph_participation, graph_clustering, graph_strength_cv, graph_frac_negative, graph_efficiency,
-        graph_betweenness_cv, graph_lambda_ratio, graph_descriptors, block_mean, block_sd, block_density, block_motifs, density_motifs, core_nodes, display_edges,
+        graph_betweenness_cv, graph_lambda_ratio, supply_radius, graph_descriptors, block_mean, block_sd, block_density, block_motifs, density_motifs, core_nodes, display_edges,
     )
 }
 
@@ -155,6 +163,10 @@ SELECT round(modularity, 6) + 0.0 AS modularity, round(participation, 6) AS part
 FROM mo, pa, cl, ef, cs, cb, lam, fn"""
 
 ORACLES = {
+    "supply_radius": """WITH RECURSIVE e AS MATERIALIZED (SELECT l_suppkey AS s, l_partkey AS p, sum(l_quantity) AS w FROM lineitem GROUP BY ALL),
+v AS (SELECT 0 AS k, p, 1.0::DOUBLE AS x FROM (SELECT DISTINCT p FROM e)
+UNION ALL SELECT any_value(y.k) + 1, e.p, sum(e.w * y.y) / 1e6 FROM e JOIN (SELECT any_value(v.k) AS k, e.s, sum(e.w * v.x) AS y FROM v JOIN e USING (p) WHERE v.k < 40 GROUP BY e.s) y USING (s) GROUP BY e.p)
+SELECT round(sqrt(sum(a.x * b.x) / sum(a.x * a.x) * 1e6), 4) AS radius FROM v a JOIN v b ON a.p = b.p AND a.k = 39 AND b.k = 40""",
     "graph_lambda_ratio": f"WITH {GRAPH}{_LAMBDA} SELECT round(lambda_ratio, 6) AS lambda_ratio FROM lam",
     "graph_descriptors": _ALL,
     "graph_modularity": f"""WITH {GRAPH},

@@ -1,8 +1,14 @@
+import heapq
+
 import numpy as np
+import pandas as pd
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from braidwork.operators import graph as g
+from braidwork.operators import spectra
+from braidwork.sources.trade import trade_edges
 
 GRAPHS = {
     0: (4, [(0, 1, 1.0), (0, 2, 1.0), (0, 3, 1.0), (1, 2, 1.0), (1, 3, 1.0), (2, 3, 1.0)], [0, 0, 1, 1]),  # complete
@@ -80,10 +86,84 @@ def test_spectra(frames):
         assert np.isclose(got[net], ev[-2] / ev[-1])
 
 
-def test_spectrum_of_a_large_network_is_an_error(frames, monkeypatch):
-    monkeypatch.setattr(g, "SPECTRUM_NODES", 5)
-    with pytest.raises(ValueError, match="6 nodes"):
-        g.lambda_ratio(*frames)
+def test_spectra_by_joins(spark, frames):
+    """All networks through products with edges; also ones whose eigenvalues are alike, or come in pairs of both signs."""
+    edges, nodes = frames
+    rng = np.random.default_rng(1)
+    more = {10: np.ones((12, 12)) - np.eye(12), 11: np.kron(np.eye(9), [[0, 1.0], [1, 0]]), 12: np.diag(np.ones(30), 1)[:30, :30], 13: np.triu(rng.normal(size=(60, 60)) * (rng.random((60, 60)) < 0.15), 1), 14: np.zeros((3, 3))}
+    more = {k: np.triu(m, 1) + np.triu(m, 1).T for k, m in more.items()}
+    edges = edges.union(spark.createDataFrame([(k, int(i), int(j), float(m[i, j])) for k, m in more.items() for i, j in np.argwhere(m)], "net int, src int, dst int, w double"))
+    nodes = nodes.select("net", "node").union(spark.createDataFrame([(k, i) for k, m in more.items() for i in range(len(m))], "net int, node int"))
+    got = {r["net"]: (r["first"], r["second"]) for r in spectra.largest(edges, nodes, whole=0).collect()}
+    for net, m in ({k: matrix(k) for k in GRAPHS} | more).items():
+        ev = np.sort(np.abs(np.linalg.eigvalsh(m)))[::-1]
+        assert np.allclose(got[net], ev[:2], rtol=0, atol=1e-6 * max(ev[0], 1e-9))
+
+
+def test_spectrum_of_a_large_network(spark):
+    """10,000 nodes in cliques and stars, whose eigenvalues are known: size - 1, and both signs of the root of the leaves."""
+    edges, n = [], 0
+    for size in (70, 55, 40, 40, 30):
+        edges += [(n + i, n + j, 1.0) for i in range(size) for j in range(size) if i != j]
+        n += size
+    for leaves in (2500, 1600, 1600, 400, 3000):
+        edges += [e for i in range(1, leaves + 1) for e in ((n, n + i, -1.0), (n + i, n, -1.0))]
+        n += leaves + 1
+    nodes = spark.range(10_000).select(F.lit(0).alias("net"), F.col("id").alias("node"))
+    assert n <= 10_000
+    df = spark.createDataFrame(pd.DataFrame(edges, columns=["src", "dst", "w"])).select(F.lit(0).alias("net"), "src", "dst", "w")
+    got = spectra.largest(df, nodes).first()
+    assert np.allclose((got["first"], got["second"]), (69, 3000**0.5), rtol=1e-6)
+    assert abs(value(spectra.second_share(df, nodes), "lambda_ratio")[0] - 3000**0.5 / 69) < 1e-6
+
+
+def test_paths_of_a_sparse_network(spark):
+    """Distances and betweenness of 150 nodes against Brandes' algorithm node by node."""
+    rng, n = np.random.default_rng(4), 150
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, n, (320, 2)).tolist() if p[0] != p[1]}
+    rows = [(0, a, b, float(rng.integers(1, 4))) for a, b in sorted(pairs)]
+    edges = g.symmetrised(spark.createDataFrame(rows, "net int, src int, dst int, w double"))
+    nodes = spark.createDataFrame([(0, i, 0) for i in range(n)], "net int, node int, community int")
+    near = {i: {} for i in range(n)}
+    for _, a, b, w in rows:
+        near[a][b] = near[b][a] = 12 // int(w)  # lengths in twelfths are exact
+    want, lengths = np.zeros(n), {}
+    for s in range(n):
+        order, dist, ways, heap = [], {s: 0}, {s: 1}, [(0, s)]
+        while heap:
+            d, v = heapq.heappop(heap)
+            if v in order or d > dist[v]:
+                continue
+            order.append(v)
+            for u, step in near[v].items():
+                if u not in dist or d + step < dist[u]:
+                    dist[u], ways[u] = d + step, ways[v]
+                    heapq.heappush(heap, (d + step, u))
+                elif d + step == dist[u]:
+                    ways[u] += ways[v]
+        lengths |= {(s, v): d / 12 for v, d in dist.items()}
+        passed = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u, step in near[v].items():
+                if u in dist and dist[u] + step == dist[v]:
+                    passed[u] += ways[u] / ways[v] * (1 + passed[v])
+        for v in order[1:]:
+            want[v] += passed[v] / 2
+    paths = g.geodesics(edges, nodes)
+    got = {(r["src"], r["dst"]): r["d"] for r in paths.collect()}
+    assert got.keys() == lengths.keys() and all(abs(got[p] - lengths[p]) < 1e-9 for p in lengths)
+    found = {r["node"]: r["betweenness"] for r in g.betweenness(edges, nodes, paths).collect()}
+    assert np.allclose([found[i] for i in range(n)], want)
+
+
+def test_trade_graph_follows_its_tables(spark, tmp_path):
+    """A table that is rewritten within a session gives another graph."""
+    for name in ("lineitem", "orders", "customer", "supplier"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    whole = trade_edges(spark, str(tmp_path)).count()
+    few = spark.read.parquet(f"{SMALL}/lineitem.parquet").filter("l_orderkey % 50 = 1")
+    few.write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    assert 0 < trade_edges(spark, str(tmp_path)).count() < whole
 
 
 def test_betweenness_shares_equal_paths(spark):

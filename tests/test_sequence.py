@@ -87,7 +87,7 @@ def test_pca_is_the_svd(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 3)) @ np.diag([3, 1, 0.2])
     df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id int, v array<double>")
-    means, loadings, share = v.pca(df, 3)
+    means, loadings, share = v.pca(df)
     _, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
     assert np.allclose(share, s**2 / (s**2).sum()) and np.allclose(np.abs(loadings), np.abs(vt)) and np.allclose(means, x.mean(0))
     pcs = np.array([r["pc"] for r in v.projected(df, means, loadings, 2).orderBy("id").collect()])
