@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.operators.scans import Ranges
 from braidwork.operators.sequence import told
-from braidwork.session import cut
 
 
 def weight(step: Column, last: Column, window: float, kind: str, only: Column) -> Column:
@@ -31,17 +31,8 @@ def recency_score(log: DataFrame, window: float, kind: str = "linear", run: str
 
 
 def positions(log: DataFrame, *keys: str, by: tuple[str, ...] = ("step",)) -> DataFrame:
-    """``pos`` of each row in its run, from 0 (without keys, in all).
-
-    Rows are sorted by ranges of key and step. A run may lie in many ranges; the counts of those before shift the
-    positions within one, so no run is one task's work.
-    """
-    ranged = cut(log.repartitionByRange(*keys, *by).sortWithinPartitions(*keys, *by).withColumn("_range", F.spark_partition_id()))
-    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))  # a row for each range and run in it
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*by)) - 1
-    placed = ranged.withColumn("pos", within).join(counts.withColumn("_before", before).drop("_n"), [*keys, "_range"])
-    return placed.withColumn("pos", F.col("pos") + F.col("_before")).drop("_range", "_before")
+    """``pos`` of each row in its run, from 0 (without keys, in all)."""
+    return Ranges(log, keys, by).carried()
 
 
 def shortest(log: DataFrame, group: str, run: str) -> DataFrame:
@@ -87,8 +78,7 @@ def first_values(df: DataFrame, group: str, order: str, *columns: str) -> DataFr
 
 def episodes(log: DataFrame, run: str = "run", done: str = "done") -> DataFrame:
     """``episode`` of each step: the number of ends before it in its run."""
-    before = Window.partitionBy(run).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("episode", F.coalesce(F.sum(F.col(done).cast("long")).over(before), F.lit(0)))
+    return Ranges(log, [run], ["step"]).carried(sums={"episode": F.col(done).cast("long")}).drop("pos")
 
 
 def episode_sums(log: DataFrame, run: str = "run", done: str = "done") -> DataFrame:

@@ -7,20 +7,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.operators.fourier import dft
+from braidwork.operators.scans import Ranges
 
 def delay_embed(series: DataFrame, delays: int, value: str = "value") -> DataFrame:
     """``run, step, h0 .. h(d-1)``: each value with the next ones; rows without all of them are left out."""
-    order = Window.partitionBy("run").orderBy("step")
-    rows = series.select("run", "step", *[F.lead(value, k).over(order).alias(f"h{k}") for k in range(delays)], F.lead("step", delays - 1).over(order).alias("_last"))
-    return rows.filter("_last is not null").drop("_last")
+    rows = Ranges(series.select("run", "step", F.col(value).alias("value")), ["run"], ["step"]).ahead(delays, ["value"])
+    return rows.filter(F.size("next") == delays).select("run", "step", *[F.get("next", k)["value"].alias(f"h{k}") for k in range(delays)])
 
 
 def energy_rank(values: DataFrame, energy: float = 0.99) -> DataFrame:
     """``run, rank``: how many of the largest values hold that share of the sum of squares."""
-    order = Window.partitionBy("run").orderBy(F.desc("value"), "step")
-    cum = values.withColumn("k", F.row_number().over(order)).withColumn("cum", F.sum(F.col("value") * F.col("value")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = values.groupBy("run").agg(F.sum(F.col("value") * F.col("value")).alias("total"))
-    return cum.join(totals, "run").filter(F.col("cum") >= energy * F.col("total")).groupBy("run").agg(F.min("k").cast("long").alias("rank"))
+    square = F.col("value") * F.col("value")
+    rows = values.select("run", "step", "value", (-F.col("value")).alias("falling"))
+    cum = Ranges(rows, ["run"], ["falling", "step"]).carried(sums={"before": square}, place="k")
+    totals = values.groupBy("run").agg(F.sum(square).alias("total"))
+    return cum.join(totals, "run").filter(F.col("before") + square >= energy * F.col("total")).groupBy("run").agg((F.min("k") + 1).alias("rank"))
 
 
 def delay_ranks(series: DataFrame, delays: int, energy: float = 0.99) -> DataFrame:
@@ -74,10 +76,11 @@ def whole_runs(series: DataFrame, delays: int) -> DataFrame:
 
 def islands(series: DataFrame, label: str) -> DataFrame:
     """``run, label, start, end, centre`` of each stretch of equal labels; positions from 0, ends exclusive."""
-    order = Window.partitionBy("run").orderBy("step")
-    own = series.select("run", "step", F.col(label).alias("label"), (F.row_number().over(order) - 1).alias("pos"), (~F.lag(label).over(order).eqNullSafe(F.col(label))).cast("int").alias("new"))
-    own = own.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = own.groupBy("run", "island", "label").agg(F.min("pos").cast("long").alias("start"), (F.max("pos") + 1).cast("long").alias("end"))
+    rows = series.select("run", "step", F.col(label).alias("label"))
+    seen = Ranges(rows, ["run"], ["step"]).carried(last={"prev": F.col("label")})
+    starts = Ranges(seen.withColumn("new", (~F.col("prev_known") | ~F.col("prev").eqNullSafe(F.col("label"))).cast("int")).select("run", "step", "label", "pos", "new"), ["run"], ["pos"])
+    own = starts.carried(sums={"island": F.col("new")}, place="at").withColumn("island", F.col("island") + F.col("new"))
+    out = own.groupBy("run", "island", "label").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
     return out.select("run", "label", "start", "end", ((F.col("start") + F.col("end")) / 2).alias("centre"))
 
 
@@ -88,14 +91,8 @@ def series_zscore(series: DataFrame) -> DataFrame:
 
 
 def dft_magnitude(series: DataFrame) -> DataFrame:
-    """``run, k, magnitude`` of each run's real discrete Fourier transform (a run is one group)."""
-    kind = series.schema["run"].dataType.simpleString()
-
-    def transform(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.abs(np.fft.rfft(pdf.sort_values("step")["value"].to_numpy(float)))
-        return pd.DataFrame({"run": key[0], "k": np.arange(len(m), dtype=np.int32), "magnitude": m})
-
-    return series.select("run", "step", "value").groupBy("run").applyInPandas(transform, f"run {kind}, k int, magnitude double")
+    """``run, k, magnitude`` of each run's real discrete Fourier transform, of runs of any length."""
+    return dft(series).select("run", F.col("k").cast("int").alias("k"), F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("magnitude"))
 
 
 def leaky_fold(series: DataFrame, leak: float, w_in: float, w: float) -> DataFrame:

@@ -115,11 +115,11 @@ def ritz(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.pad(theta, (0, pad)), np.pad(left, (0, pad)), np.pad(to, ((0, 0), (0, pad)))
 
 
-def leading(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def leading(edges: DataFrame, nodes: DataFrame, wanted: int = 2) -> DataFrame:
     """``net, first, second``: the two largest sizes of eigenvalues of each network's signed matrix.
 
     Edges are ``net, src, dst, w`` in both directions, nodes ``net, node``; a network without edges has zeros. Each is
-    right to about 1e-7 of the first.
+    right to about 1e-7 of the first; with one ``wanted``, rounds end when the first is.
     """
     kind = nodes.schema["net"].dataType.simpleString()
     loops = nodes.select("net", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w")).distinct()
@@ -136,7 +136,7 @@ def leading(edges: DataFrame, nodes: DataFrame) -> DataFrame:
                 for r in pdf.itertuples():
                     theta, left, to = ritz(r.p)
                     first, second = abs(theta[0]), abs(theta[1])
-                    found = left[:2].max() <= RESIDUAL * first or first == 0.0
+                    found = left[:wanted].max() <= RESIDUAL * first or first == 0.0
                     still = steady and max(abs(first - r.old_first), abs(second - r.old_second)) <= STILL * first
                     spread = theta[np.abs(theta) > 0]
                     out.append((r.net, first, second, bool(found or still), max(float(spread[-1] ** 2) if len(spread) else 1.0, 1e-12 * first * first) or 1.0, to.ravel()))
@@ -177,13 +177,14 @@ def _apart(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.groupBy("net").cogroup(nodes.groupBy("net")).applyInPandas(spectrum, f"net {kind}, first double, second double")
 
 
-def largest(edges: DataFrame, nodes: DataFrame, whole: int = WHOLE) -> DataFrame:
+def largest(edges: DataFrame, nodes: DataFrame, whole: int = WHOLE, wanted: int = 2) -> DataFrame:
     """``net, first, second`` of all networks: those of at most ``whole`` nodes in a task each, larger ones by joins."""
-    sizes = cut(nodes.groupBy("net").agg(F.countDistinct("node").alias("n")))
+    nodes = cut(nodes.select("net", "node").distinct())  # written, as nodes may come from the edges themselves
+    sizes = cut(nodes.groupBy("net").agg(F.count("*").alias("n")))
     small, large = (sizes.filter(c).select("net") for c in (F.col("n") <= whole, F.col("n") > whole))
     of = lambda df, nets: df.join(nets, "net", "left_semi")
-    out = _apart(of(edges, small).select("net", "src", "dst", "w"), of(nodes, small).select("net", "node"))
-    return out if large.isEmpty() else out.union(leading(of(edges, large), of(nodes, large)))
+    out = _apart(of(edges, small).select("net", "src", "dst", "w"), of(nodes, small))
+    return out if large.isEmpty() else out.union(leading(of(edges, large), of(nodes, large), wanted))
 
 
 def second_share(edges: DataFrame, nodes: DataFrame, whole: int = WHOLE) -> DataFrame:
@@ -194,4 +195,4 @@ def second_share(edges: DataFrame, nodes: DataFrame, whole: int = WHOLE) -> Data
 
 def radius(edges: DataFrame, nodes: DataFrame, whole: int = WHOLE) -> DataFrame:
     """``net, radius``: the spectral radius of each network's symmetric matrix."""
-    return largest(edges, nodes, whole).select("net", F.col("first").alias("radius"))
+    return largest(edges, nodes, whole, 1).select("net", F.col("first").alias("radius"))

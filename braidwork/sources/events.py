@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidwork.operators.logs import positions
 from braidwork.session import table
 
 
 def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``run, step, value, model, seed, done``: a user's events in order; a purchase ends an episode."""
-    e = table(spark, sf_dir, "events").filter("user_id is not null")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").filter("user_id is not null").select("user_id", "ts", "event_id", "value", "event_type")
+    e = positions(e, "user_id", by=("ts", "event_id"))
     return e.select(
-        F.col("user_id").alias("run"), F.row_number().over(order).cast("long").alias("step"), F.col("value"), F.col("event_type").alias("model"), (F.col("user_id") % 5).cast("int").alias("seed"), (F.col("event_type") == "purchase").alias("done")
+        F.col("user_id").alias("run"), (F.col("pos") + 1).alias("step"), F.col("value"), F.col("event_type").alias("model"), (F.col("user_id") % 5).cast("int").alias("seed"), (F.col("event_type") == "purchase").alias("done")
     )
 
 
