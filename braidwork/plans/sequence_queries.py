@@ -134,17 +134,32 @@ def esn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("run").agg(F.count("*").alias("n"), F.round(F.avg((F.col("y") - predicted) * (F.col("y") - predicted)), 5).alias("mse"))
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    glob = f"{sf_dir}/events.parque[t]"  # a stream takes a single file only by a pattern
-    return stream.inputs(spark.readStream.schema(spark.read.parquet(path).schema).parquet(glob))
+#: Files, each a batch, into which a run's rows are dealt out of order.
+BATCHES = 3
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Users' events as a stream in batches that bring a run's rows in no order, and the stream's folder."""
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = stream.numbered(table(spark, sf_dir, "events")).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(BATCHES)))
+    rows.repartition(BATCHES, "batch").drop("batch").write.parquet(f"{path}/in")
+    read = spark.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return read, path
 
 
 def _through(spark: SparkSession, sf_dir: str, own: list, **how) -> DataFrame:
-    out = stream.run_once(stream.contexts(_stream(spark, sf_dir), own, **how), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    read, path = _stream(spark, sf_dir)
+    out = stream.run_once(stream.contexts(read, own, **how), path)
     return out.select("run", "step", "id", F.size("context").alias("units"), F.round(q.mean_of(F.col("context")), 6).alias("mean"))
 
 
+def stream_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of inputs, states and fresh starts of a reservoir that forgets at an episode's end."""
+    read, path = _stream(spark, sf_dir)
+    out = stream.tapped(stream.contexts(read, [stream.reservoir(7, 8, 3)], reset=True), path)
+    return out.select("run", "nth", "fresh", *[F.round(F.get("u", i), 6).alias(f"u{i}") for i in range(3)], F.round(F.get("context", 0), 6).alias("x0"))
+
+
 def reservoir_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _through(spark, sf_dir, [stream.reservoir(7, 8, 3)])
 
@@ -161,7 +176,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         delay_embed, delay_rank, choose_rank, rank_notes, energy_rank, episode_ids, episode_slice, label_islands, series_zscore, dft_magnitude, leaky_fold, one_hot, mask_columns,
-        reward_share, env_sets, esn_states, esn_predict, reservoir_stream, multi_reservoir, partly_observed,
+        reward_share, env_sets, esn_states, esn_predict, reservoir_stream, multi_reservoir, partly_observed, stream_tap,
     )
 }
 
@@ -222,6 +237,7 @@ ORACLES = {
     "reservoir_stream": f"WITH RECURSIVE {_folded(_EIGHT)} {_CONTEXT('x0')}",
     "multi_reservoir": f"WITH RECURSIVE {_folded(_SIX)} {_CONTEXT('list_concat(list_concat(list_concat(x0, x1), x2), u)')}",
     "partly_observed": f"WITH RECURSIVE {_folded(_EIGHT, True)} {_CONTEXT('x0[1:3]')}",
+    "stream_tap": f"WITH RECURSIVE {_folded(_EIGHT, True)} SELECT run, nth - 1 AS nth, coalesce(lag(done) OVER (PARTITION BY run ORDER BY nth), true) AS fresh, round(u[1], 6) AS u0, round(u[2], 6) AS u1, round(u[3], 6) AS u2, round(x0[1], 6) AS x0 FROM f WHERE nth > 0",
     "esn_predict": f"""WITH RECURSIVE {_folded(_EIGHT)}, tr AS MATERIALIZED (SELECT * FROM (SELECT run, x0 AS s, lead(u[1]) OVER (PARTITION BY run ORDER BY nth) AS y FROM f WHERE nth > 0) WHERE y IS NOT NULL), {_readout(8)}
 SELECT run, count(*) AS n, round(avg(pow(y - my - ({' + '.join(f'w[{i}] * (s[{i}] - m{i})' for i in range(1, 9))}), 2)), 5) AS mse FROM tr, sol, ro GROUP BY run""",
     "delay_embed": f"WITH {LOG} SELECT run, step, h0, h1, h2 FROM (SELECT run, step, value AS h0, lead(value, 1) OVER w AS h1, lead(value, 2) OVER w AS h2, lead(step, 2) OVER w AS z FROM lg WINDOW w AS (PARTITION BY run ORDER BY step)) WHERE z IS NOT NULL",

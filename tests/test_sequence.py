@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -22,19 +23,84 @@ def frame(spark, data):
     return spark.createDataFrame([(run, t, float(x)) for run, xs in data.items() for t, x in enumerate(xs)], "run long, step long, value double")
 
 
+def dealt(spark, path, batches=4):
+    """Events in files, each a batch, that bring a run's rows in no order and some of them twice."""
+    rows = stream.numbered(spark.read.parquet(f"{SMALL}/events.parquet")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(batches))).cache()
+    for b in range(batches):
+        part = rows.filter((F.col("b") == b) | (F.lit(b == batches - 1) & (F.col("nth") % 7 == 0))).drop("b")
+        part.orderBy(F.rand(b)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(rows.drop("b").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
 def test_stream_is_the_batch(spark, tmp_path):
-    """The same contexts from a stream in several batches as from one fold."""
+    """The same contexts from a stream in shuffled batches as from one fold, each once."""
     own = [stream.reservoir(7 + i, 5, 3) for i in range(2)]
-    events = spark.read.parquet(f"{SMALL}/events.parquet").orderBy("ts", "event_id")
-    cuts = [r[0] for r in events.selectExpr("percentile(unix_micros(cast(ts as timestamp)), array(0.3, 0.6))").collect()][0]
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    for i, part in enumerate((micros <= cuts[0], (micros > cuts[0]) & (micros <= cuts[1]), micros > cuts[1])):
-        events.filter(part).coalesce(1).write.mode("append").option("compression", "none").parquet(str(tmp_path / "in"))
-    read = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {(r["run"], r["step"]): r["context"] for r in stream.run_once(stream.contexts(stream.inputs(read), own), str(tmp_path / "s")).collect()}
+    out = stream.run_once(stream.contexts(dealt(spark, str(tmp_path)), own), str(tmp_path / "s")).collect()
+    got = {(r["run"], r["step"]): r["context"] for r in out}
     parts = [q.states(_inputs(spark, SMALL), r).collect() for r in own]
     want = {(r["run"], r["step"]): [*r["state"], *other["state"]] for r, other in zip(sorted(parts[0]), sorted(parts[1]), strict=True)}
-    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert len(out) == len(want) and got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_tap_survives_a_failure(spark, tmp_path):
+    """A batch that fails after it was written comes again after a restart and leaves its rows once; states go on."""
+    path, own = str(tmp_path), [stream.reservoir(3, 4, 3)]
+    read, record, failed = dealt(spark, path), stream.recorder(f"{path}/tap"), []
+
+    def once(batch, number):
+        record(batch, number)
+        if number == 1 and not failed:
+            failed.append(batch.count())
+            raise RuntimeError("lost after writing")
+
+    with pytest.raises(Exception, match="lost after writing"):
+        stream.tapped(stream.contexts(read, own, reset=True), path, once)
+    got = stream.tapped(stream.contexts(read, own, reset=True), path, once).collect()
+    assert failed
+    rows = stream.numbered(spark.read.parquet(f"{SMALL}/events.parquet")).orderBy("run", "nth").collect()
+    x, done, want = {}, {}, {}
+    for r in rows:
+        start = np.zeros(4) if done.get(r["run"], True) else x[r["run"]]
+        x[r["run"]] = own[0].update(start, np.array(r["u"]))
+        want[r["run"], r["nth"]] = (done.get(r["run"], True), r["u"], x[r["run"]])
+        done[r["run"]] = r["done"]
+    assert len(got) == len(want)
+    for r in got:
+        fresh, u, state = want[r["run"], r["nth"]]
+        assert r["fresh"] == fresh and r["u"] == u and np.allclose(r["context"], state)
+
+
+def test_overdue_rows_pass_in_order(spark):
+    """Where a row never comes, those behind it are let through by the timer, in order."""
+
+    class Held:
+        def __init__(self):
+            self.value = None
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value or []
+        put = update = lambda self, v: setattr(self, "value", v)
+        clear = lambda self: setattr(self, "value", None)
+
+    class Handle:
+        timers = []
+        getValueState = getListState = lambda self, *a: Held()
+        listTimers = lambda self: self.timers
+        deleteTimer = lambda self, t: self.timers.remove(t)
+        registerTimer = lambda self, t: self.timers.append(t)
+
+    class Clock:
+        getCurrentProcessingTimeInMs = lambda self: 1000
+
+    own = stream.Ordered([stream.reservoir(1, 3, 1)], None, False, False, 50)
+    own.init(Handle())
+    rows = pd.DataFrame([(3, 3, 3, [0.3], False), (0, 0, 0, [0.1], False), (2, 2, 2, [0.2], False)], columns=["nth", "step", "id", "u", "done"])
+    first = pd.concat(own.handleInputRows((1,), iter([rows]), Clock()))
+    assert first["nth"].tolist() == [0] and own.handle.timers == [1050]
+    late = pd.concat(own.handleExpiredTimer((1,), Clock(), None))
+    assert late["nth"].tolist() == [2, 3] and own.handle.timers == [] and own.early.value is None
+    want = own.reservoirs[0].fold(np.array([[0.1], [0.2], [0.3]]))
+    assert np.allclose(late["context"].tolist(), want[1:])
 
 
 def test_leaky_fold_is_numpy(spark):
