@@ -20,6 +20,8 @@ ALPHAS = (float("inf"), 100.0, 30.0, 10.0, 3.0)
 SIGMA = 0.1
 #: Block means of the four canonical architectures (hi, lo, mid).
 PRESETS = {"assortative": (0.9, 0.1, 0.5), "disassortative": (0.9, 0.1, 0.5), "core_periphery": (0.9, 0.1, 0.5), "mixed": (0.9, 0.1, 0.5)}
+#: Their nodes, communities and the core's share of nodes.
+PRESET_SIZES = {"assortative": (68, 4, 0.0), "disassortative": (68, 4, 0.0), "core_periphery": (68, 2, 0.2), "mixed": (68, 4, 0.0)}
 
 
 def params_driven(designs: DataFrame) -> DataFrame:
@@ -69,6 +71,16 @@ def preset_omega(kind: Column, r: Column, s: Column, key: Column) -> Column:
     return omega(kind, r, s, value(0), value(1), value(2), key)
 
 
+def preset_nodes(kinds: DataFrame) -> DataFrame:
+    """``kind, node, community`` of the canonical architectures, from ``kind``."""
+    value = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in PRESET_SIZES.items() for x in (k, v[i])]), F.col("kind"))
+    own = kinds.select("kind", value(0).alias("n"), value(1).alias("k"), value(2).alias("core_fraction")).withColumn("node", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    node, n, k = F.col("node"), F.col("n"), F.col("k")
+    core = F.greatest(F.lit(1), F.rint(n * F.col("core_fraction")).cast("int"))
+    community = F.when(F.col("core_fraction") > 0, core_community(node, n, k, core)).otherwise(equal_community(node, n, k))
+    return own.select("kind", "node", community.cast("int").alias("community"))
+
+
 def density(rho: Column, k: Column, p0: Column, core: Column, f: Column, r: Column, s: Column) -> Column:
     """Edge probability of a block; the mean over blocks stays p0 before clipping to [0, 1]."""
     p_b = p0 * k / (rho + k - 1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,18 +99,42 @@ def dft_magnitude(series: DataFrame) -> DataFrame:
 
 
 def leaky_fold(series: DataFrame, leak: float, w_in: float, w: float) -> DataFrame:
-    """``run, steps, state``: the last state of one unit, x <- (1 - a) x + a tanh(w_in u + w x) from 0, inside the JVM."""
-    inputs = F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda s: s["value"])
-    step = lambda x, u: (1 - F.lit(leak)) * x + F.lit(leak) * F.tanh(F.lit(w_in) * u + F.lit(w) * x)
-    return series.groupBy("run").agg(inputs.alias("u")).select("run", F.size("u").alias("steps"), F.aggregate("u", F.lit(0.0), step).alias("state"))
+    """``run, steps, state``: the last state of one unit, x <- (1 - a) x + a tanh(w_in u + w x) from 0.
+
+    A run is folded in order by the task that its rows are dealt to, from batch to batch, so its length bounds no memory.
+    """
+    kind = series.schema["run"].dataType.simpleString()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, n, x = None, 0, 0.0
+        for pdf in batches:
+            out = []
+            for own, u in zip(pdf["run"].tolist(), pdf["value"].tolist(), strict=True):
+                if own != run or not n:
+                    if n:
+                        out.append((run, n, x))
+                    run, n, x = own, 0, 0.0
+                n, x = n + 1, (1 - leak) * x + leak * math.tanh(w_in * u + w * x)
+            yield pd.DataFrame(out, columns=["run", "steps", "state"])
+        if n:
+            yield pd.DataFrame({"run": [run], "steps": [n], "state": [x]})
+
+    rows = series.select("run", "step", "value").repartition("run").sortWithinPartitions("run", "step").select("run", "value")
+    return rows.mapInPandas(fold, f"run {kind}, steps int, state double")
 
 
 class Leaky:
-    """The state update of a reservoir; ``update`` can be overridden by variants."""
+    """The state update of a reservoir; variants override ``update``, and ``initial`` for other weights."""
 
     def __init__(self, w: np.ndarray, w_in: np.ndarray, leak: float):
         self.w, self.w_in, self.leak = w, w_in, leak
 
+    @staticmethod
+    def initial(rng: np.random.Generator, units: int, inputs: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights between units and from inputs, before their radius is set: all normal, all there."""
+        w_in = rng.standard_normal((units, inputs))
+        return rng.standard_normal((units, units)) / np.sqrt(units), w_in
+
     def update(self, x: np.ndarray, u: np.ndarray) -> np.ndarray:
         return (1 - self.leak) * x + self.leak * np.tanh(self.w_in @ u + self.w @ x)
 
@@ -123,19 +150,26 @@ class Leaky:
 def states(series: DataFrame, reservoir: Leaky, inputs: str = "u") -> DataFrame:
     """``run, step, id, state`` for inputs that are arrays; parallel over runs, sequential within one, no wash-out.
 
-    Rows are taken by step, then id. An input of another width than the reservoir's is an error.
+    Rows are taken by step, then id, from batch to batch, so a run's length bounds no memory. An input of another width
+    than the reservoir's is an error.
     """
     kind, step = (series.schema[c].dataType.simpleString() for c in ("run", "step"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["step", "id"])
-        widths = set(map(len, pdf[inputs])) | {reservoir.w_in.shape[1]}
-        if len(widths) > 1:
-            raise ValueError(f"inputs of different widths: {sorted(widths)}")
-        x = reservoir.fold(np.stack([np.asarray(u, float) for u in pdf[inputs]]))
-        return pd.DataFrame({"run": pdf["run"], "step": pdf["step"], "id": pdf["id"], "state": list(x)})
-
-    return series.select("run", "step", "id", inputs).groupBy("run").applyInPandas(fold, f"run {kind}, step {step}, id long, state array<double>")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, x = None, None
+        for pdf in batches:
+            widths = set(map(len, pdf[inputs])) | {reservoir.w_in.shape[1]}
+            if len(widths) > 1:
+                raise ValueError(f"inputs of different widths: {sorted(widths)}")
+            out = []
+            for own, part in pdf.groupby("run", sort=False):
+                found = reservoir.fold(np.stack([np.asarray(u, float) for u in part[inputs]]), x if own == run else None)
+                run, x = own, found[-1]
+                out.append(part[["run", "step", "id"]].assign(state=list(found)))
+            yield pd.concat(out)
+
+    rows = series.select("run", "step", "id", inputs).repartition("run").sortWithinPartitions("run", "step", "id")
+    return rows.mapInPandas(fold, f"run {kind}, step {step}, id long, state array<double>")
 
 
 def activations(state: DataFrame, steps: int = 100, units: int = 5) -> DataFrame:

@@ -43,16 +43,57 @@ def distance(a: Column, b: Column) -> Column:
 PAIR_ROWS = 1000
 
 
-def pairwise(df: DataFrame, id_col: str, vec_col: str = "v", rows: int = PAIR_ROWS) -> DataFrame:
-    """``i, j, dist`` of all pairs i < j: the operation is quadratic, so rows meet in blocks of about ``rows`` by ``rows``."""
-    own = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+def cells(df: DataFrame, id_col: str, vec_col: str, rows: int, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a triangle of cells: a row of block b meets those of the blocks from b on."""
+    own = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), *keep)
     blocks = max(2, -(-own.count() // rows))
     own = own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    x = own.withColumn("row", F.col("b")).withColumn("col", each).alias("x")
-    y = own.withColumn("col", F.col("b")).withColumn("row", each).alias("y")
-    met = x.join(y, (F.col("x.row") == F.col("y.row")) & (F.col("x.col") == F.col("y.col")) & (F.col("x.id") < F.col("y.id")))
-    return met.select(F.col("x.id").alias("i"), F.col("y.id").alias("j"), distance(F.col("x.v"), F.col("y.v")).alias("dist"))
+    x = own.withColumn("row", F.col("b")).withColumn("col", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1).cast("long"))))
+    y = own.withColumn("col", F.col("b")).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))))
+    y = y.select("row", "col", *[F.col(c).alias(c) for c in ("id", "v", *keep)])
+    return x.select("row", "col", "id", "v", *keep), y.toDF(*[f"{c}_" for c in y.columns])
+
+
+def _cell(x: pd.DataFrame, y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of a cell and their distances; in a cell of one block each pair comes once."""
+    a, b = (np.stack([np.asarray(v, float) for v in side]) for side in (x["v"], y["v_"]))
+    square = np.zeros((len(a), len(b)))
+    for k in range(a.shape[1]):
+        square += np.subtract.outer(a[:, k], b[:, k]) ** 2
+    same = x["row"].iloc[0] == x["col"].iloc[0]
+    i, j = np.nonzero(x["id"].to_numpy()[:, None] < y["id_"].to_numpy()[None, :]) if same else np.indices(square.shape).reshape(2, -1)
+    return i, j, np.sqrt(square[i, j])
+
+
+def pairwise(df: DataFrame, id_col: str, vec_col: str = "v", rows: int = PAIR_ROWS) -> DataFrame:
+    """``i, j, dist`` of all pairs i < j of vectors of one length: quadratic, so blocks of about ``rows`` rows meet."""
+    x, y = cells(df, id_col, vec_col, rows)
+
+    def met(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"i": [], "j": [], "dist": []})
+        i, j, d = _cell(x, y)
+        p, q = x["id"].to_numpy()[i], y["id_"].to_numpy()[j]
+        return pd.DataFrame({"i": np.where(p < q, p, q), "j": np.where(p < q, q, p), "dist": d})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return x.groupBy("row", "col").cogroup(y.groupBy("row_", "col_")).applyInPandas(met, f"i {kind}, j {kind}, dist double")
+
+
+def label_distances(df: DataFrame, id_col: str, top: str, vec_col: str = "v", rows: int = PAIR_ROWS) -> DataFrame:
+    """``pair, n, mean_dist``: pairs of both ends in the top group, in the bottom group, or one in each, summed cell by cell."""
+    x, y = cells(df, id_col, vec_col, rows, top)
+    names = np.array(["Bottom-Bottom", "Top-Bottom", "Top-Top"])
+
+    def met(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"pair": [], "n": [], "total": []})
+        i, j, d = _cell(x, y)
+        kind = x[top].to_numpy(int)[i] + y[f"{top}_"].to_numpy(int)[j]
+        return pd.DataFrame({"pair": names, "n": np.bincount(kind, minlength=3), "total": np.bincount(kind, d, 3)})
+
+    sums = x.groupBy("row", "col").cogroup(y.groupBy("row_", "col_")).applyInPandas(met, "pair string, n long, total double")
+    return sums.groupBy("pair").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean_dist")).filter("n > 0")
 
 
 def pair_label(a: Column, b: Column) -> Column:
@@ -171,12 +212,12 @@ def maxmin(df: DataFrame, k: int, group: str, id_col: str, vec_col: str = "v") -
 def ridge(df: DataFrame, features: list[str], target: str, alpha: float = 1e-6, group: str | None = None) -> DataFrame:
     """``feature, weight`` rows (``intercept`` unpenalised) by group, from sufficient statistics.
 
-    One aggregate gives all sums; the small systems are solved where the groups are.
+    One aggregate gives means and covariances about them; the small systems are solved where the groups are.
     """
     names = [*features, target]
     keys = [group] if group else []
-    sums = [F.count("*").cast("double").alias("n")] + [F.sum(c).alias(f"s_{i}") for i, c in enumerate(names)]
-    sums += [F.sum(F.col(a) * F.col(b)).alias(f"p_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
+    sums = [F.count("*").cast("double").alias("n")] + [F.avg(c).alias(f"s_{i}") for i, c in enumerate(names)]
+    sums += [F.covar_pop(a, b).alias(f"p_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
     stats = (df.groupBy(*keys) if keys else df).agg(*sums)
     d = len(features)
 
@@ -184,8 +225,8 @@ def ridge(df: DataFrame, features: list[str], target: str, alpha: float = 1e-6,
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
-                mean = np.array([r[f"s_{i}"] / r["n"] for i in range(d + 1)])
-                c = np.array([[r[f"p_{min(i, j)}_{max(i, j)}"] - r["n"] * mean[i] * mean[j] for j in range(d + 1)] for i in range(d + 1)])
+                mean = np.array([r[f"s_{i}"] for i in range(d + 1)])
+                c = r["n"] * np.array([[r[f"p_{min(i, j)}_{max(i, j)}"] for j in range(d + 1)] for i in range(d + 1)])
                 w = np.linalg.solve(c[:d, :d] + alpha * np.eye(d), c[:d, d])
                 rows += [{**{k: r[k] for k in keys}, "feature": f, "weight": float(x)} for f, x in zip([*features, "intercept"], [*w, mean[d] - w @ mean[:d]], strict=True)]
             yield pd.DataFrame(rows)

@@ -32,6 +32,14 @@ def preset_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("id", "r", "s", F.round(d.preset_omega(kind, F.col("r"), F.col("s"), F.col("id")), 6).alias("mu"))
 
 
+def preset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the communities of the canonical networks that the parts' architectures stand for, and their parts."""
+    kind = F.when(F.col("stratum") == "null", "assortative").otherwise(F.col("stratum"))
+    kinds = part_designs(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("parts"))
+    sizes = d.preset_nodes(kinds).groupBy("kind", "community").agg(F.count("*").alias("n"))
+    return sizes.join(kinds, "kind")
+
+
 def omega_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = omega_grid(spark, sf_dir).withColumnRenamed("id", "net")
     return graph.motifs(blocks, "mu").groupBy("motif").agg(F.count("*").alias("pairs"))
@@ -100,7 +108,7 @@ def mackey_glass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (params_variant_a, params_variant_b, omega_grid, preset_grid, omega_motifs, density_grid, equal_sizes, core_assign, apportion, search_space, sample_designs, sample_networks, network_descriptors, ou_noise, mackey_glass)
+    for f in (params_variant_a, params_variant_b, omega_grid, preset_grid, preset_sizes, omega_motifs, density_grid, equal_sizes, core_assign, apportion, search_space, sample_designs, sample_networks, network_descriptors, ou_noise, mackey_glass)
 }
 
 _D = """dg AS (SELECT p_partkey AS id, p_size AS size, ['assortative', 'disassortative', 'core_periphery', 'mixed', 'null'][p_partkey % 5 + 1] AS stratum, [2, 3, 4, 6, 8, 12, 16][p_partkey % 7 + 1] AS K,
@@ -121,6 +129,9 @@ ORACLES = {
 SELECT id, CASE WHEN core THEN 'core_periphery' WHEN stratum = 'mixed' THEN 'mixed' ELSE 'assortative' END AS motif, CAST(K AS INTEGER) AS K, round(hi, 6) AS hi, round(lo, 6) AS lo, CASE WHEN core THEN round(lo + f * (hi - lo), 6) END AS mid,
   round(sb, 6) AS s_between, round(sr * sb, 6) AS s_within, CASE WHEN NOT core AND stratum <> 'null' AND id % 2 <> 0 THEN 30.0::DOUBLE END AS size_alpha, CASE WHEN core THEN greatest(1, CAST(round_even(200 * cf, 0) AS INTEGER)) END AS n_core, seed FROM x""",
     "omega_grid": f"WITH {_OM} SELECT * FROM om",
+    "preset_sizes": f"""WITH {_D}, kp AS (SELECT CASE stratum WHEN 'null' THEN 'assortative' ELSE stratum END AS kind, count(*) AS parts FROM ds GROUP BY 1),
+sz AS (SELECT 'core_periphery' AS kind, 0 AS community, 14 AS n UNION ALL SELECT 'core_periphery', 1, 54 UNION ALL SELECT k, c, 17 FROM (VALUES ('assortative'), ('disassortative'), ('mixed')) v(k), (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS c))
+SELECT kind, community, CAST(n AS BIGINT) AS n, parts FROM sz JOIN kp USING (kind)""",
     "preset_grid": f"""WITH {_G} SELECT id, CAST(r AS INTEGER) AS r, CAST(s AS INTEGER) AS s, round(CASE WHEN stratum IN ('assortative', 'null') THEN CASE WHEN r = s THEN 0.9 ELSE 0.1 END
   WHEN stratum = 'disassortative' THEN CASE WHEN r = s THEN 0.1 ELSE 0.9 END WHEN stratum = 'core_periphery' THEN CASE WHEN r = 0 AND s = 0 THEN 0.9 WHEN r = 0 OR s = 0 THEN 0.5 ELSE 0.1 END
   ELSE 0.1 + (0.9 - 0.1) * ({_U('r', 's')} + {_U('s', 'r')}) / 2 END::DOUBLE, 6) AS mu FROM gr""",

@@ -49,6 +49,12 @@ def graph_lambda_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(g.lambda_ratio(g.centred(trade_edges(spark, sf_dir)), nations(spark, sf_dir)), "lambda_ratio")
 
 
+def display_with_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade edges for display together with those from the regions as input nodes -1, -2, ..., one to each of their nations."""
+    inputs = nations(spark, sf_dir).select("net", F.col("community").alias("input"), F.col("node").alias("dst"), F.lit(1.0).alias("w"))
+    return _round(g.with_inputs(g.above_mean(trade_edges(spark, sf_dir)).filter("src < dst"), inputs), "w")
+
+
 def supply_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spectral radius of the network of suppliers and parts, whose edges are the quantities between them, by joins."""
     edges = supply_edges(spark, sf_dir)
@@ -97,7 +103,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_modularity, graph_participation, graph_clustering, graph_strength_cv, graph_frac_negative, graph_efficiency,
-        graph_betweenness_cv, graph_lambda_ratio, supply_radius, graph_descriptors, block_mean, block_sd, block_density, block_motifs, density_motifs, core_nodes, display_edges,
+        graph_betweenness_cv, graph_lambda_ratio, display_with_inputs, supply_radius, graph_descriptors, block_mean, block_sd, block_density, block_motifs, density_motifs, core_nodes, display_edges,
     )
 }
 
@@ -163,6 +169,7 @@ SELECT round(modularity, 6) + 0.0 AS modularity, round(participation, 6) AS part
 FROM mo, pa, cl, ef, cs, cb, lam, fn"""
 
 ORACLES = {
+    "display_with_inputs": f"WITH {GRAPH} SELECT src, dst, round(w, 6) + 0.0 AS w FROM heavy WHERE src < dst UNION ALL SELECT -1 - z, node, 1.0 FROM node",
     "supply_radius": """WITH RECURSIVE e AS MATERIALIZED (SELECT l_suppkey AS s, l_partkey AS p, sum(l_quantity) AS w FROM lineitem GROUP BY ALL),
 v AS (SELECT 0 AS k, p, 1.0::DOUBLE AS x FROM (SELECT DISTINCT p FROM e)
 UNION ALL SELECT any_value(y.k) + 1, e.p, sum(e.w * y.y) / 1e6 FROM e JOIN (SELECT any_value(v.k) AS k, e.s, sum(e.w * v.x) AS y FROM v JOIN e USING (p) WHERE v.k < 40 GROUP BY e.s) y USING (s) GROUP BY e.p)

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,31 +35,20 @@ def with_default(df: DataFrame, column: str, value: object) -> DataFrame:
     return df if column in df.columns else df.withColumn(column, F.lit(value))
 
 
-def read_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """``task, stratum, seed, part, t, x`` from array files named {task}_{stratum}_{seed}_{Ot|Ct}.npy."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
-    name = F.regexp_extract("path", r"([^/]+)\.npy$", 1)
-    files = files.select(F.regexp_extract(name, r"^([^_]+)_", 1).alias("task"), F.regexp_extract(name, r"^[^_]+_(.+)_\d+_[OC]t$", 1).alias("stratum"), F.regexp_extract(name, r"_(\d+)_[OC]t$", 1).cast("long").alias("seed"), F.regexp_extract(name, r"_([OC]t)$", 1).alias("part"), "content")
-
-    def rows(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                x = np.load(io.BytesIO(r.content), allow_pickle=False)
-                x = x.reshape(len(x), -1).astype(float)
-                yield pd.DataFrame({"task": r.task, "stratum": r.stratum, "seed": r.seed, "part": r.part, "t": np.arange(len(x), dtype=np.int32), "x": list(x)})
-
-    return files.mapInPandas(rows, "task string, stratum string, seed long, part string, t int, x array<double>")
-
-
 def read_scalars(spark: SparkSession, path: str, tag: str = "rollout/ep_rew_mean") -> DataFrame:
     """``run, step, value`` of one tag from Parquet logs ``run, step, tag, value``."""
     return spark.read.parquet(path).filter(F.col("tag") == tag).select("run", "step", "value")
 
 
-def discovered(df: DataFrame, pattern: str = r"/([^/]+)_(\d+)/[^/]*$") -> DataFrame:
-    """``df`` read from files, with model and seed from the folder's name."""
-    path = F.col("_metadata.file_path")
-    return df.select("*", F.regexp_extract(path, pattern, 1).alias("model"), F.regexp_extract(path, pattern, 2).cast("int").alias("seed"))
+def discovered(spark: SparkSession, path: str, pattern: str = r"/(?:[^/=]+=)?([^/=]+)_(\d+)/[^/]*$") -> DataFrame:
+    """Logs under ``path``, however deep, with their file, and model and seed from its folder's name ``{model}_{seed}``.
+
+    Folders of another name are left out.
+    """
+    file = F.col("_metadata.file_path")
+    df = spark.read.option("recursiveFileLookup", True).parquet(path)
+    seen = df.select("*", file.alias("path"), F.regexp_extract(file, pattern, 1).alias("model"), F.regexp_extract(file, pattern, 2).alias("seed"))
+    return seen.filter("seed <> ''").withColumn("seed", F.col("seed").cast("int"))
 
 
 def with_file_index(df: DataFrame, name: str = "idx") -> DataFrame:

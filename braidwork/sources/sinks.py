@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.session import cut
+
 
 def write_distances(dist: DataFrame, path: str, **run: object) -> None:
     """``i, j, component, dist`` in partitions by component, and one row of what the run was (rank, delays, ...)."""
@@ -26,3 +29,27 @@ def write_report(ranked: DataFrame, path: str) -> None:
 def write_new(df: DataFrame, path: str) -> None:
     """Written unless it is there already."""
     df.write.mode("ignore").parquet(path)
+
+
+def write_missing(df: DataFrame, path: str, *keys: str) -> DataFrame:
+    """The keys of ``df`` that aren't under ``path`` yet are written, each as a partition, and returned; others stay as they are.
+
+    Only the new keys' partitions are touched, so a run that failed may be repeated.
+    """
+    spark = df.sparkSession
+    try:
+        there = spark.read.parquet(path).select(*keys).distinct()
+        new = df.join(there, [*keys], "left_anti")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        new = df
+    asked = cut(new.select(*keys).distinct())
+    df.join(asked, [*keys], "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    return asked
+
+
+def write_logs(log: DataFrame, path: str) -> None:
+    """``model, seed`` and further columns in a folder for each model and seed."""
+    folder = F.concat_ws("_", "model", F.col("seed").cast("string"))
+    log.withColumn("folder", folder).drop("model", "seed").repartition("folder").write.partitionBy("folder").parquet(path)

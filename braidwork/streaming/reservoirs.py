@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from braidwork.operators.logs import positions
-from braidwork.operators.sequence import Leaky
+from braidwork.operators.sequence import Leaky, fed
 
 
-def reservoir(seed: int, units: int, inputs: int, leak: float = 0.3, radius: float = 0.9) -> Leaky:
-    """A dense random reservoir with its spectral radius set."""
-    rng = np.random.default_rng(seed)
-    w_in, w = rng.standard_normal((units, inputs)), rng.standard_normal((units, units)) / np.sqrt(units)
-    return Leaky(w * (radius / np.abs(np.linalg.eigvals(w)).max()), w_in, leak)
+def reservoir(seed: int, units: int, inputs: int, leak: float = 0.3, radius: float = 0.9, kind: type[Leaky] = Leaky) -> Leaky:
+    """A reservoir of a kind, which says how weights begin, with its spectral radius set."""
+    w, w_in = kind.initial(np.random.default_rng(seed), units, inputs)
+    return kind(w * (radius / np.abs(np.linalg.eigvals(w)).max()), w_in, leak)
 
 
 class Ordered(StatefulProcessor):
@@ -104,7 +103,7 @@ def inputs(events: DataFrame) -> DataFrame:
     """
     reward = (F.col("event_type") == "purchase").cast("double")
     step = F.unix_micros(F.col("ts").cast("timestamp"))
-    return events.filter("user_id is not null").select(F.col("user_id").alias("run"), step.alias("step"), F.col("event_id").alias("id"), F.array(F.log1p("value"), F.lit(0.0), reward).alias("u"), (F.col("event_type") == "purchase").alias("done"))
+    return events.filter("user_id is not null").select(F.col("user_id").alias("run"), step.alias("step"), F.col("event_id").alias("id"), fed(F.array(F.log1p("value")), F.array(F.lit(0.0)), reward).alias("u"), (F.col("event_type") == "purchase").alias("done"))
 
 
 def numbered(events: DataFrame) -> DataFrame:

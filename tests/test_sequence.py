@@ -200,9 +200,6 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.csv").write_text("stratum,K,p0,centre_u,sigma_ratio,rho,size_alpha,f,core_fraction,seed,contrast_u,modularity,participation,clustering,efficiency,cv_strength,cv_betweenness,lambda_ratio,frac_negative\n" + line)
     row = files.read_designs(spark, str(tmp_path / "none.csv"), str(tmp_path / "d.csv")).first()
     assert row["stratum"] == "null" and row["size_alpha"] == float("inf") and row["frac_negative"] == 0.8
-    np.save(tmp_path / "Hopper-v4_core_periphery_12_Ct.npy", np.arange(6.0).reshape(3, 2))
-    got = files.read_arrays(spark, str(tmp_path)).orderBy("t").collect()
-    assert [(r["task"], r["stratum"], r["seed"], r["part"], r["x"]) for r in got][2] == ("Hopper-v4", "core_periphery", 12, "Ct", [4.0, 5.0])
     dist = spark.createDataFrame([(0, 1, "state", 0.5)], "i int, j int, component string, dist double")
     sinks.write_distances(dist, str(tmp_path / "out"), rank=3, n_delays=10)
     assert spark.read.parquet(str(tmp_path / "out/distances")).first()["component"] == "state"
@@ -281,10 +278,17 @@ def test_moments_and_projections(spark):
 
 def test_guards_and_maps(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, 5)], "k int, x int")
-    with pytest.raises(ValueError, match="missing"):
-        dynamics.guarded(a, b, "k")
-    with pytest.raises(ValueError, match="needed"):
-        dynamics.guarded(a.filter("k = 1"), b, "k", least=20)
+    with pytest.raises(Exception, match="missing: 1, such as 2"):
+        dynamics.guarded(a, b, "k").collect()
+    with pytest.raises(Exception, match="missing: 2"):
+        dynamics.guarded(a, b.limit(0), "k").collect()
+    with pytest.raises(Exception, match="1 are there, 20 are needed"):
+        dynamics.guarded(a.filter("k = 1"), b, "k", least=20).collect()
+    assert [tuple(r) for r in dynamics.guarded(a.filter("k = 1"), b, "k").collect()] == [(1, 5)]
+    asked = spark.createDataFrame([("x", 1), ("x", 2), ("y", 1), ("z", 1), ("z", 3)], "task string, k int")
+    made = spark.createDataFrame([("x", 1, 0), ("x", 1, 1), ("y", 1, 2), ("z", 1, 3), ("z", 3, 4)], "task string, k int, t int")
+    assert sorted(map(tuple, dynamics.whole_tasks(asked, made, "task", "k").collect())) == [("y", 1, 2), ("z", 1, 3), ("z", 3, 4)]
+    assert {r["task"] for r in dynamics.whole_tasks(asked, made, "task", "k", least=2).collect()} == {"z"}
     rng = np.random.default_rng(0)
     amap, bmap, rows = np.array([[0.5, 0.2], [-0.1, 0.7]]), np.array([[1.0, -0.5]]), []
     for run in (1, 2):
@@ -296,4 +300,4 @@ def test_guards_and_maps(spark):
     maps = dynamics.fitted(spark.createDataFrame(rows, "run long, step long, state array<double>, u array<double>"), np.eye(2), 1e-9)
     for r in maps.collect():
         assert np.allclose(r["state_map"], amap.ravel(), atol=1e-5) and np.allclose(r["control_map"], bmap.ravel(), atol=1e-5)
-    assert {(r["component"], round(r["dist"], 4)) for r in dynamics.dynamical_distances(maps).collect()} == {("joint", 0.0), ("state", 0.0), ("control", 0.0)}
+    assert {(r["component"], round(r["dist"], 4)) for r in dynamics.dynamical_distances(maps, 2).collect()} == {("joint", 0.0), ("state", 0.0), ("control", 0.0)}
