@@ -115,6 +115,17 @@ def apportion(shares: DataFrame, total: str, group: str, key: str, share: str =
     return out.select(group, key, (1 + F.col("whole") + F.when(F.col("at") <= F.col("short"), 1).otherwise(0)).cast("long").alias("n"))
 
 
+def drawn_sizes(designs: DataFrame, nodes: int) -> DataFrame:
+    """``id, community, n``: sizes by a symmetric Dirichlet draw, at least one node a community; size_alpha is a finite whole number.
+
+    A gamma number of a whole shape is a sum of exponential ones, each drawn from a digest of design, community and place.
+    """
+    own = designs.select("id", "size_alpha", F.explode(F.sequence(F.lit(0), F.col("K") - 1)).alias("community"))
+    parts = F.transform(F.sequence(F.lit(1), F.col("size_alpha").cast("int")), lambda i: -F.log(1 - draw(F.col("id"), F.col("community"), i)))
+    shares = own.select("id", "community", F.lit(nodes).alias("total"), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("share"))
+    return apportion(shares, "total", "id", "community")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, for small rows that each take long."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, "id")

@@ -182,8 +182,8 @@ def largest(edges: DataFrame, nodes: DataFrame, whole: int = WHOLE, wanted: int
     nodes = cut(nodes.select("net", "node").distinct())  # written, as nodes may come from the edges themselves
     sizes = cut(nodes.groupBy("net").agg(F.count("*").alias("n")))
     small, large = (sizes.filter(c).select("net") for c in (F.col("n") <= whole, F.col("n") > whole))
-    of = lambda df, nets: df.join(nets, "net", "left_semi")
-    out = _apart(of(edges, small).select("net", "src", "dst", "w"), of(nodes, small))
+    of = lambda df, nets: cut(df.join(nets, "net", "left_semi"))  # noqa: E731  written, as both come from the same rows
+    out = _apart(of(edges.select("net", "src", "dst", "w"), small), of(nodes, small))
     return out if large.isEmpty() else out.union(leading(of(edges, large), of(nodes, large), wanted))
 
 

@@ -60,6 +60,11 @@ def equal_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("id", "community").agg(F.count("*").alias("n"))
 
 
+def dirichlet_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the communities of the parts' networks whose concentration is finite."""
+    return d.drawn_sizes(part_designs(spark, sf_dir).filter(F.col("size_alpha") < float("inf")), 50)
+
+
 def core_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     core = d.n_core(F.lit(50), F.col("core_fraction"))
     own = _nodes(spark, sf_dir, 50).filter("stratum = 'core_periphery'").select("id", d.core_community(F.col("node"), F.lit(50), F.col("K"), core).cast("int").alias("community"))
@@ -108,7 +113,7 @@ def mackey_glass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (params_variant_a, params_variant_b, omega_grid, preset_grid, preset_sizes, omega_motifs, density_grid, equal_sizes, core_assign, apportion, search_space, sample_designs, sample_networks, network_descriptors, ou_noise, mackey_glass)
+    for f in (params_variant_a, params_variant_b, omega_grid, preset_grid, preset_sizes, omega_motifs, density_grid, equal_sizes, dirichlet_sizes, core_assign, apportion, search_space, sample_designs, sample_networks, network_descriptors, ou_noise, mackey_glass)
 }
 
 _D = """dg AS (SELECT p_partkey AS id, p_size AS size, ['assortative', 'disassortative', 'core_periphery', 'mixed', 'null'][p_partkey % 5 + 1] AS stratum, [2, 3, 4, 6, 8, 12, 16][p_partkey % 7 + 1] AS K,
@@ -140,6 +145,10 @@ FROM om x JOIN om a ON a.id = x.id AND a.r = x.r AND a.s = x.r JOIN om b ON b.id
     "density_grid": f"""WITH {_G}, x AS (SELECT *, p0 * K / (rho + K - 1) AS pb FROM gr)
 SELECT id, CAST(r AS INTEGER) AS r, CAST(s AS INTEGER) AS s, round(least(greatest(CASE WHEN stratum = 'core_periphery' THEN CASE WHEN r = 0 AND s = 0 THEN rho * pb WHEN r = 0 OR s = 0 THEN pb + f * (rho * pb - pb) ELSE pb END WHEN r = s THEN rho * pb ELSE pb END, 0.0), 1.0), 6) AS p FROM x""",
     "equal_sizes": f"WITH {_D}, b AS (SELECT id, K, unnest(range(0, K)) AS j FROM ds) SELECT id, CAST(j AS INTEGER) AS community, CAST(floor((j + 1) * 50 / K) - floor(j * 50 / K) AS BIGINT) AS n FROM b",
+    "dirichlet_sizes": f"""WITH {_D}, ga AS (SELECT id, c, sum(-ln(1 - {_U('c', 'i')})) AS share FROM (SELECT id, K, unnest(range(0, 16)) AS c FROM ds WHERE stratum <> 'null' AND id % 2 = 1), (SELECT unnest(range(1, 31)) AS i) WHERE c < K GROUP BY id, c),
+x AS (SELECT *, share / sum(share) OVER w * (50 - count(*) OVER w) AS exact, 50 - count(*) OVER w AS spare FROM ga WINDOW w AS (PARTITION BY id)),
+y AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(exact - floor(exact), 9) DESC, c) AS nth, spare - sum(floor(exact)) OVER (PARTITION BY id) AS short FROM x)
+SELECT id, CAST(c AS INTEGER) AS community, CAST(1 + floor(exact) + CASE WHEN nth <= short THEN 1 ELSE 0 END AS BIGINT) AS n FROM y""",
     "core_assign": f"""WITH {_D}, c AS (SELECT id, K, {_CORE} AS nc FROM ds WHERE stratum = 'core_periphery'), b AS (SELECT id, K, nc, unnest(range(0, K)) AS j FROM c)
 SELECT id, CAST(j AS INTEGER) AS community, CAST(CASE WHEN j = 0 THEN nc ELSE floor(j * (50 - nc) / (K - 1)) - floor((j - 1) * (50 - nc) / (K - 1)) END AS BIGINT) AS n FROM b""",
     "search_space": """WITH k AS (SELECT s_suppkey AS id, unnest([1, 2]) AS res_id FROM supplier), h AS (SELECT id, res_id, unnest(['lr', 'sr']) AS hp FROM k),
