@@ -13,7 +13,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from braidwork.llm import langid, licences, mixing, quality
-from braidwork.llm.trees import boost
+from braidwork.llm.trees import boost, boost_table
 
 DATA = "/root/testdata/sf0.01"
 
@@ -151,6 +151,21 @@ def test_boosting_learns():
     assert ((boost(x[:400], y[:400]).predict(x[400:]) > 0.5) == y[400:]).mean() > 0.9
 
 
+def test_boosting_a_table_is_boosting_its_rows(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.integers(0, 8, (700, 3)), rng.integers(0, 200, (700, 1))], axis=1).astype(float)
+    y = (rng.random(700) < np.where((x[:, 0] > 3) ^ (x[:, 3] > 90), 0.9, 0.2)).astype(float)
+    n, fold = rng.integers(1, 4, 700), rng.integers(0, 3, 700)
+    rows = spark.createDataFrame([(int(f), 0, float(b), a.tolist(), int(k)) for f, b, a, k in zip(fold, y, x, n)], "fold int, part int, y double, x array<double>, n long")
+    models, scored = boost_table(rows.repartition(3), 3, rounds=12)
+    plain = boost(np.repeat(x, n, axis=0), np.repeat(y, n), rounds=12)
+    assert len(models) == 4 and np.allclose(models[0].predict(x), plain.predict(x), atol=1e-4)
+    got = scored.toPandas()
+    for k in range(3):
+        own = got[got["fold"] == k]
+        assert np.allclose(np.sort(np.repeat(own["p"], own["n"])), np.sort(np.repeat(models[k + 1].predict(x[fold == k]), n[fold == k])))
+
+
 def test_licences_by_brute_force():
     scanner = licences.Scanner(licences.TEMPLATES, licences.LEAST)
     text = "Some prose. Licensed under the Apache License, version 2.0! More prose and then: released under a MIT license. This work is licensed under the GNU General Public License version 3"
