@@ -21,9 +21,13 @@ def write_trajectories(states: DataFrame, path: str) -> None:
 
 
 def write_report(ranked: DataFrame, path: str) -> None:
-    """Ranked results as lines of text: side, rank, name and score, in order of rank."""
-    line = F.format_string("%s %d. %s: %.4f", "side", "rank", "seed_name", "score")
-    ranked.orderBy("rank").select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """Ranked results as lines of text: side, rank, name and score, in order of rank.
+
+    A score is rounded from its exact value to four places, as C and SQL do; Java rounds the digits that it shows.
+    """
+    told = F.udf(lambda x: "null" if x is None else f"{x:.4f}", "string")
+    line = F.format_string("%s %d. %s: %s", "side", "rank", "seed_name", told("score"))
+    ranked.orderBy("rank", F.desc("side")).select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_new(df: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 """Array files, folders of logs and what is written by key."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,12 @@ def test_pairs_in_blocks(spark, rows):
     for name, kind in (("Bottom-Bottom", 0), ("Top-Bottom", 1), ("Top-Top", 2)):
         own = [d for (i, j), d in want.items() if bool(i // 3 % 3) + bool(j // 3 % 3) == kind]
         assert sums[name][0] == len(own) and abs(sums[name][1] - np.mean(own)) < 1e-12
+
+
+def test_report_rounds_as_sql(spark, tmp_path):
+    """Scores that end in a half, and missing ones, against DuckDB's own format."""
+    scores = [float(f"{i / 1e6}") for i in range(150_000_050, 150_002_050, 100)] + [-0.00005, 2.5e-5, float("-inf"), float("nan")]
+    ranked = spark.createDataFrame([("top", i, f"n{i}", x) for i, x in enumerate(scores)], "side string, rank int, seed_name string, score double")
+    sinks.write_report(ranked, str(tmp_path / "report"))
+    want = duckdb.connect().execute("SELECT format('{} {}. {}: {:.4f}', 'top', i, 'n' || i, x) FROM (SELECT unnest(?::DOUBLE[]) AS x, unnest(range(0, ?)) AS i) ORDER BY i", [scores, len(scores)]).fetchall()
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()] == [w[0] for w in want]
