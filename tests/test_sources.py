@@ -76,3 +76,38 @@ def test_report_rounds_as_sql(spark, tmp_path):
     sinks.write_report(ranked, str(tmp_path / "report"))
     want = duckdb.connect().execute("SELECT format('{} {}. {}: {:.4f}', 'top', i, 'n' || i, x) FROM (SELECT unnest(?::DOUBLE[]) AS x, unnest(range(0, ?)) AS i) ORDER BY i", [scores, len(scores)]).fetchall()
     assert [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()] == [w[0] for w in want]
+
+
+def test_pairs_copy_rows_a_few_times(spark):
+    """A row is copied once for each of a few large blocks, and tables of many pieces give what numpy gives."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5000, 2))
+    x[4000:] = x[:1000] + 1e-7 * rng.normal(size=(1000, 2))  # pairs whose squares cancel
+    df = spark.createDataFrame([(i, a.tolist(), bool(i % 3)) for i, a in enumerate(x)], "id long, v array<double>, top boolean")
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    dist = v.pairwise(df, "id")
+    assert dist.rdd.getNumPartitions() == v.BLOCKS * (v.BLOCKS + 1) // 2
+    near = {(r["i"], r["j"]): r["dist"] for r in dist.filter("dist < 1e-5").collect()}
+    i, j = np.nonzero(np.triu(far < 1e-5, 1))
+    assert near.keys() == set(zip(i.tolist(), j.tolist(), strict=True)) and np.allclose([near[k] for k in sorted(near)], far[i, j], rtol=1e-9, atol=0)
+    total = dist.agg(F.count("*"), F.sum("dist")).first()
+    assert total[0] == 5000 * 4999 // 2 and np.isclose(total[1], far.sum() / 2)
+
+
+def test_labels_of_pairs_need_few_copies(spark):
+    rng = np.random.default_rng(4)
+    x, top = rng.normal(size=(3000, 3)), rng.random(3000) < 0.3
+    df = spark.createDataFrame([(i, a.tolist(), bool(t)) for i, (a, t) in enumerate(zip(x, top, strict=True))], "id long, v array<double>, top boolean")
+    out = v.label_distances(df, "id", "top")
+    assert v.all_pairs(df, "id", ["v"], lambda x, y, same: {"n": np.array([len(x["id"])])}, "n long").rdd.getNumPartitions() == 36
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))[np.triu_indices(3000, 1)]
+    kind = (top[:, None].astype(int) + top[None])[np.triu_indices(3000, 1)]
+    got = {r["pair"]: (r["n"], r["mean_dist"]) for r in out.collect()}
+    for k, name in enumerate(("Bottom-Bottom", "Top-Bottom", "Top-Top")):
+        assert got[name][0] == (kind == k).sum() and np.isclose(got[name][1], far[kind == k].mean())
+
+
+def test_vectors_of_unlike_length_are_an_error(spark):
+    df = spark.createDataFrame([(i, [1.0] * (1 + i % 2)) for i in range(20)], "id long, v array<double>")
+    with pytest.raises(Exception, match="can't be compared"):
+        v.pairwise(df, "id").collect()
