@@ -6,11 +6,14 @@ frac_negative, seed``. Randomness is drawn per design from its own seed, so resu
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.operators import graph
 from braidwork.session import cut
 
 #: Fixed values of the design space.
@@ -192,51 +195,121 @@ def dirichlet_sizes(rng: np.random.Generator, n: int, k: int, alpha: float) -> n
     return whole + 1
 
 
+def _assigned(d: dict, n: int, rng: np.random.Generator) -> np.ndarray:
+    """The communities of a design's n nodes."""
+    k, nodes = int(d["K"]), np.arange(n)
+    if d["stratum"] == "core_periphery":
+        core = max(1, round(n * d["core_fraction"]))
+        return np.where(nodes < core, 0, 1 + ((nodes - core + 1) * max(k - 1, 1) - 1) // (n - core))
+    if np.isfinite(d["size_alpha"]):
+        return np.repeat(np.arange(k), dirichlet_sizes(rng, n, k, d["size_alpha"]))
+    return ((nodes + 1) * k - 1) // n
+
+
+def _block_values(d: dict, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, deviations and densities of a design's blocks."""
+    k, core = int(d["K"]), d["stratum"] == "core_periphery"
+    hi, lo = (d["centre_u"] + d["contrast_u"]) * SIGMA, (d["centre_u"] - d["contrast_u"]) * SIGMA
+    s_b = SIGMA * k / (d["sigma_ratio"] + k - 1)
+    p_b = d["p0"] * k / (d["rho"] + k - 1)
+    parts = []
+    for within, between in ((hi, lo), (d["sigma_ratio"] * s_b, s_b), (d["rho"] * p_b, p_b)):
+        m = np.where(np.eye(k, dtype=bool), within, between)
+        parts.append(m)
+    if core:
+        for m, (within, between) in zip((parts[0], parts[2]), ((hi, lo), (d["rho"] * p_b, p_b)), strict=True):
+            m[:] = between
+            m[0, :] = m[:, 0] = between + d["f"] * (within - between)
+            m[0, 0] = within
+    if d["stratum"] == "mixed":
+        u = rng.uniform(min(lo, hi), max(lo, hi), (k, k))
+        parts[0] = (u + u.T) / 2
+    return parts[0], parts[1], np.clip(parts[2], 0, 1)
+
+
+#: Numbers of the matrices that a task samples at once.
+MATRICES = 1 << 20
+
+
+def drawn_networks(rows: list[dict], n: int, radius: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
+    """A symmetric matrix and the nodes' communities for each design, each drawn from its own seed; as ``block_sample``, all at once."""
+    m, k = len(rows), max((int(d["K"]) for d in rows), default=0)
+    w, chance, flips, z = np.empty((m, n, n)), np.empty((m, n, n)), np.ones((m, n, n)), np.empty((m, n), int)
+    values = np.zeros((3, m, k, k))
+    for i, d in enumerate(rows):
+        rng = np.random.default_rng(int(d["seed"]))
+        z[i] = _assigned(d, n, rng)
+        for v, own in zip(values, _block_values(d, rng), strict=True):
+            v[i, : len(own), : len(own)] = own
+        rng.standard_normal(out=w[i])
+        rng.random(out=chance[i])
+        if float(d.get("frac_negative") or 0) > 0:
+            rng.random(out=flips[i])
+    at = np.arange(m)[:, None, None], z[:, :, None], z[:, None, :]
+    w *= values[1][at]
+    w += values[0][at]
+    negative = np.array([float(d.get("frac_negative") or 0) for d in rows])[:, None, None]
+    w = np.where(flips < negative, -np.abs(w), w)
+    w = np.where((chance < values[2][at]) & np.tri(n, k=-1, dtype=bool).T, w, 0.0)
+    w += w.transpose(0, 2, 1)
+    now = np.abs(np.linalg.eigvalsh(w)).max(axis=1, initial=0.0)
+    return w * np.divide(radius, now, out=np.ones(m), where=now > 0)[:, None, None], z
+
+
+def _sampled(designs: DataFrame, n: int, radius: float, told: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, numbers: int) -> DataFrame:
+    """What ``told`` makes of the ids, matrices and communities of a task's networks, some at a time; a network takes so many numbers."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = pdf.to_dict("records")
+            for k in range(0, len(rows), at := max(1, MATRICES // numbers)):
+                yield told(pdf["id"].to_numpy()[k : k + at], *drawn_networks(rows[k : k + at], n, radius))
+
+    return spread(designs).mapInPandas(build, schema)
+
+
 def networks(designs: DataFrame, n: int = 60, radius: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """``net, src, dst, w`` and ``net, node, community`` of a network for each design (described parameters)."""
 
-    def assign(d: dict, rng: np.random.Generator) -> np.ndarray:
-        k, nodes = int(d["K"]), np.arange(n)
-        if d["stratum"] == "core_periphery":
-            core = max(1, round(n * d["core_fraction"]))
-            return np.where(nodes < core, 0, 1 + ((nodes - core + 1) * max(k - 1, 1) - 1) // (n - core))
-        if np.isfinite(d["size_alpha"]):
-            return np.repeat(np.arange(k), dirichlet_sizes(rng, n, k, d["size_alpha"]))
-        return ((nodes + 1) * k - 1) // n
-
-    def blocks(d: dict, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        k, core = int(d["K"]), d["stratum"] == "core_periphery"
-        hi, lo = (d["centre_u"] + d["contrast_u"]) * SIGMA, (d["centre_u"] - d["contrast_u"]) * SIGMA
-        s_b = SIGMA * k / (d["sigma_ratio"] + k - 1)
-        p_b = d["p0"] * k / (d["rho"] + k - 1)
-        parts = []
-        for within, between in ((hi, lo), (d["sigma_ratio"] * s_b, s_b), (d["rho"] * p_b, p_b)):
-            m = np.where(np.eye(k, dtype=bool), within, between)
-            parts.append(m)
-        if core:
-            for m, (within, between) in zip((parts[0], parts[2]), ((hi, lo), (d["rho"] * p_b, p_b)), strict=True):
-                m[:] = between
-                m[0, :] = m[:, 0] = between + d["f"] * (within - between)
-                m[0, 0] = within
-        if d["stratum"] == "mixed":
-            u = rng.uniform(min(lo, hi), max(lo, hi), (k, k))
-            parts[0] = (u + u.T) / 2
-        return parts[0], parts[1], np.clip(parts[2], 0, 1)
-
-    def build(batches):
-        for pdf in batches:
-            for d in pdf.to_dict("records"):
-                rng = np.random.default_rng(int(d["seed"]))
-                z = assign(d, rng)
-                w = block_sample(rng, z, *blocks(d, rng), float(d.get("frac_negative") or 0), radius)
-                src, dst = np.nonzero(w)
-                yield pd.DataFrame({"net": d["id"], "src": src, "dst": dst, "w": w[src, dst]})
-                yield pd.DataFrame({"net": d["id"], "src": np.arange(n), "dst": -1 - z, "w": 0.0})  # nodes' communities, as -1 - z
-
-    rows = cut(spread(designs).mapInPandas(build, "net long, src int, dst int, w double"))  # sampled once for all measures
+    def told(ids: np.ndarray, w: np.ndarray, z: np.ndarray) -> pd.DataFrame:
+        at, src, dst = np.nonzero(w)
+        edges = pd.DataFrame({"net": ids[at], "src": src, "dst": dst, "w": w[at, src, dst]})
+        return pd.concat([edges, pd.DataFrame({"net": np.repeat(ids, n), "src": np.tile(np.arange(n), len(ids)), "dst": -1 - z.ravel(), "w": 0.0})])  # nodes' communities, as -1 - z
+
+    rows = cut(_sampled(designs, n, radius, told, "net long, src int, dst int, w double", 8 * n * n))  # sampled once for all measures
     return rows.filter("dst >= 0"), rows.filter("dst < 0").select("net", F.col("src").alias("node"), (-1 - F.col("dst")).alias("community"))
 
 
+def network_sizes(designs: DataFrame, n: int = 60, radius: float = 0.9) -> DataFrame:
+    """``net, edges, top, negative, communities`` of a network for each design: edges in both directions, largest weight, share
+    of negative ones, communities found. A network stays in the task that draws it; one without edges gives no row."""
+
+    def told(ids: np.ndarray, w: np.ndarray, z: np.ndarray) -> pd.DataFrame:
+        edges = np.count_nonzero(w, axis=(1, 2))
+        ordered = np.sort(z, axis=1)
+        out = pd.DataFrame({"net": ids, "edges": edges, "top": np.abs(w).max(axis=(1, 2)), "negative": (w < 0).sum(axis=(1, 2)) / np.maximum(edges, 1), "communities": 1 + (np.diff(ordered, axis=1) > 0).sum(axis=1)})
+        return out[edges > 0]
+
+    return _sampled(designs, n, radius, told, "net long, edges long, top double, negative double, communities long", 8 * n * n)
+
+
+def described(designs: DataFrame, n: int, radius: float = 0.9) -> DataFrame:
+    """``net`` and the eight measures of a network of n nodes for each design; rows with a value that isn't finite are left out.
+
+    Networks are small, so each is measured whole in the task that draws it: nothing is shuffled but the designs.
+    """
+
+    def told(ids: np.ndarray, w: np.ndarray, z: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"net": ids, **graph.measured(w, z)})
+
+    rows = _sampled(designs, n, radius, told, f"net long, {', '.join(f'{m} double' for m in MEASURES)}", n * n * n)
+    return rows.filter(graph.is_finite(*MEASURES))
+
+
+#: The eight measures of a network.
+MEASURES = ("modularity", "participation", "clustering", "efficiency", "cv_strength", "cv_betweenness", "lambda_ratio", "frac_negative")
+
+
 def ornstein_uhlenbeck(keys: DataFrame, steps: int, dims: int = 10, theta: float = 0.15) -> DataFrame:
     """``id, t, u``: x <- x (1 - theta) + sqrt(2 theta) noise, each component standardised over its series."""
 

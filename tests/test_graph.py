@@ -219,3 +219,50 @@ def test_blocks(frames):
 def test_motif_order(spark):
     df = spark.createDataFrame([(1.0, 1.0, 1.0), (2.0, 2.0, 1.0), (1.0, 1.0, 2.0), (3.0, 1.0, 2.0)], "rr double, ss double, rs double")
     assert [r[0] for r in df.select(g.motif(F.col("rr"), F.col("ss"), F.col("rs"))).collect()] == ["degenerate", "assortative", "disassortative", "core_periphery"]
+
+
+def _small_designs(spark, n):
+    from braidwork.sources.designs import supplier_designs
+
+    return supplier_designs(spark, SMALL).limit(n)
+
+
+def test_measures_of_whole_networks(spark):
+    """Eight measures of matrices against the plans over edges: isolated nodes, no edges at all, equal and signed weights."""
+    rng, n = np.random.default_rng(7), 7
+    w, z = np.zeros((6, n, n)), rng.integers(0, 3, (6, n))
+    for k in range(1, 6):
+        m = np.triu(np.where(rng.random((n, n)) < 0.2 + 0.1 * k, rng.integers(1, 4, (n, n)), 0), 1) * (rng.choice([-1.0, 1.0], (n, n)) if k > 2 else 1.0)
+        w[k] = m + m.T
+    edges = spark.createDataFrame([(int(k), int(i), int(j), float(w[k, i, j])) for k, i, j in np.argwhere(w)], "net long, src int, dst int, w double")
+    nodes = spark.createDataFrame([(k, i, int(z[k, i])) for k in range(6) for i in range(n)], "net long, node int, community int")
+    got = g.measured(w, z)
+    rows = {r["net"]: r for r in g.all_descriptors(edges, nodes).collect()}
+    assert len(rows) == 6
+    for name, values in got.items():
+        assert np.allclose(values, [rows[k][name] for k in range(6)], atol=1e-9), name
+
+
+def test_networks_stay_in_their_tasks(spark):
+    """Sizes and measures of sampled networks are those of their edges; nothing is kept but a row for each."""
+    from braidwork.operators import designs as d
+
+    own = _small_designs(spark, 10)
+    edges, nodes = d.networks(own, 24)
+    ids = sorted(r["net"] for r in nodes.select("net").distinct().collect())
+    got = {r["net"]: r for r in d.network_sizes(own, 24).collect()}
+    want = edges.groupBy("net").agg(F.count("*").alias("edges"), F.max(F.abs("w")).alias("top"), F.avg((F.col("w") < 0).cast("double")).alias("negative"))
+    want = {r["net"]: r for r in want.join(nodes.groupBy("net").agg(F.count_distinct("community").alias("communities")), "net").collect()}
+    assert got.keys() == want.keys() and all(got[k][c] == want[k][c] for k in got for c in ("edges", "top", "communities")) and all(np.isclose(got[k]["negative"], want[k]["negative"]) for k in got)
+    whole = {r["net"]: r for r in d.described(own, 24).collect()}
+    joined = {r["net"]: r for r in g.descriptors(edges, nodes).collect()}
+    assert sorted(whole) == ids and all(np.isclose(whole[k][m], joined[k][m], atol=1e-9) for k in ids for m in d.MEASURES)
+
+
+def test_network_queries_keep_no_edges(spark):
+    """Queries over sampled networks write no edges: their plans read the tables alone."""
+    from braidwork.plans import design_queries
+
+    for query in (design_queries.sample_networks, design_queries.network_descriptors):
+        plan = query(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "LogicalRDD" not in plan and "Join" not in plan
