@@ -10,10 +10,12 @@ values and their residuals.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,3 +198,88 @@ def second_share(edges: DataFrame, nodes: DataFrame, whole: int = WHOLE) -> Data
 def radius(edges: DataFrame, nodes: DataFrame, whole: int = WHOLE) -> DataFrame:
     """``net, radius``: the spectral radius of each network's symmetric matrix."""
     return largest(edges, nodes, whole, 1).select("net", F.col("first").alias("radius"))
+
+
+#: Nodes of a side whose vectors the driver holds; such vectors between restarts; edges that a task holds; products at most.
+SIDE, BASIS, EDGES, PRODUCTS = 4_000_000, 12, 1 << 20, 400
+
+
+def _dense(keys: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's edges with the left ends' places among all keys and the right ends' among its own."""
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right", "w")] for b in batches]
+        if parts:
+            left, right, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+            at = np.unique(right, return_inverse=True)[1].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(keys.value, left).astype(np.int32)), pa.array(at), pa.array(w)], ["left", "right", "w"])
+
+    return dense
+
+
+def _squared(vector: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's share of W W' times the vector: all edges of its right ends are its own."""
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right", "w")] for b in batches]
+        if parts:
+            left, right, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+            inner = np.bincount(right, w * vector.value[left])
+            ends, place = np.unique(left, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ends), pa.array(np.bincount(place, w * inner[right]))], ["left", "y"])
+
+    return product
+
+
+class TooWide(ValueError):
+    """A side has more nodes than the driver holds numbers for; products by joins are the way then."""
+
+
+def two_sided(edges: DataFrame) -> float | None:
+    """The spectral radius of a network whose edges ``left, right, w`` go between two sides; weights of a pair add up.
+
+    It is the root of the largest eigenvalue of W W' on the left side, which should be the smaller one. Edges are dealt
+    to tasks by their right ends and written once; a product is one pass over them, and only the left side's vector, at most
+    ``SIDE`` numbers, goes to and fro. Lanczos' steps start anew from the best vector after ``BASIS`` of them. Right to about
+    1e-14 of itself over the gap to the next eigenvalue; None without edges.
+    """
+    spark = edges.sparkSession
+    edges = edges.select("left", "right", F.col("w").cast("double").alias("w")).dropna()
+    n, ends = edges.agg(F.count("*"), F.approx_count_distinct("left")).first()
+    if not n:
+        return None
+    if ends > SIDE:
+        raise TooWide(f"about {ends} nodes on the left side; the driver holds vectors of {SIDE}")
+    sent = []
+
+    def send(x: np.ndarray) -> Broadcast:
+        sent.append(spark.sparkContext.broadcast(x))
+        return sent[-1]
+
+    names = np.sort(edges.select("left").distinct().toPandas()["left"].to_numpy())
+    tasks = max(spark.sparkContext.defaultParallelism * 2, -(-n // EDGES))
+    written = cut(edges.repartition(tasks, "right").mapInArrow(_dense(send(names)), "left int, right int, w double"))
+
+    def times(x: np.ndarray) -> np.ndarray:
+        parts = written.mapInArrow(_squared(send(x)), "left int, y double").groupBy("left").agg(F.sum("y").alias("y")).toPandas()
+        sent.pop().destroy()
+        out = np.zeros(len(names))
+        out[parts["left"].to_numpy()] = parts["y"].to_numpy()
+        return out
+
+    x = np.random.default_rng(0).uniform(0.5, 1.5, len(names))
+    basis, images = [x / np.linalg.norm(x)], []
+    for _ in range(PRODUCTS):
+        images.append(times(basis[-1]))
+        small = np.array([[b @ i for i in images] for b in basis])
+        values, turns = np.linalg.eigh((small + small.T) / 2)
+        best, image = (sum(t * v for t, v in zip(turns[:, -1], vs, strict=True)) for vs in (basis, images))
+        left = image - values[-1] * best
+        if np.linalg.norm(left) <= RESIDUAL * abs(values[-1]) or not values[-1]:
+            return float(np.sqrt(max(values[-1], 0.0)))
+        if len(basis) == BASIS:
+            basis, images = [best / np.linalg.norm(best)], [image / np.linalg.norm(best)]
+        for _ in range(2):
+            left = left - sum((b @ left) * b for b in basis)
+        basis.append(left / np.linalg.norm(left))
+    raise RuntimeError(f"the largest eigenvalue wasn't found in {PRODUCTS} products")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from braidwork.operators import graph as g
 from braidwork.operators import spectra
 from braidwork.plans.spectra import spectrum
-from braidwork.sources.trade import nations, supply_edges, trade_edges
+from braidwork.sources.trade import nations, supply_edges, supply_lines, trade_edges
 
 
 def _round(df: DataFrame, *columns: str) -> DataFrame:
@@ -56,10 +56,13 @@ def display_with_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supply_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spectral radius of the network of suppliers and parts, whose edges are the quantities between them, by joins."""
-    edges = supply_edges(spark, sf_dir)
-    found = spectra.radius(edges, edges.select("net", F.col("src").alias("node")).distinct())
-    return found.select(F.round("radius", 4).alias("radius"))
+    """The spectral radius of the network of suppliers and parts, whose edges are the quantities between them."""
+    try:
+        found = spectra.two_sided(supply_lines(spark, sf_dir))
+    except spectra.TooWide:
+        edges = supply_edges(spark, sf_dir)
+        return spectra.radius(edges, edges.select("net", F.col("src").alias("node")).distinct()).select(F.round("radius", 4).alias("radius"))
+    return spark.createDataFrame([(found,)], "radius double").select(F.round("radius", 4).alias("radius"))
 
 
 def graph_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,11 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(scaled(symmetrised(summed.select(F.lit(0).alias("net"), "src", "dst", "w"))))
 
 
+def supply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities between suppliers and parts, a row for each line."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("left"), F.col("l_partkey").alias("right"), F.col("l_quantity").alias("w"))
+
+
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities between suppliers and parts, in both directions; a supplier's node is minus its key less one."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("w"))

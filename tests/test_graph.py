@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from braidwork.operators import graph as g
 from braidwork.operators import spectra
+from braidwork.session import cut
 from braidwork.sources.trade import trade_edges
 
 GRAPHS = {
@@ -266,3 +267,28 @@ def test_network_queries_keep_no_edges(spark):
     for query in (design_queries.sample_networks, design_queries.network_descriptors):
         plan = query(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert "LogicalRDD" not in plan and "Join" not in plan
+
+
+def test_two_sided_radius(spark):
+    """Against numpy: lines of the same pair add up, signed weights, and more products than a basis holds."""
+    rng = np.random.default_rng(6)
+    n = 3000
+    left, right, w = rng.integers(0, 90, n) * 7, rng.integers(0, 150, n) - 40, rng.normal(size=n)
+    edges = spark.createDataFrame(pd.DataFrame({"left": left, "right": right, "w": w}))
+    m = np.zeros((700, 200))
+    np.add.at(m, (left, right + 40), w)
+    want = np.linalg.svd(m, compute_uv=False)[0]
+    assert np.isclose(spectra.two_sided(edges), want, rtol=1e-9, atol=0)
+    assert spectra.two_sided(edges.limit(0)) is None
+
+
+def test_supply_radius_writes_its_edges_once(spark, monkeypatch):
+    """One table is kept, however many products are taken; where a side is too wide, joins give the same."""
+    from braidwork.plans import graph_queries
+
+    kept = []
+    monkeypatch.setattr(spectra, "cut", lambda df: kept.append(1) or cut(df))
+    got = graph_queries.supply_radius(spark, SMALL).first()["radius"]
+    assert len(kept) == 1
+    monkeypatch.setattr(spectra, "SIDE", 1)
+    assert graph_queries.supply_radius(spark, SMALL).first()["radius"] == got
